@@ -38,6 +38,12 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, bounds - bounds[0]
 
 
+def strings(raw: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """The rows as a new string column, from its first byte on, without nulls."""
+    buffers = [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(raw))]
+    return pa.Array.from_buffers(pa.large_string(), len(bounds) - 1, buffers)
+
+
 def slices(batch: pa.RecordBatch, text: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in order, in runs of rows of about ``most`` text bytes."""
     if batch.num_rows == 0:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pacegrid.llm import mixing, near_dedup, quality, sentencepieces, toxicity
+from pacegrid.llm import media, mixing, near_dedup, quality, sentencepieces, token_files, toxicity
 from pacegrid.llm._tables import table
 
 def vocabulary(name: str) -> str:
@@ -27,10 +27,18 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.encode(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), ids=False)
 
 
+def op6_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_column(table(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_files(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
 def op9_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 

@@ -69,9 +69,7 @@ class Model:
 def _windows(column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Distinct windows, the window of every word, and row offsets into the words."""
     raw, bounds = _text.text_bytes(column)
-    folded = pa.Array.from_buffers(
-        pa.large_string(), len(column), [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(_text.fold_case(raw))]
-    )
+    folded = _text.strings(_text.fold_case(raw), bounds)
     split = pc.ascii_split_whitespace(folded)
     words = pc.ascii_trim(split.flatten(), characters=TRIM)
     coded = words.dictionary_encode()
