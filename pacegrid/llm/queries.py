@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pacegrid.llm import media, mixing, near_dedup, quality, quality_rules, sentencepieces, token_files, toxicity
+from pacegrid.llm import html_text, media, mixing, near_dedup, quality, quality_rules, sentencepieces, token_files, toxicity
 from pacegrid.llm._tables import table
 
 def vocabulary(name: str) -> str:
@@ -27,6 +27,10 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.encode(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), ids=False)
 
 
+def op3_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
