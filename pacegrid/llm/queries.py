@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pacegrid.llm import html_text, media, mixing, near_dedup, quality, quality_rules, sentencepieces, token_files, toxicity
+from pacegrid.llm import html_text, media, mixing, near_dedup, quality, quality_rules, sentencepieces, token_files, toxicity, warc
 from pacegrid.llm._tables import table
 
 def vocabulary(name: str) -> str:
@@ -35,6 +35,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.fixity(table(spark, sf_dir, "pages"))
+
+
 def op6_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_column(table(spark, sf_dir, "documents"))
 
