@@ -1 +1 @@
-
+"""Queries: operators applied to the bound views, with their oracles."""
