@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
 import uuid
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -69,3 +73,26 @@ def labelled_sample(
     # bounded by sum(most.values()) rows of four numbers
     picked = docs.select("doc_id", *columns).join(F.broadcast(chosen), "doc_id")
     return picked.toArrow().combine_chunks().sort_by([("_order", "ascending"), ("doc_id", "ascending")])
+
+
+def release() -> None:
+    """Hands freed memory back to the system: workers live on between tasks and stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform.startswith("linux"):
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):
+            pass  # another C library: its memory stays with the process
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for mapInArrow, with memory handed back behind every batch."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from run(iter([batch]))
+            batch = None
+            release()
+
+    return wrapped

@@ -35,7 +35,8 @@ DIMENSIONS = 2048
 ROUNDS = 3
 #: Pool documents of each class that one view hands to the other in a round, and the least confidence.
 HANDED, SURE = 150, 0.95
-MOST_ROWS = 2000
+MOST_ROWS = 500
+SLICE_BYTES = 2 << 20
 METADATA = ("lang", "source", "n_chars")
 _BUCKETS = 16
 _KINDS = ("0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "#$%&*|<>@=_{}[]\\^~", "!?", ".,;:", " \t", "\n")
@@ -150,6 +151,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     views = {"text": (x_text, pool_text), "meta": (x_meta, pool_meta)}
     taught = {name: _learn(x[~ahead], y[~ahead], None, 150) for name, (x, _) in views.items()}
     given: dict[str, dict[int, float]] = {"text": {}, "meta": {}}
+    more = both = None
     for _ in range(ROUNDS if pool.num_rows else 0):
         for name, other in (("text", "meta"), ("meta", "text")):
             p = _sigmoid(taught[name].logit(views[name][1]))
@@ -169,6 +171,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         taught[name].calibration = _weighted(np.stack([np.ones(len(z)), z], axis=1), y[ahead], draw)
     z = np.stack([np.ones(int(ahead.sum())), *[taught[n].logit(views[n][0][ahead]) for n in ("text", "meta")]], axis=1)
     model.text, model.meta, model.joint = taught["text"], taught["meta"], _weighted(z, y[ahead], draw)
+    del sample, pool, x_text, x_meta, pool_text, pool_meta, views, x, more, both
+    _tables.release()
     return model
 
 
@@ -190,7 +194,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for whole in _text.slices(batch, "text"):
+            for whole in _text.slices(batch, "text", SLICE_BYTES):
                 for start in range(0, whole.num_rows, MOST_ROWS):
                     part = whole.slice(start, MOST_ROWS)
                     if model.text is None or model.meta is None:
@@ -200,7 +204,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                         scores = [_sigmoid(a), _sigmoid(b), _sigmoid(model.joint[0] + model.joint[1] * a + model.joint[2] * b)]
                     yield pa.RecordBatch.from_arrays([*part.columns, *[pa.array(s.astype(float)) for s in scores]], [*part.schema.names, "_text_score", "_meta_score", "_score"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(_tables.tidy(run), schema)
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -30,13 +30,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from pacegrid.llm import _text
+from pacegrid.llm import _tables, _text
 
 MARK = "▁"
 #: Piece types of the model format.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 #: Parts that are encoded in one call.
 CALL = 20_000
 
@@ -290,7 +290,7 @@ def encode(docs: DataFrame, model: str, ids: bool = True) -> DataFrame:
                     columns.append(pa.ListArray.from_arrays(ends.astype(np.int32), found))
                 yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in schema.split(", ")])
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(_tables.tidy(run), schema)
 
 
 def decode(encoded: DataFrame, model: str) -> DataFrame:

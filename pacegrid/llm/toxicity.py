@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 from pacegrid.llm import _tables, _text
 
 #: Bounds of the training sample, in documents.
-MOST_TOXIC, MOST_ORDINARY = 4000, 8000
+MOST_TOXIC, MOST_ORDINARY = 2500, 5000
 CALIBRATION_FOLD = 1
 LEVEL = 6
 CARRIER = b"<0123456789abcdefghij|:>"
@@ -54,7 +54,7 @@ DICTIONARY_BYTES = 4096
 LONGEST = 24
 #: Share of ordinary calibration documents that may hit at one window length.
 STRAY = 0.0005
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 8 << 20
 
 
 @dataclass
@@ -215,6 +215,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     marks = (a * m > APART * (b + 0.5) * n) & (a >= FREQUENT * n)
     model.toxic = _content(names, np.where(marks, _surprise(a, n, b, m), 0.0), DISTINCT) + model.ordinary
     _calibrate(model, text.filter(pa.array(ahead)), label[ahead])
+    del sample, text, taught, names, a, b, marks
+    _tables.release()
     return model
 
 
@@ -244,7 +246,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 value = pa.array(_score(part.column("text"), model))
                 yield pa.RecordBatch.from_arrays([*part.columns, value], [*part.schema.names, "_score"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(_tables.tidy(run), schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
