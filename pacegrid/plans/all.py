@@ -1 +1 @@
-from pacegrid.plans import pricing  # noqa: F401
+from pacegrid.plans import pricing, scalars, sequences, spatial  # noqa: F401
