@@ -1 +1 @@
-from pacegrid.plans import pricing, scalars, sequences, spatial  # noqa: F401
+from pacegrid.plans import classes, networks, pricing, rasters, scalars, sequences, spatial, stores, streams  # noqa: F401
