@@ -96,3 +96,14 @@ def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
             release()
 
     return wrapped
+
+
+def filtered(docs: DataFrame, keep: Callable[[pa.RecordBatch], Iterator[tuple[pa.RecordBatch, pa.Array]]]) -> DataFrame:
+    """Rows of ``docs`` that ``keep`` says stay; columns as they are, whatever their names."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, stays in keep(batch):
+                yield part.filter(stays)
+
+    return docs.mapInArrow(tidy(run), docs.schema)

@@ -181,18 +181,15 @@ def mixing(docs: DataFrame) -> DataFrame:
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The mix itself: each document as often as it has copies; empty documents stay once.
 
-    Rows are told apart by a hash of all columns; rows that agree in it share their copies.
+    Rows are told apart by a hash of all columns; rows that agree in it share their
+    copies.  Columns travel in a struct, so that their names can't clash.
     """
-    keyed = docs.withColumn("_row", F.xxhash64(*docs.columns))
-    copies = (
-        mix(keyed, "_row").groupBy("_row").agg(F.sum("_copies").alias("_all"), F.count(F.lit(1)).alias("_n"))
-    )
+    whole = docs.select(F.struct(*docs.columns).alias("_doc"), F.xxhash64(*docs.columns).alias("_row"), "source", "text")
+    copies = mix(whole, "_row").groupBy("_row").agg(F.sum("_copies").alias("_all"), F.count(F.lit(1)).alias("_n"))
     place = F.row_number().over(Window.partitionBy("_row").orderBy(F.lit(1)))
-    whole = F.floor(F.col("_all") / F.col("_n")).cast("int")
-    number = whole + (F.col("_place") <= F.col("_all") - whole * F.col("_n")).cast("int")
+    each = F.floor(F.col("_all") / F.col("_n")).cast("int")
+    number = each + (F.col("_place") <= F.col("_all") - each * F.col("_n")).cast("int")
     return (
-        keyed.withColumn("_place", place)
-        .join(copies, "_row")
-        .withColumn("_copy", F.explode(F.array_repeat(F.lit(1), number.cast("int"))))
-        .select(*docs.columns)
+        whole.select("_doc", "_row").withColumn("_place", place).join(copies, "_row")
+        .select("_doc", F.explode(F.array_repeat(F.lit(1), number.cast("int"))).alias("_copy")).select("_doc.*")
     )

@@ -24,7 +24,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from pacegrid.llm import _tables, _text
 
@@ -188,38 +187,40 @@ def _weighted(x: np.ndarray, y: np.ndarray, draw: np.ndarray) -> np.ndarray:
     return root
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with _text_score, _meta_score and _score: probabilities of good quality."""
-    schema = T.StructType([*docs.schema.fields, *[T.StructField(c, T.DoubleType()) for c in ("_text_score", "_meta_score", "_score")]])
+def _scores(part: pa.RecordBatch, model: Model) -> list[np.ndarray]:
+    """Probabilities of good quality by the text view, the metadata view and both."""
+    if model.text is None or model.meta is None:
+        return [np.full(part.num_rows, model.prior)] * 3
+    a, b = model.text.logit(wording(part.column("text"))), model.meta.logit(layout(part))
+    return [_sigmoid(z).astype(float) for z in (a, b, model.joint[0] + model.joint[1] * a + model.joint[2] * b)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for whole in _text.slices(batch, "text", SLICE_BYTES):
-                for start in range(0, whole.num_rows, MOST_ROWS):
-                    part = whole.slice(start, MOST_ROWS)
-                    if model.text is None or model.meta is None:
-                        scores = [np.full(part.num_rows, model.prior)] * 3
-                    else:
-                        a, b = model.text.logit(wording(part.column("text"))), model.meta.logit(layout(part))
-                        scores = [_sigmoid(a), _sigmoid(b), _sigmoid(model.joint[0] + model.joint[1] * a + model.joint[2] * b)]
-                    yield pa.RecordBatch.from_arrays([*part.columns, *[pa.array(s.astype(float)) for s in scores]], [*part.schema.names, "_text_score", "_meta_score", "_score"])
 
-    return docs.mapInArrow(_tables.tidy(run), schema)
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    for whole in _text.slices(batch, "text", SLICE_BYTES):
+        for start in range(0, whole.num_rows, MOST_ROWS):
+            yield whole.slice(start, MOST_ROWS)
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, the two views' scores, score and kept (score of 0.5 or more)."""
     columns = ["doc_id", "text", *[c for c in METADATA if c in docs.columns]]
-    return score(docs.select(*columns), fit(docs, labels)).select(
-        "doc_id",
-        (_tables.fold() == 0).alias("held_out"),
-        F.col("_text_score").alias("text_score"),
-        F.col("_meta_score").alias("meta_score"),
-        F.col("_score").alias("score"),
-        (F.col("_score") >= 0.5).alias("kept"),
-    )
+    model = fit(docs, labels)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _parts(batch):
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *map(pa.array, _scores(part, model))], ["doc_id", "text_score", "meta_score", "score"])
+
+    scored = docs.select(*columns).mapInArrow(_tables.tidy(run), "doc_id long, text_score double, meta_score double, score double")
+    return scored.select("doc_id", (_tables.fold() == 0).alias("held_out"), "text_score", "meta_score", "score", (F.col("score") >= 0.5).alias("kept"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the documents that score below 0.5."""
-    return score(docs, fit(docs, labels)).where("_score >= 0.5").drop("_text_score", "_meta_score", "_score")
+    model = fit(docs, labels)
+
+    def keep(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+        for part in _parts(batch):
+            yield part, pa.array(_scores(part, model)[2] >= 0.5)
+
+    return _tables.filtered(docs, keep)

@@ -262,4 +262,10 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_ordinary(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the documents that score 0.5 or more."""
-    return score(docs, fit(docs, labels)).where("_score < 0.5").drop("_score")
+    model = fit(docs, labels)
+
+    def keep(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+        for part in _text.slices(batch, "text", SLICE_BYTES):
+            yield part, pa.array(_score(part.column("text"), model) < 0.5)
+
+    return _tables.filtered(docs, keep)
