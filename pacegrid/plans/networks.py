@@ -63,13 +63,13 @@ def largest_pocket(spark, sf_dir):
     return found.join(best, "component", "left_semi").select("node")
 
 
-_OPTIONS = """options AS (SELECT o_custkey AS query, o_orderkey::BIGINT AS cand, round(o_totalprice / 1000, 2) AS score, 1000 + o_orderkey % 700 AS metres, o_orderkey % 16 AS sector, list_transform(range(0, 6), lambda i: (o_orderkey % 5) * 3 + i) AS eids FROM orders)"""
+_OPTIONS = """options AS (SELECT o_custkey AS query, o_orderkey::BIGINT AS cand, o_totalprice AS score, 1000 + o_orderkey % 700 AS metres, o_orderkey % 16 AS sector, list_transform(range(0, 6), lambda i: (o_orderkey % 5) * 3 + i) AS eids FROM orders)"""
 
 
 def options(spark, sf_dir):
     k = C("o_orderkey").cast("long")
     eids = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(5).cast("long")), lambda i: k % 5 * 3 + i)
-    return b.table(spark, sf_dir, "orders").select(C("o_custkey").alias("query"), k.alias("cand"), F.round(C("o_totalprice") / 1000, 2).alias("score"), (1000 + k % 700).alias("metres"), (k % 16).alias("sector"), eids.alias("eids"))
+    return b.table(spark, sf_dir, "orders").select(C("o_custkey").alias("query"), k.alias("cand"), C("o_totalprice").alias("score"), (1000 + k % 700).alias("metres"), (k % 16).alias("sector"), eids.alias("eids"))
 
 
 @query(f"WITH {_OPTIONS} SELECT query, cand, score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score, cand) AS n FROM options) WHERE n <= 3")
