@@ -144,3 +144,19 @@ def rotated_loops(spark, sf_dir):
     k = (C("trip") % 8).cast("int")
     loops = b.steps(spark, sf_dir).groupBy("trip").agg(l.alias("l"))
     return loops.select("trip", F.concat(F.slice("l", k + 1, F.lit(8)), F.slice("l", F.lit(1), k)).alias("turned"))
+
+
+@query()
+def planned_ways(spark, sf_dir):
+    """A to B with at most two alternatives of other presets that are unlike it."""
+    from pacegrid.operators import planner
+
+    return planner.plan_ab(placed(spark, sf_dir), asked(spark, sf_dir).where("trip % 200 = 0"))
+
+
+@query()
+def round_walks(spark, sf_dir):
+    """Round walks of about 1,500 m, by corners in sectors and legs that avoid what was trodden."""
+    from pacegrid.operators import planner
+
+    return planner.plan_loops(placed(spark, sf_dir), asked(spark, sf_dir).where("trip % 500 = 0"), 1500.0)

@@ -150,3 +150,29 @@ def test_entry_and_contract(spark):
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).count() > 0
+
+
+def test_round_walks_are_closed_and_near_the_target():
+    from pacegrid.operators import planner
+
+    place = {i: (i % 15 * 100, i // 15 * 100) for i in range(225)}
+    rows = [edge(225 * a + c, a, c, 1000, place) for a in place for c in place if abs(a % 15 - c % 15) + abs(a // 15 - c // 15) == 1]
+    graph = network.Graph.of(pd.DataFrame(rows))
+    found = planner.loops(graph, 112, 1500.0, 600.0, (1.5, 1.5, 2.0, 0.6))
+    assert 1 <= len(found) <= 3
+    for way, metres, _, _ in found:
+        assert graph.u[way[0]] == 112 == graph.v[way[-1]] and abs(metres - 1500) <= 0.35 * 1500
+        assert all(graph.v[a] == graph.u[c] for a, c in zip(way, way[1:]))
+    assert all(planner.overlap(set(a[0]), set(c[0])) <= 0.5 for i, a in enumerate(found) for c in found[:i])
+    ways = planner.alternatives(graph, 0, 20, 600.0)
+    assert ways[0][0] == "balanced" and len(ways) <= 3
+
+
+def test_small_kernels():
+    from pacegrid.plans import details
+
+    x = np.arange(5.0)
+    assert details.simplify(x, np.zeros(5), 0.8).tolist() == [0, 4]
+    assert len(details.hull(np.array([[0, 0], [1, 0], [1, 1], [0, 1], [0.5, 0.5]]))) == 4
+    assert details.limited_profile(np.array([0, 100, 0]), 10).tolist() == [0, 10, 0]
+    assert details.progress([0, 3, 1, 5, 2], [1, 1, 1, 1, 200]) == [0, 3, 3, 5, 2]
