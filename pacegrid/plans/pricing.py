@@ -127,14 +127,18 @@ _HOURS = ALONG.replace("s.depart", "h * 60 AS depart").replace("SELECT s.trip,",
 
 
 def by_hour(spark, sf_dir) -> DataFrame:
-    """Shade share of every walk for each departure hour; the walks' own order is kept."""
-    before = Window.partitionBy("trip", "hour").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    """Shade share of every walk for each departure hour.
+
+    Metres before an edge don't depend on the hour: they are summed once per walk, and
+    the rows that hours multiply are grouped where they already lie.
+    """
+    before = Window.partitionBy("trip").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     hours = F.explode(F.sequence(F.lit(8).cast("long"), F.lit(19).cast("long"))).alias("hour")
     m = F.col("len_dm") / 10
+    walked = b.steps(spark, sf_dir).join(b.edges(spark, sf_dir).select("eid", "len_dm"), "eid").withColumn("after", F.coalesce(F.sum("len_dm").over(before), F.lit(0)) / 10 / b.SPEED)
     return (
-        b.steps(spark, sf_dir).select("*", hours).join(b.edges(spark, sf_dir), "eid")
-        .withColumn("minute", F.col("hour") * 60 + F.coalesce(F.sum("len_dm").over(before), F.lit(0)) / 10 / b.SPEED)
-        .withColumn("shade", cost.shade_at(lambda k: b.shade(F.col("eid"), k), F.col("minute")))
+        walked.select("trip", "eid", "len_dm", "after", hours)
+        .withColumn("shade", cost.shade_at(lambda k: b.shade(F.col("eid"), k), F.col("hour") * 60 + F.col("after")))
         .groupBy("trip", "hour").agg(whole(F.sum(F.col("shade") * m) / F.sum(m) * 100, 3).alias("pct"))
     )
 
