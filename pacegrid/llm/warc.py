@@ -163,7 +163,7 @@ def _under(nodes: DataFrame, in_file: bool, at_file: bool) -> DataFrame:
 
 
 def tree(leaf: DataFrame) -> list[DataFrame]:
-    """Levels from the archive's root down to the leaves.
+    """Levels from the archive's root down to the leaves; each above the leaves is written once.
 
     In a level of the files, ``part`` is a file and ``seq`` a run of its records;
     above their roots ``part`` is -1 and ``seq`` a run of files.
@@ -174,11 +174,11 @@ def tree(leaf: DataFrame) -> list[DataFrame]:
     levels: list[DataFrame] = []
     while records > 1:
         levels.append(_under(now, True, False))
-        now, records = _level(levels[-1]), -(-records // FANOUT)
+        now, records = _tables.stored(_level(levels[-1]), "warc-level"), -(-records // FANOUT)
     at_file = True
     while files > 1 or at_file:
         levels.append(_under(now, False, at_file))
-        now, files, at_file = _level(levels[-1]), -(-files // FANOUT), False
+        now, files, at_file = _tables.stored(_level(levels[-1]), "warc-level"), -(-files // FANOUT), False
     levels.append(_under(now, False, False))
     return levels[::-1]
 
@@ -192,7 +192,8 @@ def mismatches(levels: list[DataFrame], one: str, other: str) -> DataFrame:
             nodes = nodes.join(above, ["up_part", "up_seq"], "left_semi")
         a = nodes.where(F.col("copy") == one).select("part", "seq", F.col("digest").alias("_a"))
         b = nodes.where(F.col("copy") == other).select("part", "seq", F.col("digest").alias("_b"))
-        suspect = a.join(b, ["part", "seq"], "full").where(~F.col("_a").eqNullSafe(F.col("_b")))
+        # written, so that a level's plan holds that level alone
+        suspect = _tables.stored(a.join(b, ["part", "seq"], "full").where(~F.col("_a").eqNullSafe(F.col("_b"))), "warc-suspect")
     return suspect
 
 
