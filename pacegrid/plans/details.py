@@ -262,3 +262,79 @@ def walk_progress(spark, sf_dir):
         return pd.DataFrame({"event_id": own["event_id"], "place": place, "level": limited_profile(own["off_m"].to_numpy(), 25.0)})
 
     return b.fixes(spark, sf_dir).select("session", "event_id", "t", "off_m").groupBy("session").applyInPandas(follow, "event_id long, place long, level double")
+
+
+_ZONES = planes._RINGS + """, sides AS (SELECT district, x AS x1, y AS y1, lead(x, 1, fx) OVER w AS x2, lead(y, 1, fy) OVER w AS y2 FROM (SELECT *, first(x) OVER (PARTITION BY district ORDER BY i) AS fx, first(y) OVER (PARTITION BY district ORDER BY i) AS fy FROM rings) WINDOW w AS (PARTITION BY district ORDER BY i)),
+    hit AS (SELECT district, node FROM nodes, sides WHERE (y1 > y) <> (y2 > y) AND x < (x2 - x1) * (y - y1) / (y2 - y1)::DOUBLE + x1 GROUP BY district, node HAVING count(*) % 2 = 1)"""
+
+
+@query(f"WITH {_ZONES} SELECT n.node, coalesce(max(45 + district % 7 * 5), 0) AS db, count(district) AS zones FROM nodes n LEFT JOIN hit h ON h.node = n.node GROUP BY n.node")
+def rasterised_zones(spark, sf_dir):
+    """Cells in polygons; where they overlap, the loudest wins; 0 outside all."""
+    n = b.nodes(spark, sf_dir)
+    hit = spatial.inside(n, ("node", "x", "y"), planes.rings(spark, sf_dir), "district").withColumn("db", 45 + C("district") % 7 * 5)
+    return n.select("node").join(hit, "node", "left").groupBy("node").agg(F.coalesce(F.max("db"), F.lit(0)).alias("db"), F.count("district").alias("zones"))
+
+
+@query("""SELECT p_brand AS brand, round_even(avg(p_size * 5 % 256), 0)::BIGINT AS red, round_even(avg(p_partkey % 256), 0)::BIGINT AS green, count(*) AS n FROM part WHERE p_partkey % 4 <> 0 GROUP BY p_brand""")
+def legend_swatches(spark, sf_dir):
+    """Mean colour of the opaque pixels of each swatch, rounded."""
+    p = b.table(spark, sf_dir, "part").where("p_partkey % 4 <> 0")
+    return p.groupBy(C("p_brand").alias("brand")).agg(F.rint(F.avg(C("p_size") * 5 % 256)).cast("long").alias("red"), F.rint(F.avg(C("p_partkey") % 256)).cast("long").alias("green"), F.count(F.lit(1)).alias("n"))
+
+
+@query("""WITH g AS (SELECT o_custkey AS k, list(left(o_orderpriority, 1) ORDER BY o_orderkey)[1:4] AS now, list(left(o_orderstatus, 1) ORDER BY o_orderkey)[1:4] AS then_, count(*) AS n, max(o_orderkey % 50) AS top, arg_min(o_orderkey, o_totalprice) AS cheapest FROM orders GROUP BY 1)
+    SELECT k, CASE WHEN now = then_ THEN 2 ELSE greatest(coalesce(list_position(now, '5'), 0) - 1, 0) END AS kept, top + 1 = n AS whole, n = 10 AS valid, cheapest FROM g""")
+def restored(spark, sf_dir):
+    """An index restored if nothing changed, else the first of the same kind; parts without gaps; counts that must match; the cheaper end."""
+    o = b.table(spark, sf_dir, "orders")
+    ordered = lambda c: F.slice(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", F.left(C(c), F.lit(1)).alias("v")))), lambda s: s["v"]), 1, 4)
+    g = o.groupBy(C("o_custkey").alias("k")).agg(
+        ordered("o_orderpriority").alias("now"), ordered("o_orderstatus").alias("then"), F.count(F.lit(1)).alias("n"), F.max(C("o_orderkey") % 50).alias("top"), F.min(F.struct("o_totalprice", "o_orderkey"))["o_orderkey"].alias("cheapest"),
+    )
+    kept = F.when(C("now") == C("then"), 2).otherwise(F.greatest(F.array_position("now", F.lit("5")) - 1, F.lit(0)))
+    return g.select("k", kept.cast("long").alias("kept"), (C("top") + 1 == C("n")).alias("whole"), (C("n") == 10).alias("valid"), "cheapest")
+
+
+@query("""WITH d AS (SELECT row, col, 40 + z * 200 AS db FROM cells), k AS (SELECT least(4, floor((db - 30) / 15))::BIGINT AS cls FROM d WHERE db > 30 AND db < 120) SELECT cls, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM k GROUP BY cls""")
+def tile_classes(spark, sf_dir):
+    """Values kept between 30 and 120 dB, and the share of each class."""
+    db = 40 + C("z") * 200
+    k = b.cells(spark, sf_dir).withColumn("db", db).where("db > 30 AND db < 120").groupBy(F.least(F.lit(4), F.floor((C("db") - 30) / 15)).alias("cls")).agg(F.count(F.lit(1)).alias("n"))
+    # one row per class: five
+    return k.select("cls", "n", F.round(C("n") / F.sum("n").over(Window.partitionBy()), 6).alias("share"))
+
+
+@query("""SELECT trip, 'https://walk.example/?' || array_to_string(list_filter(['d=' || (origin % 50) || ',' || (origin // 50), CASE WHEN depart % 5 = 0 THEN 't=' || lpad((depart // 60)::VARCHAR, 2, '0') || lpad((depart % 60)::VARCHAR, 2, '0') END, CASE WHEN trip % 3 = 0 THEN 'a=quiet' END], lambda x: x IS NOT NULL), '&') AS link FROM walks""")
+def share_links(spark, sf_dir):
+    """Links of a walk; the time only where it is set, the preference only where it is chosen."""
+    two = lambda x: F.lpad(x.cast("string"), 2, "0")
+    o, m = C("origin"), C("depart")
+    parts = [F.concat(F.lit("d="), (o % 50).cast("string"), F.lit(","), F.floor(o / 50).cast("string")), F.when(m % 5 == 0, F.concat(F.lit("t="), two(F.floor(m / 60)), two(m % 60))), F.when(C("trip") % 3 == 0, "a=quiet")]
+    return b.walks(spark, sf_dir).select("trip", F.concat(F.lit("https://walk.example/?"), F.concat_ws("&", *parts)).alias("link"))
+
+
+def first_apart(x: np.ndarray, y: np.ndarray, metres: float) -> np.ndarray:
+    """Places of points that are farther than ``metres`` from every earlier one that is kept; by cells of that size."""
+    kept: dict[tuple[int, int], list[int]] = {}
+    out = []
+    for i in range(len(x)):
+        ci, cj = int(x[i] // metres), int(y[i] // metres)
+        near = (j for a in (-1, 0, 1) for c in (-1, 0, 1) for j in kept.get((ci + a, cj + c), ()))
+        if all(math.hypot(x[i] - x[j], y[i] - y[j]) > metres for j in near):
+            kept.setdefault((ci, cj), []).append(i)
+            out.append(i)
+    return np.array(out, int)
+
+
+@query()
+def apart_points(spark, sf_dir):
+    """Points of a district's ring of candidates, near ones dropped, the first kept."""
+
+    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = pdf.sort_values("part").reset_index(drop=True)
+        return own.iloc[first_apart(own["x"].to_numpy(), own["y"].to_numpy(), 40.0)][["group", "part"]]
+
+    k = C("p_partkey")
+    points = b.table(spark, sf_dir, "part").select((k % 20).alias("group"), k.alias("part"), (k * 37 % 500).cast("double").alias("x"), (k * 53 % 300).cast("double").alias("y"))
+    return points.groupBy("group").applyInPandas(keep, "group long, part long")
