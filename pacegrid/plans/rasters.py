@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from pacegrid.operators import raster
+from pacegrid.operators import raster, spatial
+from pacegrid.plans import spatial as plane
 from pacegrid.registry import query
 from pacegrid.sources import bindings as b
 
@@ -95,3 +96,41 @@ def clipped(spark, sf_dir):
     """A raster clipped to a box, no data outside."""
     keep = C("row").between(0, 399) & C("col").between(8, 55)
     return b.cells(spark, sf_dir).select("row", "col", F.when(keep, C("z")).alias("z"))
+
+
+#: Noise bands: each district's ring, and a louder one of half its size at the same corner.
+_BANDS = f"""{plane._RINGS}, bands AS (SELECT district * 2 + b AS band, i, CASE b WHEN 0 THEN x ELSE (district % 5 * 1000 + x) / 2.0 END AS x, CASE b WHEN 0 THEN y ELSE (district // 5 * 800 + y) / 2.0 END AS y FROM rings, (VALUES (0), (1)) v(b)),
+    placed AS (SELECT row, col, col * 75 + 0.5 AS px, row * 20 + 0.25 AS py FROM cells),
+    sides AS (SELECT band, x AS x1, y AS y1, lead(x, 1, fx) OVER w AS x2, lead(y, 1, fy) OVER w AS y2 FROM (SELECT *, first(x) OVER (PARTITION BY band ORDER BY i) AS fx, first(y) OVER (PARTITION BY band ORDER BY i) AS fy FROM bands) WINDOW w AS (PARTITION BY band ORDER BY i)),
+    hits AS (SELECT band, row, col FROM placed, sides WHERE (y1 > py) <> (y2 > py) AND px < (x2 - x1) * (py - y1) / (y2 - y1)::DOUBLE + x1 GROUP BY ALL HAVING count(*) % 2 = 1)"""
+
+
+def band_hits(spark, sf_dir):
+    """(band, row, col) of cells whose centre lies in a band's ring."""
+    b2 = F.explode(F.array(F.lit(0), F.lit(1))).alias("b")
+    x = F.when(C("b") == 0, C("x").cast("double")).otherwise((C("district") % 5 * 1000 + C("x")) / 2)
+    y = F.when(C("b") == 0, C("y").cast("double")).otherwise((F.floor(C("district") / 5) * 800 + C("y")) / 2)
+    bands = plane.rings(spark, sf_dir).select("*", b2).select((C("district") * 2 + C("b")).alias("band"), "i", x.alias("x"), y.alias("y"))
+    # one id for each cell, so that the join in the plane carries a single key
+    at = b.cells(spark, sf_dir).select((C("row") * 64 + C("col")).alias("at"), (C("col") * 75 + 0.5).cast("double").alias("px"), (C("row") * 20 + 0.25).cast("double").alias("py"))
+    return spatial.inside(at, ("at", "px", "py"), bands, "band").select("band", F.floor(C("at") / 64).alias("row"), (C("at") % 64).alias("col"))
+
+
+@query(f"WITH {_BANDS} SELECT c.row, c.col, coalesce(max(40 + 5 * (band // 2 % 5) + 10 * (band % 2)), 0)::BIGINT AS db, count(band) > 0 AS within FROM cells c LEFT JOIN hits USING (row, col) GROUP BY c.row, c.col")
+def loudest_cells(spark, sf_dir):
+    """Polygons on the raster, the loudest wins; cells outside every ring are masked."""
+    db = (40 + 5 * F.pmod(F.floor(C("band") / 2), F.lit(5)) + 10 * (C("band") % 2)).cast("long")
+    top = band_hits(spark, sf_dir).groupBy("row", "col").agg(F.max(db).alias("db"))
+    cells = b.cells(spark, sf_dir).select("row", "col")
+    return cells.join(top, ["row", "col"], "left").select("row", "col", F.coalesce("db", F.lit(0).cast("long")).alias("db"), C("db").isNotNull().alias("within"))
+
+
+@query(f"""WITH {_BANDS}, green AS (SELECT DISTINCT row, col FROM hits), marked AS (SELECT c.row, c.col, CASE WHEN g.row IS NULL THEN 0 ELSE 1 END AS z FROM cells c LEFT JOIN green g ON g.row = c.row AND g.col = c.col),
+    d AS (SELECT i, j FROM (SELECT unnest(range(-2, 3)) AS i), (SELECT unnest(range(-2, 3)) AS j) WHERE i * i + j * j <= 4)
+    SELECT c.row, c.col, sum(n.z) = 13 AS deep, max(n.z) = 1 AS near FROM marked c, d, marked n WHERE n.row = c.row + i AND n.col = c.col + j GROUP BY c.row, c.col""")
+def eroded_green(spark, sf_dir):
+    """Dissolved areas on cells, eroded (deep) and buffered (near) by a disc; beyond the raster nothing is green."""
+    green = band_hits(spark, sf_dir).select("row", "col").distinct().withColumn("_in", F.lit(1.0))
+    marked = b.cells(spark, sf_dir).select("row", "col").join(green, ["row", "col"], "left").select("row", "col", F.coalesce("_in", F.lit(0.0)).alias("z"))
+    disc = raster.disc(2)
+    return raster.spread(marked, disc, F.struct((F.sum("z") == len(disc)).alias("deep"), (F.max("z") == 1).alias("near")), "s").select("row", "col", "s.*")
