@@ -134,3 +134,21 @@ def eroded_green(spark, sf_dir):
     marked = b.cells(spark, sf_dir).select("row", "col").join(green, ["row", "col"], "left").select("row", "col", F.coalesce("_in", F.lit(0.0)).alias("z"))
     disc = raster.disc(2)
     return raster.spread(marked, disc, F.struct((F.sum("z") == len(disc)).alias("deep"), (F.max("z") == 1).alias("near")), "s").select("row", "col", "s.*")
+
+
+@query(f"""WITH {plane._SEGMENTS}, tries AS (SELECT eid, f, (ax + bx) / 2.0 - (b_y - ay) / len * 90 * f AS px, (ay + b_y) / 2.0 + (bx - ax) / len * 90 * f AS py FROM (SELECT *, sqrt((bx - ax) * (bx - ax) + (b_y - ay) * (b_y - ay)) AS len FROM segments), (VALUES (1.0), (0.6), (0.3), (0.0)) v(f)),
+    seen AS (SELECT eid, t.f::DOUBLE AS f, c.z FROM tries t LEFT JOIN cells c ON c.row = floor(py / 20) AND c.col = floor(px / 75))
+    SELECT eid, CASE WHEN max(CASE WHEN f = 0 THEN z END) IS NULL THEN 1.0::DOUBLE ELSE max(CASE WHEN z - z0 <= 0.05 THEN f END) END AS factor FROM (SELECT *, max(CASE WHEN f = 0 THEN z END) OVER (PARTITION BY eid) AS z0 FROM seen) GROUP BY eid""")
+def side_samples(spark, sf_dir):
+    """The widest offset to the left that does not stand on a roof; the full one where the centre has no height."""
+    length = F.sqrt((C("bx") - C("ax")) * (C("bx") - C("ax")) + (C("by") - C("ay")) * (C("by") - C("ay")))
+    f = F.explode(F.array(*[F.lit(v) for v in (1.0, 0.6, 0.3, 0.0)])).alias("f")
+    tries = plane.segments(spark, sf_dir).select("*", length.alias("len"), f).select(
+        "eid", "f", F.floor(((C("ay") + C("by")) / 2 + (C("bx") - C("ax")) / C("len") * 90 * C("f")) / 20).alias("row"),
+        F.floor(((C("ax") + C("bx")) / 2 - (C("by") - C("ay")) / C("len") * 90 * C("f")) / 75).alias("col"),
+    )
+    seen = tries.join(b.cells(spark, sf_dir), ["row", "col"], "left")
+    # four samples for each edge
+    own = seen.groupBy("eid").agg(F.max(F.when(C("f") == 0, C("z"))).alias("z0"), F.collect_list(F.struct("f", "z")).alias("tries"))
+    level = F.array_max(F.transform(F.filter("tries", lambda t: t["z"] - C("z0") <= 0.05), lambda t: t["f"]))
+    return own.select("eid", F.when(C("z0").isNull(), 1.0).otherwise(level).alias("factor"))
