@@ -161,6 +161,24 @@ def test_near_duplicates_against_brute_force(spark):
     assert near_dedup.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_near_duplicates_of_a_star(spark):
+    """Variants are like their original but not like each other: it alone joins them."""
+    rng = random.Random(11)
+    original = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+    rows = [(0, " ".join(original))]
+    for i in range(1, 301):
+        words = list(original)
+        for at in rng.sample(range(150), 18):
+            words[at] = f"v{i}x{at}"
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sketches = docs.mapInArrow(near_dedup._sketch, "doc_id long, _text binary, n_words long, _picks array<long>")
+    picks = {r.doc_id: set(r._picks) for r in sketches.collect()}
+    meet = {i for i, p in picks.items() if p & picks[0]}
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(docs).collect()}
+    assert len(meet) > 250 and all(got[i] == 0 for i in meet)
+
+
 def test_components_of_chains(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (103, 101)], "u long, v long")
     got = {r.node: r.root for r in near_dedup.components(edges).collect()}
