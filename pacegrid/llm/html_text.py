@@ -3,16 +3,17 @@
 Pages of a host are merged into one style tree.  Its nodes are element paths
 (tag and class of every open container); for each node two things are counted
 over the host's pages: which sequences of child containers it shows
-(presentation), and which blocks of text stand in it (content).  With m pages
-that have the node,
+(presentation), and which blocks of text stand in it (content).  Pages with the
+same blocks in the same places are one content and count once, so that copies of
+a page are no repetition.  With m contents that have the node,
 
     presentation importance = - sum of p * log_m(p) over its child sequences
-    content importance      = 1 - average over blocks of log_m(pages with the block)
+    content importance      = 1 - average over blocks of log_m(contents with the block)
 
 and the importance is ``(1 - g^l) * presentation + g^l * content`` for l child
-sequences, g = ``DAMPING``.  A block that all pages repeat counts 0, one that a
-single page has counts 1.  Branches of less than ``LEAST`` go, on hosts with
-``PAGES`` pages or more that have the node.
+sequences, g = ``DAMPING``.  A block that all contents repeat counts 0, one
+that a single content has counts 1.  Branches of less than ``LEAST`` go, on hosts
+with ``PAGES`` contents or more that have the node.
 
 A host with few pages shows no repetition, so branches that name themselves
 (menus, adverts, forms, comments ...) go on every host.  Repetition is judged
@@ -206,28 +207,37 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(_host, node, kind, feature, pages), summed over some pages."""
+def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(_host, _content, _features) of some pages' different contents."""
+    feature = pa.struct([("node", pa.int64()), ("kind", pa.int64()), ("feature", pa.int64())])
     for batch in batches:
         for start in range(0, batch.num_rows, 500):
             part = batch.slice(start, 500)
-            seen: Counter = Counter()
+            seen: dict[tuple[str, bytes], list[dict[str, int]]] = {}
             for host, html in zip(part.column("_host").to_pylist(), part.column("html").to_pylist(), strict=True):
                 blocks, children = parse(html)
+                # of all blocks that may stay: pages that differ in their articles alone are not copies
+                content = xxhash.xxh3_128_digest(repr([(b.path, b.text) for b in blocks if not b.goes]))
+                if (host, content) in seen:
+                    continue
                 blocks = [b for b in blocks if not b.article]
                 found = {(b.path[-1], 0, xxhash.xxh3_64_intdigest(b.text)) for b in blocks if b.path}
                 judged = {n for b in blocks for n in b.path}
                 found |= {(n, 1, xxhash.xxh3_64_intdigest(repr(children.get(n, [])))) for n in judged}
-                seen.update((host, n, kind, feature) for n, kind, feature in found)
-            rows = [(host, _signed(n), kind, _signed(f), count) for (host, n, kind, f), count in seen.items()]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["_host", "node", "kind", "feature", "pages"])
+                seen[host, content] = [{"node": _signed(n), "kind": kind, "feature": _signed(f)} for n, kind, f in sorted(found)]
+            hosts, contents = zip(*seen) if seen else ((), ())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(hosts, pa.string()), pa.array(contents, pa.binary()), pa.array(list(seen.values()), pa.list_(feature))], ["_host", "_content", "_features"]
+            )
 
 
 def unimportant(pages: DataFrame) -> DataFrame:
     """(_host, node) of the site style trees whose importance is less than LEAST."""
-    counted = pages.mapInArrow(_counts, "_host string, node long, kind long, feature long, pages long")
-    features = counted.groupBy("_host", "node", "kind", "feature").agg(F.sum("pages").alias("pages"))
+    seen = pages.mapInArrow(_contents, "_host string, _content binary, _features array<struct<node: long, kind: long, feature: long>>")
+    # copies that tasks do not see together have one vote, too
+    once = seen.groupBy("_host", "_content").agg(F.first("_features").alias("_features"))
+    counted = once.select("_host", F.explode("_features").alias("f")).select("_host", "f.*")
+    features = counted.groupBy("_host", "node", "kind", "feature").agg(F.count(F.lit(1)).alias("pages"))
     shown, said = F.col("kind") == 1, F.col("kind") == 0
     nodes = features.groupBy("_host", "node").agg(
         F.sum(F.when(shown, F.col("pages"))).alias("m"),

@@ -8,7 +8,7 @@ from itertools import combinations
 import pytest
 from pyspark.sql import functions as F
 
-from pacegrid.llm import media, mixing, near_dedup, quality, quality_rules, sentencepieces, token_files, toxicity
+from pacegrid.llm import html_text, media, mixing, near_dedup, quality, quality_rules, sentencepieces, token_files, toxicity
 
 public = pytest.importorskip("public_tokenizers")
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -229,3 +229,21 @@ def test_pipeline(frames, spark, tmp_path):
     out = corpus_pipeline.run(spark, f"file://{tmp_path}").collect()
     assert len(corpus_pipeline.STAGES) == 5 and out and all(r.parity and r.round_trip and len(r.ids) == r.n_tokens for r in out)
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_copies_of_a_page_keep_their_text(spark):
+    """Pages without article or main: copies are one content, a repeated branch still goes."""
+    rng = random.Random(2)
+
+    def page(body):
+        return f"<html><body><div class='top'><div>our site</div></div><section class='text'><div>{body}</div></section></body></html>"
+
+    few = [prose(rng, 30) for _ in range(3)]
+    many = [prose(rng, 30) for _ in range(6)]
+    rows = [(i, "http://one.org/a", page(few[0])) for i in range(40)]
+    rows += [(100 + i, "http://three.org/a", page(few[i % 3])) for i in range(999)]
+    rows += [(2000 + i, "http://many.org/a", page(many[i % 6])) for i in range(60)]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert all(got[i] == f"our site\n\n{few[0]}" for i in range(40))
+    assert all(got[100 + i] == f"our site\n\n{few[i % 3]}" for i in range(999))
+    assert all(got[2000 + i] == many[i % 6] for i in range(60))
