@@ -98,6 +98,16 @@ def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
     return wrapped
 
 
+def tidy_all(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for mapInArrow over a task's batches together, with memory handed back behind the last."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+
+    return wrapped
+
+
 def filtered(docs: DataFrame, keep: Callable[[pa.RecordBatch], Iterator[tuple[pa.RecordBatch, pa.Array]]]) -> DataFrame:
     """Rows of ``docs`` that ``keep`` says stay; columns as they are, whatever their names."""
 

@@ -77,6 +77,15 @@ def word_spans(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndar
     return starts, np.flatnonzero(ends) + 1, np.searchsorted(starts, bounds)
 
 
+def words(column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The different words, the word of each place in the texts, and row offsets into the places."""
+    raw, bounds = text_bytes(column)
+    starts, ends, rows = word_spans(raw, bounds)
+    ink = raw[~_IS_SPACE[raw]]
+    coded = strings(ink, np.concatenate([[0], np.cumsum(ends - starts)])).dictionary_encode()
+    return coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), rows
+
+
 def ragged(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For groups of these lengths: each element's group and place in it."""
     group = np.repeat(np.arange(len(lengths)), lengths)

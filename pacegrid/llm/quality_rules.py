@@ -18,7 +18,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pacegrid.llm import _tables, _text, trees
-from pacegrid.llm.near_dedup import _polynomial, _stir, word_hashes
 
 LEAST_WORDS = 50
 MOST_REPEAT_PERCENT = 50
@@ -34,23 +33,28 @@ FEATURES = {
 }
 
 
-def _repeats(hashed: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Words of each text that lie in windows of WINDOW words found twice or more in it."""
+def _repeats(codes: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Words of each text that lie in windows of WINDOW words found twice or more in it.
+
+    ``codes`` are equal where words are equal and only there, and so are the windows' keys.
+    """
     size = np.maximum(np.diff(rows) - WINDOW + 1, 0)
     group, inside = _text.ragged(size)
     first = rows[:-1][group] + inside
-    key = np.zeros(len(first), np.uint64)
-    for j in range(WINDOW):
-        key = _stir(key * np.uint64(0x9E3779B97F4A7C15) + hashed[first + j]) if len(first) else key
+    key = np.zeros(len(first), np.int64)
+    for j in range(WINDOW if len(first) else 0):
+        if int(key.max()) > (1 << 62) // (int(codes.max()) + 1):
+            key = np.unique(key, return_inverse=True)[1]  # dense again: no overflow
+        key = key * (int(codes.max()) + 1) + codes[first + j]
     order = np.lexsort((key, group))
     same = np.zeros(len(order) + 1, bool)
     same[1:-1] = (key[order][1:] == key[order][:-1]) & (group[order][1:] == group[order][:-1])
     twice = np.zeros(len(order), bool)
     twice[order] = same[1:] | same[:-1]
-    inked = np.zeros(len(hashed) + WINDOW, bool)
+    inked = np.zeros(len(codes) + WINDOW, bool)
     for j in range(WINDOW):
         inked[first[twice] + j] = True
-    return _text.row_sums(inked[: len(hashed)], rows)
+    return _text.row_sums(inked[: len(codes)], rows)
 
 
 def _repeated_lines(raw: np.ndarray, bounds: np.ndarray, ink: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -70,7 +74,10 @@ def _repeated_lines(raw: np.ndarray, bounds: np.ndarray, ink: np.ndarray) -> tup
     sums = np.concatenate([[0], np.cumsum(ink)])
     full = sums[ends] > sums[starts]
     owner, starts, ends = owner[full], starts[full], ends[full]
-    key = _stir(_polynomial(raw.astype(np.uint64) + np.uint64(1), starts, ends, np.uint64(0x9E3779B97F4A7C15)) + (ends - starts).astype(np.uint64))
+    size = ends - starts
+    line, place = _text.ragged(size)
+    lines = _text.strings(raw[starts[line] + place], np.concatenate([[0], np.cumsum(size)]))
+    key = lines.dictionary_encode().indices.to_numpy(zero_copy_only=False)
     order = np.lexsort((key, owner))
     again = np.zeros(len(order), bool)
     again[1:] = (key[order][1:] == key[order][:-1]) & (owner[order][1:] == owner[order][:-1])
@@ -81,21 +88,21 @@ def statistics(column: pa.Array) -> tuple[dict[str, np.ndarray], np.ndarray]:
     """The counts of the contract, and the feature matrix of the trees."""
     raw, bounds = _text.text_bytes(column)
     ink = ~np.isin(raw, np.frombuffer(_text.WHITESPACE, np.uint8))
-    hashed, rows = word_hashes(column)
+    _, codes, rows = _text.words(column)
     starts, ends, _ = _text.word_spans(raw, bounds)
     words = np.diff(rows)
     chars = _text.row_sums(ink & ((raw & 0xC0) != 0x80), bounds)
     symbols = _text.row_sums(np.isin(raw, np.frombuffer(SYMBOLS, np.uint8)), bounds)
     lines, again = _repeated_lines(raw, bounds, ink)
-    repeats = _repeats(hashed, rows)
+    repeats = _repeats(codes, rows)
     some, letters = np.maximum(words, 1), np.maximum(chars, 1)
     last = raw[ends - 1] if len(ends) else np.zeros(0, np.uint8)
     owner = np.repeat(np.arange(len(words)), words)
-    before = np.zeros(len(hashed), bool)
-    before[1:] = (hashed[1:] == hashed[:-1]) & (owner[1:] == owner[:-1])
-    order = np.lexsort((hashed, owner))
+    before = np.zeros(len(codes), bool)
+    before[1:] = (codes[1:] == codes[:-1]) & (owner[1:] == owner[:-1])
+    order = np.lexsort((codes, owner))
     fresh = np.ones(len(order), bool)
-    fresh[1:] = (hashed[order][1:] != hashed[order][:-1]) | (owner[order][1:] != owner[order][:-1])
+    fresh[1:] = (codes[order][1:] != codes[order][:-1]) | (owner[order][1:] != owner[order][:-1])
     longest = np.zeros(len(words), np.int64)
     np.maximum.at(longest, owner, ends - starts)
     matrix = [

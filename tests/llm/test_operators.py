@@ -5,6 +5,7 @@ import re
 import zlib
 from itertools import combinations
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -172,11 +173,43 @@ def test_near_duplicates_of_a_star(spark):
             words[at] = f"v{i}x{at}"
         rows.append((i, " ".join(words)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    sketches = docs.mapInArrow(near_dedup._sketch, "doc_id long, _text binary, n_words long, _picks array<long>")
-    picks = {r.doc_id: set(r._picks) for r in sketches.collect()}
-    meet = {i for i, p in picks.items() if p & picks[0]}
-    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(docs).collect()}
-    assert len(meet) > 250 and all(got[i] == 0 for i in meet)
+    words, at = near_dedup.word_hashes(pa.array([t for _, t in rows]))
+    picks = near_dedup.picks(words, at)
+    meet = [i for i, _ in rows if (picks[i] == picks[0]).any()]
+    # two rows of one doc_id and other texts, each of a class of its own but one: one row of each class stays
+    docs = docs.unionByName(spark.createDataFrame([(0, "another text of the least id that is like none of the others at all"), (1, rows[1][1])], docs.schema))
+    found = near_dedup.near_duplicates(docs).collect()
+    got = {r.doc_id: r.class_id for r in found}
+    assert len(meet) > 290 and all(got[i] == 0 for i in meet)
+    assert near_dedup.one_of_each(docs).count() == len(rows) - len(meet) + 1 + 1
+
+
+def test_picks_find_pairs_over_the_whole_range():
+    rng = random.Random(1)
+    for n, similar in ((100, 0.8), (100, 0.85), (300, 0.8), (300, 0.9)):
+        texts = []
+        for _ in range(300):
+            a = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+            b = list(a)
+            for at in rng.sample(range(n), round(n * (1 - similar))):
+                b[at] = f"v{rng.randrange(10**6)}"
+            texts += [" ".join(a), " ".join(b)]
+        keys = near_dedup.picks(*near_dedup.word_hashes(pa.array(texts)))
+        assert (keys[0::2] == keys[1::2]).any(axis=1).mean() >= 0.9 - 0.03 * (similar == 0.8)
+
+
+def test_a_bucket_of_many_unlike_texts_is_settled(spark):
+    """Texts that share a passage fall in one bucket; the few pairs that are alike are found without pairing all."""
+    rng = random.Random(8)
+    passage = prose(rng, 70)
+    rows = [(i, f"{prose(rng, 60)} {passage}") for i in range(400)]
+    for i in range(0, 400, 20):
+        words = rows[i][1].split()
+        for at in rng.sample(range(60), 10):
+            words[at] = f"changed{at}"
+        rows.append((1000 + i, " ".join(words)))
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i % 1000 for i, _ in rows}
 
 
 def test_components_of_chains(spark):

@@ -38,6 +38,49 @@ def test_rule_counts_are_brute_force(texts):
         assert tuple(int(counts[k][i]) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")) == want
 
 
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_sequences_on_which_polynomial_hashes_collide():
+    one = thue_morse(1024)
+    other = one.translate(str.maketrans("ab", "ba"))
+    counts, _ = quality_rules.statistics(pa.array([f"{one}\n{other}", f"{one}\n{one}", f"{one} x y {other} x y {one} x"]))
+    assert counts["n_dup_lines"].tolist() == [0, 1, 0] and counts["n_repeat_words"].tolist() == [0, 0, 0]
+    keys = near_dedup.text_keys(*near_dedup.word_hashes(pa.array([" ".join(one), " ".join(other), "  ".join(one)])))
+    assert keys[0] == keys[2] != keys[1]
+
+
+def test_rare_pairs_meet_for_all_similar_texts():
+    """Any two texts at the least similarity share one of their rarest word pairs."""
+    rng = np.random.default_rng(4)
+    for n in (*range(4, 40), 100, 200):
+        a = [f"w{x}" for x in rng.integers(0, 30, n)]
+        b = list(a)
+        for _ in range(n // 5):
+            at, kind = rng.integers(0, len(b)), rng.integers(0, 3)
+            if kind == 0 and len(b) > 1 and len(b) * 5 > n * 4:
+                del b[at]
+            else:
+                b[at:at + (kind == 1)] = [f"v{rng.integers(0, 30)}"]
+        longer = max(len(a), len(b))
+        if 5 * edit_distance(a, b) > longer:
+            continue
+        key, group, size = near_dedup._pairs_of_words(pa.array([" ".join(a), " ".join(b)]))
+        some = [set(sorted(key[group == i].tolist())[: 2 * (int(size[i]) // 4) + 1]) for i in (0, 1)]
+        assert some[0] & some[1] or edit_distance(a, b) == longer // 5 and longer < 5
+
+
+def test_huge_pairs_are_aligned_between_anchors():
+    rng = np.random.default_rng(7)
+    a = rng.permutation(400_000).astype(np.uint64)
+    b = a.copy()
+    b[rng.integers(0, len(b), 30_000)] = 1 << 40
+    found = near_dedup.edits_within([(a, b)], [80_000])[0]
+    assert 0 < found <= 30_000
+    assert near_dedup.edits_within([(a, rng.permutation(a))], [80_000])[0] == -1
+
+
 def test_slices_keep_order_and_whole_texts():
     batch = pa.RecordBatch.from_pydict({"text": ["a" * 50, None, "b" * 500, "c"], "n": [1, 2, 3, 4]})
     parts = list(_text.slices(batch, "text", 60))
