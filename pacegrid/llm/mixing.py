@@ -8,12 +8,17 @@ Newton steps on the convex dual, inside a bracket that each step narrows.  All
 steps run on the histogram (source, size, cell), not on documents, and sums are
 decimals, so the order of addition cannot change a result.
 
-Rates become whole copies cell by cell, from large sizes to small: each cell
-takes the number of copies that brings the running total nearest to the running
-target, so what is left over in the end is about half of the smallest document.
-Chains of ``CHAIN`` cells bound the arrays; a source of more cells has several,
-each of which ends as near to its own target.  Within a cell the copies go to
-documents in hash order.
+Rates become whole copies chain by chain.  Documents of a source are dealt by hash
+to chains of about ``CHAINED`` documents, whatever their sizes, so that no source
+is one group.  A chain goes from large sizes to small: each size class takes the
+number of copies that brings the running total of words nearest to the running
+target.  Up to ``EXACT`` words a class is one size, so a chain ends within half
+of its smallest document; above, a class is 1/32 of an octave wide, which bounds a chain's
+array, and its copies count with the class's mean size.  Within a class of a
+chain the copies go to documents in hash order.
+
+Sources may be many: their order, the water filling and the Newton steps are
+aggregations over the table of sources, without a window over all of it.
 
 Defined results: a null text has size 0; the null source is a source, last in
 order; empty documents and sources of size 0 get target and taken 0; rows with
@@ -30,38 +35,54 @@ from pacegrid.llm import _tables
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2
-#: Documents of one source and size are dealt to so many cells by hash.
-CELLS = 32
-CHAIN = 500
+#: Documents of a chain, about.
+CHAINED = 4096
+#: Sizes up to this number of words are classes of their own.
+EXACT = 1024
 STEPS = 40
+#: Rounds of water filling at most; each but the last caps further sources.
+FILLINGS = 1000
 
 
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit("[^ \\t-\\r]+")), F.lit(0)).cast("long")
 
 
+def _in_order(sizes: DataFrame) -> DataFrame:
+    """``sizes`` with ``_rank``, the place of the source in the order of code points, null last.
+
+    Ranges of sources are sorted by themselves; a range's first place is the
+    number of sources in the ranges before it.
+    """
+    ranged = sizes.repartitionByRange(F.col("source").asc_nulls_last()).sortWithinPartitions(F.col("source").asc_nulls_last())
+    ranged = _tables.stored(ranged.withColumn("_range", F.spark_partition_id()), "mix-order")
+    counts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    # one row for each range: a table of shuffle partitions, not of sources
+    start = counts.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_start"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(F.col("source").asc_nulls_last()))
+    return ranged.join(F.broadcast(start), "_range").withColumn("_rank", F.col("_start") + place - 1).drop("_range", "_start")
+
+
 def targets(sizes: DataFrame) -> DataFrame:
     """(source, source_size) with ``target`` words: weighted shares, capped, the excess dealt again.
 
-    Water filling: sources are capped in order of capacity per weight; the
-    number that is capped is the smallest for which the next one fits.
+    Water filling: the level is what is left for each unit of weight when sources
+    that it would fill beyond their cap have their cap; it rises until no further one has.
     """
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    by_need = Window.orderBy("_need", F.col("source").asc_nulls_last())
-    everything = Window.partitionBy()
     cap = F.col("source_size") * F.lit(float(MOST))
-    ranked = (
-        sizes.withColumn("_rank", F.row_number().over(order))
-        .withColumn("_weight", F.element_at(F.array(*[F.lit(float(w)) for w in WEIGHTS]), (F.col("_rank") - 1) % len(WEIGHTS) + 1))
-        .withColumn("_need", cap / F.col("_weight"))
-        .withColumn("_pot", F.sum("source_size").over(everything) * F.lit(SHARE))
-        .withColumn("_capped", F.coalesce(F.sum(cap).over(by_need.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
-        .withColumn("_left", F.sum("_weight").over(by_need.rowsBetween(Window.currentRow, Window.unboundedFollowing)))
-        .withColumn("_level", (F.col("_pot") - F.col("_capped")) / F.col("_left"))
-        # the first that is not capped sets the level; before it, all are
-        .withColumn("_final", F.min(F.when(F.col("_level") <= F.col("_need"), F.struct("_need", "_rank", "_level"))).over(everything)["_level"])
-    )
-    return ranked.select("source", "source_size", F.least(cap, F.col("_final") * F.col("_weight")).alias("target"))
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in WEIGHTS]), (F.col("_rank") % len(WEIGHTS) + 1).cast("int"))
+    weighted = _tables.stored(_in_order(sizes).withColumn("_weight", weight).withColumn("_cap", cap), "mix-weights")
+    level = 0.0
+    for _ in range(FILLINGS):
+        full = F.col("_cap") <= F.col("_weight") * F.lit(level)
+        words, capped, left = weighted.agg(
+            F.sum("source_size"), F.coalesce(_sum(F.when(full, F.col("_cap"))), F.lit(0.0)), F.coalesce(F.sum(F.when(~full, F.col("_weight"))), F.lit(0.0))
+        ).first()
+        now = level if not left else (words * SHARE - capped) / left
+        if now <= level:
+            break
+        level = now
+    return weighted.select("source", "source_size", F.least(F.col("_cap"), F.lit(level) * F.col("_weight")).alias("target"))
 
 
 def _sum(x: Column) -> Column:
@@ -117,19 +138,20 @@ def rates(histogram: DataFrame, wanted: DataFrame) -> DataFrame:
     return state.select("source", "lambda", "scale")
 
 
+def _class(size: Column) -> Column:
+    """The size class: the size itself, or a share of an octave above ``EXACT``; larger sizes have larger classes."""
+    return F.when(size <= EXACT, size).otherwise(EXACT + 1 + F.floor(32 * F.log2(size / float(EXACT)))).cast("int")
+
+
 def _chain(cells: Column) -> Column:
-    """Copies of each cell of an array of (size, n, _cell, want), by decreasing size."""
-    start = F.struct(F.lit(0).cast("double").alias("want"), F.lit(0).cast("long").alias("got"), F.array().cast("array<long>").alias("copies"))
+    """Copies of each cell of an array of (n, words, want), from large sizes to small."""
+    start = F.struct(F.lit(0).cast("double").alias("want"), F.lit(0).cast("double").alias("got"), F.array().cast("array<long>").alias("copies"))
 
     def step(state: Column, cell: Column) -> Column:
-        want = state["want"] + cell["want"]
-        copies = F.rint((want - state["got"]) / F.greatest(cell["size"], F.lit(1))).cast("long")
+        want, mean = state["want"] + cell["want"], cell["words"] / cell["n"]
+        copies = F.rint((want - state["got"]) / F.greatest(mean, F.lit(1.0))).cast("long")
         copies = F.least(F.greatest(copies, F.lit(0).cast("long")), cell["n"] * MOST)
-        return F.struct(
-            want.alias("want"),
-            (state["got"] + copies * cell["size"]).alias("got"),
-            F.concat(state["copies"], F.array(copies)).alias("copies"),
-        )
+        return F.struct(want.alias("want"), (state["got"] + copies * mean).alias("got"), F.concat(state["copies"], F.array(copies)).alias("copies"))
 
     return F.aggregate(cells, start, step, lambda s: s["copies"])
 
@@ -137,38 +159,38 @@ def _chain(cells: Column) -> Column:
 def mix(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """``key``, source, size, source_size, target and ``_copies`` of every document."""
     sized = _tables.stored(
-        docs.select(key, "source", word_count(F.col("text")).alias("size"))
-        .withColumn("_order", F.xxhash64(F.col(key), F.lit("mix")))
-        .withColumn("_cell", F.pmod("_order", F.lit(CELLS))),
+        docs.select(key, "source", word_count(F.col("text")).alias("size")).withColumn("_order", F.xxhash64(F.col(key), F.lit("mix"))),
         "mix-sizes",
     )
-    histogram = _tables.stored(sized.groupBy("source", "size", "_cell").agg(F.count(F.lit(1)).alias("n")), "mix-histogram")
-    wanted = targets(histogram.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")))
-    wanted = _tables.stored(wanted, "mix-targets")
-    solved = rates(histogram.groupBy("source", "size").agg(F.sum("n").alias("n")), wanted)
+    histogram = _tables.stored(sized.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "mix-histogram")
+    totals = histogram.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("_docs"))
+    totals = _tables.stored(totals, "mix-totals")
     by = F.col("source").eqNullSafe(F.col("_s"))
-    most = F.lit(float(MOST))
-    tilt = F.coalesce(F.exp(F.least(F.col("lambda") * F.col("size") / F.col("scale"), F.log(most))), most)
-    order = Window.partitionBy("source").orderBy(F.col("size").desc(), "_cell")
-    cell = F.struct((-F.col("size")).alias("_desc"), "_cell", "size", "n", "want")
-    cells = (
-        histogram.join(solved.withColumnRenamed("source", "_s"), by, "left")
-        .withColumn("want", F.col("size") * F.col("n") * tilt)
-        .withColumn("_link", F.floor((F.row_number().over(order) - 1) / CHAIN))
-        .groupBy("source", "_link")
+    solved = rates(histogram, wanted := _tables.stored(targets(totals.drop("_docs")), "mix-targets"))
+    known = totals.select(F.col("source").alias("_s"), F.ceil(F.col("_docs") / CHAINED).alias("_chains"))
+    known = known.join(solved.withColumnRenamed("source", "_t"), F.col("_s").eqNullSafe(F.col("_t")), "left").drop("_t")
+    known = known.join(wanted.withColumnRenamed("source", "_t"), F.col("_s").eqNullSafe(F.col("_t"))).drop("_t")
+    tilt = F.coalesce(F.exp(F.least(F.col("lambda") * F.col("size") / F.col("scale"), F.log(F.lit(float(MOST))))), F.lit(float(MOST)))
+    dealt = sized.join(_tables.stored(known, "mix-known"), by).select(
+        key, "source", "size", "_order", F.pmod("_order", "_chains").alias("_chain"), _class(F.col("size")).alias("_class"), tilt.alias("_rate"), "source_size", "target"
+    )
+    cells = dealt.groupBy("source", "_chain", "_class").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("size").alias("words"), _sum(F.col("size") * F.col("_rate")).alias("want")
+    )
+    cell = F.struct((-F.col("_class")).alias("_desc"), "_class", "n", "words", "want")
+    copied = (
+        cells.groupBy("source", "_chain")
         .agg(F.array_sort(F.collect_list(cell)).alias("_cells"))
-        .select("source", F.explode(F.arrays_zip("_cells", _chain(F.col("_cells")).alias("copies"))).alias("_x"))
-        .select("source", "_x._cells.size", "_x._cells._cell", "_x._cells.n", F.col("_x.copies").alias("_all"))
-        .join(wanted.withColumnRenamed("source", "_s"), by)
-        .select("_s", F.col("size").alias("_size"), F.col("_cell").alias("_c"), "n", "_all", "source_size", "target")
+        .select("source", "_chain", F.explode(F.arrays_zip("_cells", _chain(F.col("_cells")).alias("copies"))).alias("_x"))
+        .select(F.col("source").alias("_s"), F.col("_chain").alias("_ch"), F.col("_x._cells._class").alias("_cl"), F.col("_x._cells.n").alias("_n"), F.col("_x.copies").alias("_all"))
     )
-    place = F.row_number().over(Window.partitionBy("source", "size", "_cell").orderBy("_order", key))
-    same = by & (F.col("size") == F.col("_size")) & (F.col("_cell") == F.col("_c"))
-    whole = F.floor(F.col("_all") / F.col("n")).cast("long")
-    copies = whole + (F.col("_place") <= F.col("_all") - whole * F.col("n")).cast("long")
+    place = F.row_number().over(Window.partitionBy("source", "_chain", "_class").orderBy("_order", key))
+    same = by & (F.col("_chain") == F.col("_ch")) & (F.col("_class") == F.col("_cl"))
+    whole = F.floor(F.col("_all") / F.col("_n")).cast("long")
+    copies = whole + (F.col("_place") <= F.col("_all") - whole * F.col("_n")).cast("long")
     return (
-        sized.withColumn("_place", place)
-        .join(cells, same)
+        dealt.withColumn("_place", place)
+        .join(copied, same)
         .select(key, "source", "size", "source_size", "target", F.when(F.col("size") == 0, 1).otherwise(copies).alias("_copies"))
     )
 

@@ -1,10 +1,12 @@
 import gzip
+import random
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from pacegrid.llm import html_text, media, sentencepieces, token_files, warc
 
@@ -74,6 +76,55 @@ def test_style_tree_removes_what_pages_repeat(spark):
     assert got[3] == ("text 9 3", 8) and got[99] == ("", 0) and len(got) == 13
 
 
+def test_html_names_are_whole_words():
+    kept = ['<section class="discussion"><p>x</p></section>', '<div class="no-sidebar">x</div>', '<h2 id="related-work">x</h2>', '<div class="side-by-side">x</div>', '<h2 id="how-to-search-for-ads">x</h2>']
+    gone = ['<div class="cookie-banner">n</div>', '<div id="comments">n</div>', '<ul class="comment-list"><li>n</ul>', '<div hidden>n</div>', '<p class="adBox">n</p>', '<div role="search">n</div>', '<p><a class="ad"><div>n</div></a></p>']
+    assert [html_text.main_text(f"<article>{x}</article>", set()) for x in kept] == ["x"] * len(kept)
+    assert [html_text.main_text(f"<article><p>x</p>{x}</article>", set()) for x in gone] == ["x"] * len(gone)
+    assert html_text.main_text('<article><p>a <span class="ad">buy <span>x</span> tail</span> b</p></article>', set()) == "a b"
+
+
+def test_html_of_hostile_pages_is_read_in_linear_time():
+    import time
+
+    for page in ('<a "' * 100_000, '<a "x>\' ' * 40_000, '<a b="c>' * 40_000 + '"', "<" * 400_000, "<!--" * 100_000, "<div>" * 80_000 + "x", "<p><span class=ad>" * 20_000):
+        began = time.process_time()
+        html_text.main_text(page, set())
+        assert time.process_time() - began < 3
+
+
+def test_style_trees_find_the_repeated_branches_of_labelled_pages(spark):
+    """Unnamed branches inside and outside of articles, beside blocks of the article that pages share by chance."""
+    rng = random.Random(6)
+
+    def words(n):
+        return " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+
+    fixed, rows, want = [words(12) for _ in range(3)], [], {}
+    quote = words(9)
+    for i in range(40):
+        host, body = i % 4, [words(30), *([quote] if i % 8 < 2 else []), words(20)]
+        inner = "".join(f"<p>{b}</p>" for b in body)
+        page = (
+            f"<body><div class='xq'><div>{fixed[0]}</div></div><article><div class='t1'>{inner}</div><div class='box7'><p>{fixed[1]}</p></div>"
+            f"<section class='discussion'><p>{words(8)}</p></section></article><div class='zz'>{fixed[2]}</div></body>"
+        )
+        said = page[page.index("discussion") + 15 :].split("</p>")[0]
+        rows.append((i, f"http://h{host}.org/{i}" if host else None, page))
+        want[i] = "\n\n".join([*body, said])
+    # one host of near copies of an article: no repetition to judge by
+    copy = [words(40), words(6)]
+    for i in range(100, 130):
+        rows.append((i, f"http://copies.org/{i}", f"<body><article><div class='t1'><p>{copy[0]}</p><p>{copy[1]} {i % 3}</p></div></article></body>"))
+        want[i] = f"{copy[0]}\n\n{copy[1]} {i % 3}"
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"_host": F.lit("x"), "_salt": F.lit(1), "text": F.lit("t")})
+    assert {r.page_id: r.text for r in html_text.extract(pages.repartition(4)).collect()} == want
+    hosted = pages.withColumn("_host", F.coalesce(F.regexp_extract("url", "//([^/]+)", 1), F.lit("")))
+    low = html_text.importance(hosted).where(F.col("importance") < html_text.LEAST).groupBy("_host").count().collect()
+    assert {r["_host"]: r["count"] for r in low} == dict.fromkeys(["", "h1.org", "h2.org", "h3.org"], 3)  # two outside the article, one in it
+    assert html_text.extract(pages.limit(0)).count() == 0
+
+
 def test_warc(spark):
     rows = [(i, f"http://h.example/{i}" if i % 3 else None, "x" * i if i % 5 else None) for i in range(300)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)

@@ -1,5 +1,6 @@
 """Operators on small tables: odd rows, copies, ties, empty tables, clashing names."""
 
+import math
 import random
 import re
 import zlib
@@ -114,12 +115,57 @@ def test_mixing(frames):
     want |= {s: level * weight[s] for s in left}
     for s in names:
         assert targets[s] == pytest.approx(want[s]) and abs(taken[s] - want[s]) <= max(60, 0.01 * want[s])
+    # the dual, by bisection: rates are exp(x * size), 2 at most, and sum to the target; copies are near to them
+    chosen = {r.doc_id: (source[r.doc_id], r.size, r.taken // max(r.size, 1)) for r in rows if r.doc_id is not None and r.doc_id != 5}
+    for s in names:
+        mine = [(n, c) for t, n, c in chosen.values() if t == s and n]
+        if want[s] >= 2 * sizes[s] - 1e-6:
+            assert all(c == 2 for _, c in mine)
+            continue
+        sizes_of = [r.size for r in rows if source[r.doc_id] == s]
+        if max(sizes_of) > 0.05 * sum(sizes_of):
+            continue  # whole copies of one document are too coarse: the others make up for it
+        low, high = -5.0, 1.0
+        for _ in range(200):
+            x = (low + high) / 2
+            low, high = (x, high) if sum(min(2.0, math.exp(min(x * n, 1))) * n for n in sizes_of) < want[s] else (low, x)
+        expected = sum(min(2.0, math.exp(min(low * n, 1))) for n, _ in mine)
+        assert abs(sum(c for _, c in mine) - expected) <= 3 + 0.02 * expected
+        small = [(n, c) for n, c in mine if n <= 80]
+        assert abs(sum(c for _, c in small) - sum(min(2.0, math.exp(min(low * n, 1))) for n, _ in small)) <= 6 + 0.05 * len(small)
     mixed = mixing.mixed_documents(docs)
     assert mixed.schema.names == docs.schema.names
     assert mixed.count() == sum(1 if r.size == 0 else r.taken // r.size for r in rows)
     assert mixing.mixing(docs.limit(0)).count() == 0
 
 
+def test_mixing_of_many_sources_and_chains(spark, monkeypatch):
+    """Chains of few documents and classes of many sizes still end near the target; 300 sources are ranked and filled."""
+    monkeypatch.setattr(mixing, "CHAINED", 64)
+    monkeypatch.setattr(mixing, "EXACT", 16)
+    rng = random.Random(9)
+    rows = [(i, "w " * int(rng.paretovariate(1.2) * 4 % 3000), "" if i % 2 else f"é{i % 300}" if i % 7 else None) for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(7)
+    found = mixing.mixing(docs).collect()
+    sizes, targets, taken, source = {}, {}, {}, {i: s for i, _, s in rows}
+    for r in found:
+        s = source[r.doc_id]
+        sizes[s], targets[s], taken[s] = sizes.get(s, 0) + r.size, r.target, taken.get(s, 0) + r.taken
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
+    left, want, pot = set(names), {}, 1.5 * sum(sizes.values())
+    while True:
+        level = (pot - sum(want.values())) / sum(weight[s] for s in left)
+        over = {s for s in left if level * weight[s] > 2 * sizes[s]}
+        if not over:
+            break
+        want |= {s: 2.0 * sizes[s] for s in over}
+        left -= over
+    want |= {s: level * weight[s] for s in left}
+    assert all(targets[s] == pytest.approx(want[s]) for s in names)
+    assert abs(taken[""] - want[""]) <= 0.01 * want[""] and abs(sum(taken.values()) - pot) <= 0.01 * pot
+
+
 def test_near_duplicates_against_brute_force(spark):
     rng = random.Random(5)
     base = [prose(rng, 80) for _ in range(25)]
