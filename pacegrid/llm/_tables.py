@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FOLDS = 5
+#: Longest text that comes to the driver as a training row, in bytes.
+MOST_BYTES = 32 << 10
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,7 +25,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (spark.checkpoint.dir)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = "file:///tmp/pacegrid-checkpoints"
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = "file:///tmp/pacegrid-checkpoints"  # one machine, as in tests
         spark.conf.set("spark.checkpoint.dir", folder)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(folder)
@@ -48,15 +52,12 @@ def fold(key: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(key).cast("string")) % FOLDS, F.lit(0)).cast("int")
 
 
-def labelled_sample(
-    docs: DataFrame, labels: DataFrame, label: str, most: dict[int, int], columns: list[str]
-) -> pa.Table:
-    """At most ``most[c]`` labelled documents of each class, outside fold 0, on the driver.
+def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, most: dict[int, int], columns: list[str]) -> DataFrame:
+    """``columns`` of at most ``most[c]`` labelled documents of each class, outside fold 0, with _label, _fold and _order.
 
     The choice is by hash of doc_id, so it is the same at every run.  Labels
     other than the keys of ``most`` are ignored, the highest of a document's
-    labels counts, and rows without a doc_id are no training rows.  Whole texts
-    are returned: the bound is in documents.
+    labels counts, and rows without a doc_id are no training rows.
     """
     marks = (
         labels.where(F.col(label).isin(list(most)) & F.col("doc_id").isNotNull())
@@ -71,7 +72,12 @@ def labelled_sample(
         part = marks.where(F.col("_label") == value).orderBy("_order", "doc_id").limit(bound)
         chosen = part if chosen is None else chosen.unionByName(part)
     # bounded by sum(most.values()) rows of four numbers
-    picked = docs.select("doc_id", *columns).join(F.broadcast(chosen), "doc_id")
+    return docs.select("doc_id", *columns).join(F.broadcast(chosen), "doc_id")
+
+
+def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, most: dict[int, int]) -> pa.Table:
+    """``labelled_rows`` on the driver with whole texts; texts of more than ``MOST_BYTES`` bytes are no training rows."""
+    picked = labelled_rows(docs, labels, label, most, ["text"]).where(F.coalesce(F.octet_length("text"), F.lit(0)) <= MOST_BYTES)
     return picked.toArrow().combine_chunks().sort_by([("_order", "ascending"), ("doc_id", "ascending")])
 
 

@@ -117,12 +117,22 @@ def statistics(column: pa.Array) -> tuple[dict[str, np.ndarray], np.ndarray]:
 
 def fit(docs: DataFrame, labels: DataFrame) -> trees.Forest | None:
     """Trees from a bounded sample outside fold 0, weighted back to the labels' shares."""
-    sample = _tables.labelled_sample(docs, labels, "quality", {0: MOST_POOR, 1: MOST_GOOD}, ["text"])
-    y = np.asarray(sample["_label"]).astype(float) if sample.num_rows else np.zeros(0)
+    picked = _tables.labelled_rows(docs, labels, "quality", {0: MOST_POOR, 1: MOST_GOOD}, ["text"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _text.slices(batch, "text"):
+                rows = statistics(part.column("text"))[1]
+                yield pa.RecordBatch.from_arrays([part.column("_label"), part.column("_order"), pa.array(list(rows), pa.list_(pa.float64()))], ["_label", "_order", "_x"])
+
+    # statistics alone come to the driver: a few numbers for each of at most MOST_POOR + MOST_GOOD documents
+    sample = picked.mapInArrow(run, "_label int, _order long, _x array<double>").toArrow().to_pydict()
+    order = sorted(range(len(sample["_order"])), key=lambda i: (sample["_order"][i], sample["_x"][i]))
+    y = np.array([sample["_label"][i] for i in order], float)
     if len(set(y)) < 2:
         return None
-    x = np.concatenate([statistics(p.column("text"))[1] for b in sample.to_batches() for p in _text.slices(b, "text")])
-    prior = float(labels.where("quality IN (0, 1)").agg(F.avg("quality")).first()[0])
+    x = np.array([sample["_x"][i] for i in order])
+    prior = float(labels.where(F.col("quality").isin(0, 1) & (_tables.fold() != 0)).agg(F.avg("quality")).first()[0])
     weight = np.where(y > 0.5, prior / y.mean(), (1 - prior) / (1 - y.mean()))
     return trees.fit(x, y, weight, np.array(list(FEATURES.values())))
 

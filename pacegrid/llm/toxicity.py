@@ -197,7 +197,7 @@ def _content(names: list[str], rank: np.ndarray, least: float) -> bytes:
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Dictionaries from folds 2 to 4, thresholds and probabilities from fold 1."""
-    sample = _tables.labelled_sample(docs, labels, "toxic", {1: MOST_TOXIC, 0: MOST_ORDINARY}, ["text"])
+    sample = _tables.labelled_texts(docs, labels, "toxic", {1: MOST_TOXIC, 0: MOST_ORDINARY})
     label = np.asarray(sample["_label"]) if sample.num_rows else np.zeros(0, int)
     model = Model(prior=float(label.mean()) if len(label) else 0.0)
     text = pa.concat_arrays([pa.array([], pa.large_string()), *sample["text"].cast(pa.large_string()).chunks])
