@@ -76,8 +76,7 @@ def roundness(area: Column, length: Column) -> Column:
     return 4 * math.pi * area / F.when(length > 0, length * length)
 
 
-def fnv1a(numbers: Column) -> Column:
-    """32-bit FNV-1a over the decimal digits of the numbers, joined by commas."""
-    text = F.concat_ws(",", F.transform(numbers, lambda x: x.cast("string")))
-    codes = F.transform(F.split(text, ""), lambda c: F.ascii(c).cast("long"))
-    return F.aggregate(F.filter(codes, lambda c: c > 0), F.lit(2166136261).cast("long"), lambda h, c: h.bitwiseXOR(c) * 16777619 % (1 << 32))
+def walk_key(eids: Column) -> Column:
+    """The number of edges and a 32-bit FNV-1a hash over whole edge ids, in base 36."""
+    hashed = F.aggregate(eids, F.lit(2166136261).cast("long"), lambda h, e: h.bitwiseXOR(e.cast("long").bitwiseAND(F.lit(0xFFFFFFFF))) * 16777619 % (1 << 32))
+    return F.concat(F.size(eids).cast("string"), F.lit(":"), F.lower(F.conv(hashed.cast("string"), 10, 36)))

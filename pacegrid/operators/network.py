@@ -2,13 +2,16 @@
 
 ``relax`` and ``components`` run on any size, round by round.  The search kernel
 holds one city's edges in a task, where a heap needs them; a city's queries are
-dealt to ``SALTS`` groups, so that a city with most queries is many tasks.
+dealt to groups of about ``TRIPS``, so that a city with most queries is many tasks.
+What an edge costs and what a turn costs is worked out by Spark, in the one place
+that states it (``functions.cost``, ``turns``); the kernel adds numbers up.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,10 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pacegrid.functions import cost as fixed
-from pacegrid.sources.bindings import BUCKETS, SPEED, START_MIN, STEP_MIN
 
 C = F.col
-SALTS = 8
+#: Queries of a city that share a task, about.
+TRIPS = 64
 #: Degrees within which a street goes on straight, and by which another way is bent more.
 STRAIGHT_DEG, BENT_DEG = 20, 5
 TURN_M, MAJOR_NODE_M = 60, 150
@@ -30,23 +33,28 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Lineage cut by a checkpoint in the shared folder that the session names."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", "file:///tmp/pacegrid-checkpoints"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(folder or "file:///tmp/pacegrid-checkpoints")
     return df.checkpoint()
 
 
-def relax(edges: DataFrame, sources: DataFrame, rounds: int) -> DataFrame:
-    """(source, node, dist): least sums of (u, v, w) over at most ``rounds`` edges."""
-    best = sources.select("source", C("source").alias("node"), F.lit(0).cast("long").alias("dist"))
+def relax(edges: DataFrame, sources: DataFrame, most: int) -> DataFrame:
+    """(source, node, dist): least sums of (u, v, w); nodes beyond ``most`` are reached but lead no further.
+
+    Rounds go on until none changes a sum.
+    """
+    best = checkpointed(sources.select("source", C("source").alias("node"), F.lit(0).cast("long").alias("dist")))
     front = best
-    for _ in range(rounds):
-        step = front.join(edges, C("node") == C("u")).select("source", C("v").alias("node"), (C("dist") + C("w")).alias("dist"))
+    while True:
+        step = front.where(C("dist") <= most).join(edges, C("node") == C("u")).select("source", C("v").alias("node"), (C("dist") + C("w")).alias("dist"))
         step = step.groupBy("source", "node").agg(F.min("dist").alias("dist"))
         known = best.select("source", "node", C("dist").alias("_known"))
         front = checkpointed(step.join(known, ["source", "node"], "left").where(C("_known").isNull() | (C("dist") < C("_known"))).select("source", "node", "dist"))
         if front.isEmpty():
-            break
+            return best
         best = checkpointed(best.unionByName(front).groupBy("source", "node").agg(F.min("dist").alias("dist")))
-    return best
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -69,6 +77,49 @@ def components(edges: DataFrame) -> DataFrame:
             return label
 
 
+def turns(edges: DataFrame) -> DataFrame:
+    """(e1, e2, metres) of consecutive edges whose turn costs something.
+
+    Leaving the straight street over a junction mouth costs ``TURN_M``, crossing a
+    major road for nothing ``MAJOR_NODE_M``; at crossing nodes turns are free.
+    ``edges`` has eid, u, v, len_dm, flags and the ends' places x1, y1, x2, y2.
+    """
+    size = F.greatest(F.hypot(C("x2") - C("x1"), C("y2") - C("y1")), F.lit(1e-9))
+    e = edges.select("eid", "u", "v", "len_dm", "flags", ((C("x2") - C("x1")) / size).alias("ux"), ((C("y2") - C("y1")) / size).alias("uy"))
+    one = e.select(*[C(c).alias(f"a_{c}") for c in ("eid", "u", "len_dm", "flags", "ux", "uy")], C("v").alias("n"))
+    two = e.select(*[C(c).alias(f"b_{c}") for c in ("eid", "v", "len_dm", "flags", "ux", "uy")], C("u").alias("n"))
+    along = F.least(F.lit(1.0), F.greatest(F.lit(-1.0), C("a_ux") * C("b_ux") + C("a_uy") * C("b_uy")))
+    pairs = one.join(two, "n").withColumn("along", along)
+    back = (C("b_v") == C("a_u")) & (C("b_len_dm") == C("a_len_dm"))
+    # the straightest streets out of the node, but for the way back: two of them, as one may be the turn itself
+    straight = pairs.where(fixed.bit(C("b_flags"), 1) & ~back).groupBy("a_eid").agg(F.slice(F.array_sort(F.collect_list(F.struct((-C("along")).alias("k"), C("b_eid").alias("e")))), 1, 2).alias("best"))
+    ends = e.select(C("u").alias("n"), "flags").unionByName(e.select(C("v").alias("n"), "flags"))
+    marks = ends.groupBy("n").agg(F.bool_or(fixed.bit(C("flags"), 4)).alias("crossing"), F.bool_or(C("flags").bitwiseAND(F.lit(33)) == 33).alias("major"))
+    best = F.array_max(F.transform(F.filter("best", lambda o: o["e"] != C("b_eid")), lambda o: -o["k"]))
+    bent = (C("b_flags").bitwiseAND(F.lit(3)) == 3) & (best > math.cos(math.radians(STRAIGHT_DEG))) & (F.acos("along") > F.acos(best) + math.radians(BENT_DEG))
+    through = C("major") & ~fixed.bit(C("a_flags"), 32) & ~fixed.bit(C("b_flags"), 32)
+    metres = F.when(F.coalesce(bent, F.lit(False)), TURN_M).otherwise(0) + F.when(through, MAJOR_NODE_M).otherwise(0)
+    found = pairs.join(straight, "a_eid", "left").join(marks, "n").where("NOT crossing")
+    return found.select(C("a_eid").alias("e1"), C("b_eid").alias("e2"), metres.alias("metres")).where("metres > 0")
+
+
+def searched(edges: DataFrame, weights: tuple[float, float, float, float], access: str) -> DataFrame:
+    """``edges`` as the kernel needs them: (city, eid, u, v, places, metres, lit, sun, more, shade, turns).
+
+    A price is linear in what changes on the way: ``lit`` is the price in full shade,
+    ``sun`` is added for each part of an edge in the sun, and ``more`` for each extra unit of rate.
+    All are null where the access mode excludes an edge.  ``shade`` is the edge's series of bytes.
+    """
+    e = {c: C(c) for c in ("len_dm", "noise_q", "surface_q", "green_q", "flags", "acc", "slope")}
+    w = dict(zip(("shade", "noise", "surface", "green"), map(F.lit, weights)))
+    at = lambda shade, extra=None: fixed.edge_cost(e, F.lit(shade), w, access, extra)
+    bends = turns(edges).groupBy(C("e1").alias("eid")).agg(F.collect_list(F.struct("e2", "metres")).alias("turns"))
+    return edges.select(
+        "city", "eid", "u", "v", "x1", "y1", "x2", "y2", (C("len_dm") / 10).alias("metres"), "shade",
+        at(1.0).alias("lit"), (at(0.0) - at(1.0)).alias("sun"), (at(1.0, F.lit(1.0)) - at(1.0)).alias("more"),
+    ).join(bends, "eid", "left")
+
+
 @dataclass
 class Graph:
     """One city's edges, sorted by source; arrays by edge position."""
@@ -78,110 +129,56 @@ class Graph:
     v: np.ndarray
     first: dict[int, tuple[int, int]]
     length: np.ndarray
-    noise: np.ndarray
-    surface: np.ndarray
-    green: np.ndarray
-    flags: np.ndarray
-    acc: np.ndarray
-    slope: np.ndarray
-    twin: np.ndarray
-    ux: np.ndarray
-    uy: np.ndarray
+    lit: np.ndarray
+    sun: np.ndarray
+    more: np.ndarray
+    series: np.ndarray
+    turning: list[dict[int, float]]
+    back: set[tuple[int, int]]
     place: dict[int, tuple[float, float]]
-    crossing: set[int]
-    major: set[int]
+    at: dict[int, int]
+    least_rate: float
+    start_min: float
+    step_min: float
+    speed: float
 
     @classmethod
-    def of(cls, pdf: pd.DataFrame) -> Graph:
+    def of(cls, pdf: pd.DataFrame, weights: tuple[float, float, float, float], clock: tuple[float, float, float]) -> Graph:
+        """``clock``: first minute and step of the shade series, and metres a minute."""
         e = pdf.sort_values(["u", "v", "eid"]).reset_index(drop=True)
-        u, v = e.u.to_numpy(), e.v.to_numpy()
-        nodes, start = np.unique(u, return_index=True)
-        ends = np.append(start[1:], len(u))
-        back = {(a, b, n): i for i, (a, b, n) in reversed(list(enumerate(zip(u, v, e.len_dm))))}
-        dx, dy = (e.x2 - e.x1).to_numpy(float), (e.y2 - e.y1).to_numpy(float)
-        size = np.maximum(np.hypot(dx, dy), 1e-9)
-        flags = e["flags"].to_numpy()
-        by_node = pd.concat([pd.Series(flags, index=u), pd.Series(flags, index=v)])
-        place = dict(zip(v.tolist(), zip(e.x2.astype(float), e.y2.astype(float)))) | dict(zip(u.tolist(), zip(e.x1.astype(float), e.y1.astype(float))))
+        nodes, start = np.unique(e.u, return_index=True)
+        ends = np.append(start[1:], len(e))
+        at = {int(x): i for i, x in enumerate(e.eid)}
+        turning = [{at[int(t["e2"])]: float(t["metres"]) for t in (() if many is None else many) if int(t["e2"]) in at} for many in e.turns]
+        same = {(u, v, m): i for i, (u, v, m) in reversed(list(enumerate(zip(e.u, e.v, e.metres))))}
+        back = {(i, same[v, u, m]) for i, (u, v, m) in enumerate(zip(e.u, e.v, e.metres)) if (v, u, m) in same}
+        place = {int(n): (float(x), float(y)) for a in ("1", "2") for n, x, y in zip(e["uv"[int(a) - 1]], e["x" + a], e["y" + a])}
         return cls(
-            e.eid.to_numpy(), u, v, {int(n): (int(a), int(b)) for n, a, b in zip(nodes, start, ends)}, e.len_dm.to_numpy() / 10, e.noise_q.to_numpy() / 255, e.surface_q.to_numpy(),
-            e.green_q.to_numpy() / 255, flags, e["acc"].to_numpy(), e.slope.to_numpy(), np.array([back.get((b, a, n), -1) for a, b, n in zip(u, v, e.len_dm)]), dx / size, dy / size, place,
-            set(by_node.index[(by_node & 4) != 0]), set(by_node.index[(by_node & 33) == 33]),
+            e.eid.to_numpy(), e.u.to_numpy(), e.v.to_numpy(), {int(n): (int(a), int(b)) for n, a, b in zip(nodes, start, ends)}, e.metres.to_numpy(float),
+            e.lit.astype(float).fillna(math.inf).to_numpy(), e.sun.astype(float).fillna(0.0).to_numpy(), e.more.astype(float).fillna(0.0).to_numpy(),
+            np.stack([np.asarray(s, float) for s in e.shade]) / 255, turning, back, place, at, max(0.05, 1 - weights[3]), *clock,
         )
 
-    def shade(self, i: int, minute: float) -> float:
-        last = START_MIN + STEP_MIN * (BUCKETS - 1)
-        if minute < START_MIN or minute > last:
-            return 1.0
-        at = (minute - START_MIN) / STEP_MIN
-        low = min(int(at), BUCKETS - 1)
-        part = at - low
-        byte = lambda k: (int(self.eid[i]) * 37 + k * 11) % 256
-        return (byte(low) * (1 - part) + byte(min(low + 1, BUCKETS - 1)) * part) / 255
-
-    def price(self, i: int, minute: float, w: tuple[float, float, float, float], access: str, extra: float = 0.0) -> float:
-        """The same price as ``functions.cost.edge_cost``; infinite where excluded."""
-        f, a, length = int(self.flags[i]), int(self.acc[i]), float(self.length[i])
-        loud = self.noise[i]
-        rate = 1 - w[3] * self.green[i] + w[0] * (1 - self.shade(i, minute)) + w[1] * (0.0 if loud <= 0.5 else ((loud - 0.5) / 0.5) ** 2) + w[2] * self.surface[i] / 255 + extra
-        if f & 2 and not f & 4:
-            rate += fixed.MAJOR_CARRIAGEWAY if f & 32 else fixed.CARRIAGEWAY
-        if f & 64 and not f & 4:
-            rate += fixed.CYCLEWAY
-        base = length * rate
-        if f & 4:
-            across = min(length, fixed.INFERRED_CAP) if f & 1 and not f & 72 else length
-            factor = (fixed.JAYWALK_FACTOR if f & 1 else fixed.CYCLE_CROSSING_FACTOR) if f & 64 else fixed.MARKED_FACTOR if f & 8 else 1
-            base += fixed.CROSSING_M * across / fixed.CROSSING_LEN_M * factor
-        steep, times, more = abs(int(self.slope[i])) / 2, 1.0, 0.0
-        if access == "wheelchair":
-            if (a & 1 and not a & 4) or a & 216 or steep > 8:
-                return math.inf
-            times *= (1.5 if a & 4 else 1) * (3 if a & 32 else 1) * (2.5 if self.surface[i] >= 150 else 1)
-            times *= 3 if steep > 6 else (1.5 if self.slope[i] > 0 else 1.2) if steep > 3 else 1
-        elif access == "stroller":
-            if a & 64:
-                return math.inf
-            times *= 6 if steep > 20 else 1
-            if a & 1 and not a & 4:
-                times *= 1.5 if a & 2 else 3
-                more += 0 if a & 2 else fixed.STEPS_STROLLER_M
-            more += fixed.KERB_STROLLER_M if a & 8 else 0
-            times *= (2 if a & 16 else 1) * (1.2 if a & 32 else 1) * (2.5 if a & 128 else 1)
-            times *= 4 if steep > 12 else 2.5 if steep > 8 else 1.5 if steep > 6 else 1
-        else:
-            times *= (3 if a & 1 else 1) * (2 if a & 64 else 1)
-        return base * times + more
-
-    def turn(self, i: int, k: int) -> float:
-        """Metres for leaving the straight street over a junction mouth, or crossing a major road for nothing."""
-        n, out = int(self.v[i]), 0.0
-        if n in self.crossing:
-            return 0.0
-        if int(self.flags[k]) & 3 == 3:
-            lo, hi = self.first.get(n, (0, 0))
-            options = [j for j in range(lo, hi) if j not in (k, self.twin[i]) and int(self.flags[j]) & 1]
-            along = lambda j: max(-1.0, min(1.0, float(self.ux[i] * self.ux[j] + self.uy[i] * self.uy[j])))
-            best = max(map(along, options), default=-2.0)
-            if best > math.cos(math.radians(STRAIGHT_DEG)) and math.acos(along(k)) > math.acos(best) + math.radians(BENT_DEG):
-                out += TURN_M
-        if n in self.major and not int(self.flags[i]) & 32 and not int(self.flags[k]) & 32:
-            out += MAJOR_NODE_M
-        return out
-
-    def route(self, start: int, goal: int, minute: float, w: tuple[float, float, float, float], access: str = "stroller", extra=None) -> tuple[list[int], float, float] | None:
+    def price(self, k: int, minute: float, extra: float = 0.0) -> float:
+        """The price of an edge entered at a minute; outside the series all is shade, infinite where excluded."""
+        step = (minute - self.start_min) / self.step_min
+        last = self.series.shape[1] - 1
+        shade = 1.0 if step < 0 or step > last else float(np.interp(step, (low := int(step), min(low + 1, last)), self.series[k, [low, min(low + 1, last)]]))
+        return float(self.lit[k]) + float(self.sun[k]) * (1 - shade) + float(self.more[k]) * extra
+
+    def route(self, start: int, goal: int, minute: float, extra: Callable[[int], float] | None = None) -> tuple[list[int], float, float] | None:
         """(edge positions, metres, price) of the best way over edges as states; ties go to the lower edge."""
         if start == goal:
             return [], 0.0, 0.0
         if start not in self.first or goal not in self.place:
             return None
-        scale, (gx, gy) = max(0.05, 1 - w[3]), self.place[goal]
-        ahead = lambda n: scale * math.hypot(self.place[n][0] - gx, self.place[n][1] - gy)
-        price = lambda k, t: self.price(k, t, w, access, extra(k) if extra else 0.0)
+        gx, gy = self.place[goal]
+        ahead = lambda n: self.least_rate * math.hypot(self.place[n][0] - gx, self.place[n][1] - gy)
+        more = extra or (lambda k: 0.0)
         cost, walked, came, done = {}, {}, {}, set()
         heap: list[tuple[float, int]] = []
         for k in range(*self.first[start]):
-            c = price(k, minute)
+            c = self.price(k, minute, more(k))
             if c < math.inf:
                 cost[k], walked[k], came[k] = c, float(self.length[k]), -1
                 heapq.heappush(heap, (c + ahead(int(self.v[k])), k))
@@ -199,15 +196,34 @@ class Graph:
                 return way[::-1], walked[i], cost[i]
             lo, hi = self.first.get(n, (0, 0))
             for k in range(lo, hi):
-                if k == self.twin[i] and hi - lo > 1:
+                if hi - lo > 1 and (i, k) in self.back:
                     continue
-                c = cost[i] + price(k, minute + walked[i] / SPEED) + self.turn(i, k)
+                c = cost[i] + self.price(k, minute + walked[i] / self.speed, more(k)) + self.turning[i].get(k, 0.0)
                 if c < cost.get(k, math.inf):
                     cost[k], walked[k], came[k] = c, walked[i] + float(self.length[k]), i
                     heapq.heappush(heap, (c + ahead(int(self.v[k])), k))
         return None
 
-    def tree(self, start: int, minute: float, w: tuple[float, float, float, float], most: float, access: str = "stroller") -> tuple[dict, dict, dict, list[int]]:
+    def route_to_pin(self, start: int, eid: int, part: float, minute: float) -> tuple[list[int], float, float, float] | None:
+        """The best way to a place on an edge, ``part`` of it from its source: by either end, with the piece from there.
+
+        (edge positions to that end, metres in all, price in all, metres of the piece).
+        """
+        k = self.at.get(eid)
+        if k is None:
+            return None
+        found = []
+        for end, share in ((int(self.u[k]), part), (int(self.v[k]), 1 - part)):
+            way = self.route(start, end, minute)
+            if way is not None:
+                edge = self.price(k, minute + way[1] / self.speed)
+                piece = edge * share if edge < math.inf else 0.0
+                metres = share * float(self.length[k])
+                found.append((way[2] + piece, end, way[0], way[1] + metres, metres))
+        best = min(found, key=lambda f: f[0], default=None)
+        return None if best is None else (best[2], best[3], best[0], best[4])
+
+    def tree(self, start: int, minute: float, most: float) -> tuple[dict, dict, dict, list[int]]:
         """Node-state search: price, metres, edge into each node, and nodes as they settle; past ``most`` metres nodes settle but lead no further."""
         cost, walked, into, settled, done = {start: 0.0}, {start: 0.0}, {}, [], set()
         heap = [(0.0, start)]
@@ -221,30 +237,55 @@ class Graph:
                 continue
             for k in range(*self.first.get(n, (0, 0))):
                 m = int(self.v[k])
-                c = cost[n] + self.price(k, minute + walked[n] / SPEED, w, access)
+                c = cost[n] + self.price(k, minute + walked[n] / self.speed)
                 if m not in done and c < cost.get(m, math.inf):
                     cost[m], walked[m], into[m] = c, walked[n] + float(self.length[k]), k
                     heapq.heappush(heap, (c, m))
         return cost, walked, into, settled
 
 
-def routes(edges: DataFrame, asked: DataFrame, preset: str = "balanced", access: str = "stroller") -> DataFrame:
+def dealt(asked: DataFrame, edges: dict[str, DataFrame], clock: tuple[float, float, float], plan, schema: str) -> DataFrame:
+    """``plan(graphs, row)`` for every row of ``asked`` (with city and trip), beside its city's graphs.
+
+    ``edges`` holds ``searched`` edges by preset.  A city's rows are dealt to groups of about
+    ``TRIPS``, each with the city's edges.
+    """
+    groups = asked.groupBy("city").agg(F.ceil(F.count(F.lit(1)) / TRIPS).alias("_groups"))
+    rows = asked.join(groups, "city").withColumn("_salt", F.pmod(F.xxhash64("trip"), C("_groups")))
+    named = None
+    for name, e in edges.items():
+        e = e.withColumn("_preset", F.lit(name))
+        named = e if named is None else named.unionByName(e)
+    held = named.join(rows.select("city", C("_salt").alias("_part")).distinct(), "city")
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        graphs = {name: Graph.of(part, fixed.PRESETS[name], clock) for name, part in right.groupby("_preset")}
+        return pd.DataFrame([row for q in left.itertuples() for row in plan(graphs, q)], columns=names)
+
+    return rows.groupBy("city", "_salt").cogroup(held.groupBy("city", "_part")).applyInPandas(run, schema)
+
+
+def routes(edges: DataFrame, asked: DataFrame, clock: tuple[float, float, float], preset: str = "balanced", access: str = "stroller") -> DataFrame:
     """(trip, eids, metres, cost) for rows (city, trip, start, goal, depart); null where there is no way.
 
-    ``edges`` has city, eid, u, v, attributes and the ends' places x1, y1, x2, y2.
+    ``edges`` has city, eid, u, v, attributes, ``shade`` and the ends' places x1, y1, x2, y2.
     """
-    w = fixed.PRESETS[preset]
-
-    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        graph = Graph.of(right) if len(right) else None
-        rows = []
-        for q in left.itertuples():
-            found = graph.route(int(q.start), int(q.goal), float(q.depart), w, access) if graph else None
-            way, metres, price = found or (None, None, None)
-            rows.append((q.trip, None if way is None else [int(graph.eid[k]) for k in way], metres, price))
-        return pd.DataFrame(rows, columns=["trip", "eids", "metres", "cost"])
-
-    salt = F.pmod(F.xxhash64("trip"), F.lit(SALTS))
-    held = edges.join(asked.select("city", salt.alias("_part")).distinct(), "city")
-    dealt = asked.withColumn("_salt", salt)
-    return dealt.groupBy("city", "_salt").cogroup(held.groupBy("city", "_part")).applyInPandas(search, "trip long, eids array<long>, metres double, cost double")
+
+    def search(graphs, q):
+        graph = graphs.get(preset)
+        way, metres, price = (graph.route(int(q.start), int(q.goal), float(q.depart)) if graph else None) or (None, None, None)
+        yield q.trip, None if way is None else [int(graph.eid[k]) for k in way], metres, price
+
+    return dealt(asked, {preset: searched(edges, fixed.PRESETS[preset], access)}, clock, search, "trip long, eids array<long>, metres double, cost double")
+
+
+def routes_to_pins(edges: DataFrame, asked: DataFrame, clock: tuple[float, float, float], preset: str = "balanced", access: str = "stroller") -> DataFrame:
+    """(trip, eids, metres, cost, piece_m) for rows (city, trip, start, pin, part, depart): ``part`` of the edge ``pin`` from its source."""
+
+    def search(graphs, q):
+        graph = graphs.get(preset)
+        way, metres, price, piece = (graph.route_to_pin(int(q.start), int(q.pin), float(q.part), float(q.depart)) if graph else None) or (None,) * 4
+        yield q.trip, None if way is None else [int(graph.eid[k]) for k in way], metres, price, piece
+
+    return dealt(asked, {preset: searched(edges, fixed.PRESETS[preset], access)}, clock, search, "trip long, eids array<long>, metres double, cost double, piece_m double")

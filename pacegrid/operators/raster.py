@@ -44,51 +44,25 @@ def lined_shadow(cells: DataFrame, elevation: float, size: float = 1.0, slack: f
     return cells.select("row", "col", F.coalesce(horizon > C("z") + slack, F.lit(False)).alias("shaded"))
 
 
-def shadow_mask(z: np.ndarray, azimuth: float, elevation: float, size: float = 1.0, slack: float = 0.01) -> np.ndarray:
-    """Cells of a height field that a sun in any direction leaves in shadow.
-
-    Heights are followed along lines away from the sun: for each step, the horizon
-    moves one cell along the steeper axis, aside by the slope's rounding, and falls.
+def shadows(cells: DataFrame, azimuth: float, elevation: float, size: float = 1.0, slack: float = 0.01) -> DataFrame:
+    """(row, col, shaded): cells of a height field that a sun in any direction leaves in shadow.
+
+    A ray away from the sun goes one cell along the steeper axis and ``slope`` cells
+    aside, so cells of one ``aside - rint(slope * along)`` are on one ray.  The sun's ray
+    over a cell of height z is at ``z + fall * along`` above the cells' own places:
+    a cell is in shadow if an earlier one of its ray stands higher.  Rays are windows,
+    as many as the raster has rows and columns; places count from the side the sun is on.
     """
     if elevation <= 0:
-        return np.ones(z.shape, bool)
-    east, north = -math.sin(math.radians(azimuth)), -math.cos(math.radians(azimuth))
-    down, right = -north, east
-    turned = abs(right) > abs(down)
-    view = z.T if turned else z
-    along, aside = (right, down) if turned else (down, right)
-    flips = tuple(slice(None, None, -1) if v < 0 else slice(None) for v in (along, aside))
-    view = view[flips].astype(float)
-    slope = abs(aside) / abs(along)
+        return cells.select("row", "col", F.lit(True).alias("shaded"))
+    right, down = -math.sin(math.radians(azimuth)), math.cos(math.radians(azimuth))
+    by_column = abs(right) > abs(down)
+    names, steps = (("col", "row"), (right, down)) if by_column else (("row", "col"), (down, right))
+    ends = cells.agg(*[F.struct(F.min(n).alias("lo"), F.max(n).alias("hi")).alias(f"_{n}") for n in ("row", "col")])  # one row
+    along, aside = (C(n) - C(f"_{n}.lo") if step >= 0 else C(f"_{n}.hi") - C(n) for n, step in zip(names, steps))
+    slope = abs(steps[1]) / abs(steps[0])
     fall = math.tan(math.radians(elevation)) * size * math.hypot(1, slope)
-    shaded = np.zeros(view.shape, bool)
-    horizon = view[0].copy()
-    moved = 0
-    for r in range(1, len(view)):
-        if round(slope * r) != moved:
-            horizon = np.concatenate([[-1e9], horizon[:-1]])
-            moved = round(slope * r)
-        horizon = horizon - fall
-        shaded[r] = horizon > view[r] + slack
-        horizon = np.maximum(horizon, view[r])
-    shaded = shaded[flips]
-    return shaded.T if turned else shaded
-
-
-def tile_shadows(cells: DataFrame, azimuth: float, elevation: float, tile: int, halo: int) -> DataFrame:
-    """Shadows of a large raster: each tile of rows is cast with ``halo`` rows of its neighbours.
-
-    ``halo`` must reach as far as the highest cell's shadow: height / tan(elevation).
-    """
-    first, last = F.floor((C("row") - halo) / tile), F.floor((C("row") + halo) / tile)
-    seen = cells.withColumn("tile", F.explode(F.sequence(first, last)))
-
-    def cast(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        grid = pdf.pivot_table(index="row", columns="col", values="z", aggfunc="max")
-        rows, columns = grid.index.to_numpy(), grid.columns.to_numpy()
-        mask = shadow_mask(np.nan_to_num(grid.to_numpy(), nan=-1e9), azimuth, elevation)
-        own = (rows // tile) == key[0]
-        i, j = np.meshgrid(rows[own], columns, indexing="ij")
-        return pd.DataFrame({"row": i.ravel(), "col": j.ravel(), "shaded": mask[own].ravel()})
-
-    return seen.groupBy("tile").applyInPandas(cast, "row long, col long, shaded boolean")
+    rays = cells.crossJoin(F.broadcast(ends)).select("row", "col", "z", along.alias("_along"), (aside - F.rint(slope * along)).alias("_ray"))
+    before = Window.partitionBy("_ray").orderBy("_along").rowsBetween(Window.unboundedPreceding, -1)
+    higher = F.max(C("z") + C("_along") * fall).over(before) - C("_along") * fall > C("z") + slack
+    return rays.select("row", "col", F.coalesce(higher, F.lit(False)).alias("shaded"))

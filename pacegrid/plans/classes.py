@@ -96,14 +96,36 @@ def class_shares(spark, sf_dir):
     return t.groupBy("district").agg(F.count(F.lit(1)).alias("n"), share.alias("share")).join(most, "district", "left")
 
 
-@query("""WITH s AS (SELECT surface, smoothness, highway, informal, length FROM tagged) SELECT count(*) > 5000 AS enough, avg(CASE WHEN surface IS NULL THEN 1 ELSE 0 END) BETWEEN 0.05 AND 0.6 AS untagged_share, min(length) > 0 AS positive, max(length) <= 50 AS bounded,
-    count(*) = count(highway) AS classed, bool_and(highway IN ('track', 'residential', 'path')) AS known FROM s""")
+_STAGES = """t AS (SELECT *, flags & 2 <> 0 AS walk, surface_q / 255::DOUBLE AS cost, flags & 128 <> 0 AS mesh, CASE WHEN noise_q < 51 THEN 'A' WHEN noise_q < 102 THEN 'B' WHEN noise_q < 153 THEN 'C' WHEN noise_q < 204 THEN 'D' ELSE 'E' END AS letter, green_q / 255::DOUBLE AS green, green_q // 2 / 255::DOUBLE AS deep,
+    CASE WHEN acc % 16 <> 3 THEN slope / 2::DOUBLE END AS steep, (eid * 37 + 20 * 11) % 256 AS noon, eid * 37 % 256 AS morning, (eid * 37 + 8 * 11) % 256 AS lft, (eid * 53 + 8 * 11) % 256 AS rgt FROM edges)"""
+
+
+@query(f"""WITH {_STAGES}, l AS (SELECT max(n) / sum(n) AS most FROM (SELECT letter, count(*) AS n FROM t GROUP BY letter)) SELECT avg(CASE WHEN walk THEN 1 ELSE 0 END) BETWEEN 0.05 AND 0.6 AS sidewalks, sum(CASE WHEN mesh THEN 1 ELSE 0 END) < 2.0 * sum(CASE WHEN mesh THEN 0 ELSE 1 END) AND max(CASE WHEN mesh THEN len_dm / 10 END) <= 150 + 1 AS mesh,
+    min(cost) >= 0 AND max(cost) <= 1 AND avg(cost) < 0.4 AS costs, sum(CASE WHEN cost >= 0.7 AND NOT mesh THEN len_dm ELSE 0 END) / sum(CASE WHEN NOT mesh THEN len_dm ELSE 0 END) BETWEEN 0.001 AND 0.35 AS heavy, avg(CASE WHEN letter IN ('A', 'B', 'C') THEN 1 ELSE 0 END) > 0.15 AND avg(CASE WHEN letter = 'E' THEN 1 ELSE 0 END) < 0.5 AND any_value(most) < 0.95 AS noise,
+    avg(morning) > avg(noon) AND avg(noon) / 255 BETWEEN 0.03 AND 0.6 AND avg(CASE WHEN abs(lft - rgt) > 64 THEN 1 ELSE 0 END) > 0.1 AS shade, count(steep) / count(*) > 0.9 AND avg(CASE WHEN abs(coalesce(steep, 0)) < 3 THEN 1 ELSE 0 END) BETWEEN 0.3 AND 0.98 AS slope,
+    sum(green * len_dm) / sum(len_dm) BETWEEN 0.05 AND 0.7 AND sum(deep * len_dm) > 0 AND sum(deep * len_dm) < sum(green * len_dm) AS green FROM t, l""")
 def expectations(spark, sf_dir):
-    """Q1 to Q11: a stage's expectations as one row of named booleans."""
-    h = C("highway")
-    return b.tagged(spark, sf_dir).agg(
-        (F.count(F.lit(1)) > 5000).alias("enough"), F.avg(F.when(C("surface").isNull(), 1).otherwise(0)).between(0.05, 0.6).alias("untagged_share"), (F.min("length") > 0).alias("positive"), (F.max("length") <= 50).alias("bounded"),
-        (F.count(F.lit(1)) == F.count(h)).alias("classed"), F.bool_and(h.isin("track", "residential", "path")).alias("known"),
+    """Q2 to Q8: what stages expect of sidewalks, the mesh, costs, noise letters, shade by the clock, slopes and green, as one row of booleans."""
+    q, m = C("noise_q"), C("len_dm")
+    share = lambda when: F.avg(F.when(when, 1).otherwise(0))
+    letter = F.when(q < 51, "A").when(q < 102, "B").when(q < 153, "C").when(q < 204, "D").otherwise("E")
+    e = b.edges(spark, sf_dir)
+    t = e.select(
+        "len_dm", cost.bit(C("flags"), 2).alias("walk"), cost.bit(C("flags"), 128).alias("mesh"), (C("surface_q") / 255).alias("cost"), letter.alias("letter"), (C("green_q") / 255).alias("green"), (F.floor(C("green_q") / 2) / 255).alias("deep"),
+        F.when(C("acc") % 16 != 3, C("slope") / 2).alias("steep"), b.shade(C("eid"), F.lit(20)).alias("noon"), b.shade(C("eid"), F.lit(0)).alias("morning"), b.shade(C("eid"), F.lit(8)).alias("left"), ((C("eid") * 53 + 88) % 256).alias("right"),
+    )
+    most = F.greatest(*[share(C("letter") == c) for c in "ABCDE"])
+    of_all = lambda c: F.sum(C(c) * m) / F.sum(m)
+    in_net = lambda when: F.sum(F.when(when & ~C("mesh"), m).otherwise(0))
+    return t.agg(
+        share(C("walk")).between(0.05, 0.6).alias("sidewalks"),
+        ((F.sum(C("mesh").cast("int")) < 2.0 * F.sum((~C("mesh")).cast("int"))) & (F.max(F.when(C("mesh"), m / 10)) <= 150 + 1)).alias("mesh"),
+        ((F.min("cost") >= 0) & (F.max("cost") <= 1) & (F.avg("cost") < 0.4)).alias("costs"),
+        (in_net(C("cost") >= 0.7) / in_net(F.lit(True))).between(0.001, 0.35).alias("heavy"),
+        ((share(C("letter").isin("A", "B", "C")) > 0.15) & (share(C("letter") == "E") < 0.5) & (most < 0.95)).alias("noise"),
+        ((F.avg("morning") > F.avg("noon")) & (F.avg("noon") / 255).between(0.03, 0.6) & (share(F.abs(C("left") - C("right")) > 64) > 0.1)).alias("shade"),
+        ((F.count("steep") / F.count(F.lit(1)) > 0.9) & share(F.abs(F.coalesce("steep", F.lit(0.0))) < 3).between(0.3, 0.98)).alias("slope"),
+        (of_all("green").between(0.05, 0.7) & (of_all("deep") > 0) & (of_all("deep") < of_all("green"))).alias("green"),
     )
 
 

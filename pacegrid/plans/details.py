@@ -26,43 +26,32 @@ C = F.col
     FROM p JOIN x ON x.node = p.n LEFT JOIN best USING (e1, e2)""")
 def turn_costs(spark, sf_dir):
     """Metres for each pair of consecutive edges; on a grid, straight on is the only bend under 20 degrees."""
-    e = b.edges(spark, sf_dir).select("eid", "u", "v", "flags")
-    at = planes.segments(spark, sf_dir).select("eid", (C("bx") - C("ax")).alias("dx"), (C("by") - C("ay")).alias("dy"))
-    held = e.join(at, "eid")
-    one = held.select(C("eid").alias("e1"), C("u").alias("start"), C("v").alias("n"), C("flags").alias("f1"), C("dx").alias("dx1"), C("dy").alias("dy1"))
-    two = held.select(C("eid").alias("e2"), C("u").alias("n"), C("v").alias("end"), C("flags").alias("f2"), C("dx").alias("dx2"), C("dy").alias("dy2"))
-    pairs = one.join(two, "n").withColumn("dot", C("dx1") * C("dx2") + C("dy1") * C("dy2"))
-    # the straightest street out of the node other than this edge and the way back: best and second best of each e1
-    street = cost.bit(C("f2"), 1) & (C("end") != C("start"))
-    options = pairs.where(street).groupBy("e1").agg(F.slice(F.array_sort(F.collect_list(F.struct((-C("dot")).alias("k"), "e2"))), 1, 2).alias("o"))
-    ends = e.select(C("u").alias("n"), "flags").unionByName(e.select(C("v").alias("n"), "flags"))
-    marks = ends.groupBy("n").agg(F.bool_or(cost.bit(C("flags"), 4)).alias("crossing"), F.bool_or(C("flags").bitwiseAND(F.lit(33)) == 33).alias("major"))
-    best = F.array_max(F.transform(F.filter("o", lambda o: o["e2"] != C("e2")), lambda o: -o["k"]))
-    bent = (C("f2").bitwiseAND(F.lit(3)) == 3) & (F.coalesce(best, F.lit(-1)) >= 10_000) & (C("dot") < 10_000)
-    through = C("major") & ~cost.bit(C("f1"), 32) & ~cost.bit(C("f2"), 32)
-    metres = F.when(C("crossing"), 0).otherwise(F.when(bent, network.TURN_M).otherwise(0) + F.when(through, network.MAJOR_NODE_M).otherwise(0))
-    return pairs.join(options, "e1", "left").join(marks, "n").select("e1", "e2", metres.alias("metres"))
+    n = b.nodes(spark, sf_dir)
+    e = b.edges(spark, sf_dir).join(n.toDF("u", "x1", "y1"), "u").join(n.toDF("v", "x2", "y2"), "v")
+    pairs = e.select(C("eid").alias("e1"), C("v").alias("n")).join(e.select(C("eid").alias("e2"), C("u").alias("n")), "n")
+    return pairs.join(network.turns(e), ["e1", "e2"], "left").select("e1", "e2", F.coalesce("metres", F.lit(0)).alias("metres"))
 
 
 @query("""SELECT eid, m, round(CASE WHEN m < 480 OR m > 1215 THEN CASE WHEN m < 400 OR m > 1260 THEN 1 ELSE v END ELSE v END, 6) AS shade, least(greatest(floor((m - 480) / 15::DOUBLE)::BIGINT, 0), 49) AS bucket, least(greatest(round_even((m - 480) / 15::DOUBLE, 0)::BIGINT, 0), 49) AS nearest,
     CASE WHEN (eid >> (least(greatest(round_even((m - 480) / 30::DOUBLE, 0)::BIGINT, 0), 24) % 8)) & 1 = 1 THEN 1 ELSE -1 END AS side FROM (SELECT eid, m, ((eid * 37 + b0 * 11) % 256 * (1 - (bb - b0)) + (eid * 37 + least(b0 + 1, 49) * 11) % 256 * (bb - b0)) / 255::DOUBLE AS v
-    FROM (SELECT eid, m, bb, least(floor(bb)::BIGINT, 49) AS b0 FROM (SELECT eid, m, (least(greatest(m, 480), 1215) - 480) / 15::DOUBLE AS bb FROM edges, (VALUES (300), (420), (487), (843), (1214), (1250), (1300)) t(m) WHERE eid % 8 = 2)))""")
+    FROM (SELECT eid, m, bb, least(floor(bb)::BIGINT, 49) AS b0 FROM (SELECT eid, m, (least(greatest(m, 480), 1215) - 480) / 15::DOUBLE AS bb FROM edges, (VALUES (300), (420), (487), (843), (1214), (1250), (1300)) t(m))))""")
 def shade_lookups(spark, sf_dir):
     """Shade between buckets, at dawn and at night, buckets by floor and by rounding, the walker's side."""
     m = C("m")
-    e = b.edges(spark, sf_dir).where("eid % 8 = 2").select("eid", F.explode(F.array(*map(F.lit, (300, 420, 487, 843, 1214, 1250, 1300)))).alias("m"))
+    e = b.edges(spark, sf_dir).select("eid", F.explode(F.array(*map(F.lit, (300, 420, 487, 843, 1214, 1250, 1300)))).alias("m"))
     shade = cost.priced(cost.shade_at(lambda k: b.shade(C("eid"), k), m, F.lit(400), F.lit(1260)))
     half = F.least(F.greatest(F.rint((m - 480) / 30), F.lit(0.0)), F.lit(24.0)).cast("int") % 8
     side = F.when(F.floor(C("eid") / F.pow(F.lit(2), half)) % 2 == 1, 1).otherwise(-1)
     return e.select("eid", "m", F.round(shade, 6).alias("shade"), cost.bucket_of(m).alias("bucket"), F.least(F.greatest(F.rint((m - 480) / 15), F.lit(0.0)), F.lit(49.0)).cast("long").alias("nearest"), side.alias("side"))
 
 
-@query("""SELECT noise_q, round(CASE WHEN noise_q / 255::DOUBLE <= 0.5 THEN 0 ELSE pow((noise_q / 255::DOUBLE - 0.5) / 0.5, 2) END, 6) AS curve, round(greatest(0.05, 1 - green_q / 255::DOUBLE), 6) AS least_rate, round(len_dm / 10 / (pace * 1000 / 60::DOUBLE), 6) AS minutes, pace
-    FROM (SELECT DISTINCT noise_q, green_q, len_dm FROM edges), (VALUES (4.0::DOUBLE), (4.8), (5.5)) p(pace)""")
+@query("""SELECT noise_q, round(CASE WHEN noise_q / 255::DOUBLE <= 0.5 THEN 0 ELSE pow((noise_q / 255::DOUBLE - 0.5) / 0.5, 2) END, 6) AS curve, least_rate, round(len_dm / 10 / (pace * 1000 / 60::DOUBLE), 6) AS minutes, pace, preset
+    FROM (SELECT DISTINCT noise_q, len_dm FROM edges), (VALUES (4.0::DOUBLE), (4.8), (5.5)) p(pace), (VALUES ('balanced', 0.4::DOUBLE), ('maxShade', 0.6), ('maxQuiet', 0.4), ('fastest', 1)) w(preset, least_rate)""")
 def rates(spark, sf_dir):
-    """The noise curve, the least rate, and minutes at three paces."""
-    e = b.edges(spark, sf_dir).select("noise_q", "green_q", "len_dm").distinct().withColumn("pace", F.explode(F.array(F.lit(4.0), F.lit(4.8), F.lit(5.5))))
-    return e.select("noise_q", F.round(cost.noise_curve(C("noise_q") / 255), 6).alias("curve"), F.round(cost.min_rate(C("green_q") / 255), 6).alias("least_rate"), F.round(C("len_dm") / 10 / (C("pace") * 1000 / 60), 6).alias("minutes"), "pace")
+    """The noise curve, the least rate of a preset (by its weight of green), and minutes at three paces."""
+    e = b.edges(spark, sf_dir).select("noise_q", "len_dm").distinct().withColumn("pace", F.explode(F.array(F.lit(4.0), F.lit(4.8), F.lit(5.5))))
+    e = e.withColumn("w", F.explode(F.array(*[F.struct(F.lit(n).alias("preset"), F.lit(w[3]).alias("green")) for n, w in cost.PRESETS.items()])))
+    return e.select("noise_q", C("w.preset").alias("preset"), F.round(cost.noise_curve(C("noise_q") / 255), 6).alias("curve"), F.round(cost.min_rate(C("w.green")), 6).alias("least_rate"), F.round(C("len_dm") / 10 / (C("pace") * 1000 / 60), 6).alias("minutes"), "pace")
 
 
 @query("""WITH s AS (SELECT e.eid, (a.x + (c.x - a.x) * k / 3::DOUBLE) / 100 AS px, (a.y + (c.y - a.y) * k / 3::DOUBLE) / 100 - 0.3 AS py FROM edges e JOIN nodes a ON a.node = e.u JOIN nodes c ON c.node = e.v, (SELECT unnest(range(0, 4)) AS k) t),
@@ -77,26 +66,72 @@ def sampled_means(spark, sf_dir):
     return at.join(b.cells(spark, sf_dir), ["row", "col"], "left").groupBy("eid").agg((F.rint(F.avg(F.coalesce("z", F.lit(0.0))) * 255) + 0).alias("q"), F.count(F.lit(1)).alias("n"))
 
 
-@query("""WITH t AS (SELECT trip, e.*, s.seq, lead(e.u) OVER w AS nu FROM steps s JOIN edges e ON e.eid = s.eid WINDOW w AS (PARTITION BY trip ORDER BY seq)), a AS (SELECT trip, sum(len_dm)::BIGINT AS len_dm, round(sum(green_q * len_dm) / sum(len_dm) / 255, 3) AS green, round(sum(noise_q * len_dm) / sum(len_dm) / 255, 3) AS noise,
-    round(sum(surface_q * len_dm) / sum(len_dm) / 255, 3) AS surface, round(sum(CASE WHEN (flags & 1) <> 0 THEN len_dm ELSE 0 END) / sum(len_dm)::DOUBLE, 3) AS street, round(sum(CASE WHEN green_q >= 0.78 * 255 AND (flags & 17) = 0 AND NOT ((flags & 8) <> 0 AND (flags & 4) = 0) THEN len_dm ELSE 0 END) / sum(len_dm)::DOUBLE, 3) AS park FROM t GROUP BY trip)
-    SELECT *, round(0.3 * green + 0.2 * least(1, len_dm / 15000::DOUBLE) + 0.3 * (1 - noise) + 0.2 * (1 - surface) - 0.4 * street, 4) AS score, street > 0.5 OR green < 0.2 AS rejected FROM a""")
-def circuit_facts(spark, sf_dir):
-    """Length-weighted attributes of a circuit, its score and whether it is rejected."""
+#: Fixed values of circuits: weights, free corners, and what rejects one.
+W_IQ, W_GREEN, W_DEEP, W_NOISE, W_SURFACE, W_TURNS, W_CROSSING, W_SHADE, W_STREET, W_OUTLINE = 1.5, 1.0, 1.0, 0.8, 0.5, 0.8, 0.15, 0.3, 1.5, 0.8
+BASE_TURNS, MAX_STREET, MAX_TURN_DENSITY, MAX_CIRCUIT_NOISE = 4, 0.2, 1.2, 0.85
+#: And of their worth in a walk: roundness, size up to so many metres, streets.
+Q_IQ, Q_SIZE, Q_SIZE_M, Q_STREET = 0.2, 0.2, 1500, 1.2
+
+_CIRCUITS = """c AS (SELECT trip, any_value(depart) AS depart, sum(len_dm)::BIGINT AS len_dm, 0.3 + (trip % 60) / 100 AS iq, (trip % 11)::BIGINT AS turns, trip % 6 = 0 AS outline,
+    round_even(sum(green_q * len_dm) / sum(len_dm) / 255, 3) AS green, round_even(sum(noise_q * len_dm) / sum(len_dm) / 255, 3) AS noise, round_even(sum(surface_q * len_dm) / sum(len_dm) / 255, 3) AS surface, round_even(sum(green_q // 2 * len_dm) / sum(len_dm) / 255, 3) AS deep,
+    sum(CASE WHEN (flags & 1) <> 0 THEN 1 ELSE 0 END)::BIGINT AS crossings, sum(CASE WHEN (flags & 1) <> 0 THEN len_dm ELSE 0 END) / sum(len_dm)::DOUBLE AS street, round_even(sum((s.eid * 37 + 20 * 11) % 256 * len_dm) / sum(len_dm), 0) AS shade, round(sum(CASE WHEN green_q >= 0.78 * 255 AND (flags & 17) = 0 AND NOT ((flags & 8) <> 0 AND (flags & 4) = 0) THEN len_dm ELSE 0 END) / sum(len_dm)::DOUBLE, 3) AS park
+    FROM steps s JOIN edges e ON e.eid = s.eid GROUP BY trip)"""
+
+
+def circuits(spark, sf_dir):
+    """Closed walks with length-weighted means, street share, corners and the shade byte of bucket 20."""
     e = b.steps(spark, sf_dir).join(b.edges(spark, sf_dir), "eid")
     m = C("len_dm")
-    mean = lambda c: F.round(F.sum(C(c) * m) / F.sum(m) / 255, 3)
-    share = lambda when: F.round(F.sum(F.when(when, m).otherwise(0)) / F.sum(m), 3)
-    a = e.groupBy("trip").agg(F.sum(m).alias("len_dm"), mean("green_q").alias("green"), mean("noise_q").alias("noise"), mean("surface_q").alias("surface"), share(cost.bit(C("flags"), 1)).alias("street"), share(cost.in_park(C("green_q"), C("flags"))).alias("park"))
-    score = 0.3 * C("green") + 0.2 * F.least(F.lit(1.0), m / 15000) + 0.3 * (1 - C("noise")) + 0.2 * (1 - C("surface")) - 0.4 * C("street")
-    return a.withColumn("score", F.round(score, 4)).withColumn("rejected", (C("street") > 0.5) | (C("green") < 0.2))
+    mean = lambda c: F.bround(F.sum(c * m) / F.sum(m) / 255, 3)
+    street = cost.bit(C("flags"), 1)
+    t = C("trip")
+    return e.groupBy("trip").agg(
+        F.first("depart").alias("depart"), F.sum(m).alias("len_dm"), (0.3 + t % 60 / 100).alias("iq"), (t % 11).alias("turns"), (t % 6 == 0).alias("outline"),
+        mean(C("green_q")).alias("green"), mean(C("noise_q")).alias("noise"), mean(C("surface_q")).alias("surface"), mean(F.floor(C("green_q") / 2)).alias("deep"),
+        F.sum(F.when(street, 1).otherwise(0)).alias("crossings"), (F.sum(F.when(street, m).otherwise(0)) / F.sum(m)).alias("street"), F.rint(F.sum(b.shade(C("eid"), F.lit(20)) * m) / F.sum(m)).alias("shade"),
+        F.round(F.sum(F.when(cost.in_park(C("green_q"), C("flags")), m).otherwise(0)) / F.sum(m), 3).alias("park"),
+    )
 
 
-@query("""WITH f AS (SELECT trip // 8 AS face, eid, seq FROM steps WHERE trip < 4000), p AS (SELECT DISTINCT face, eid FROM f), d AS (SELECT a.face AS f1, c.face AS f2, sum(len_dm)::BIGINT AS shared FROM p a JOIN p c ON a.eid = c.eid AND a.face < c.face JOIN edges e ON e.eid = a.eid GROUP BY 1, 2) SELECT * FROM d WHERE shared > 3000""")
+@query(f"""WITH {_CIRCUITS}, d AS (SELECT *, greatest(0, turns - {BASE_TURNS}) / greatest(len_dm / 10, 1.0) * 100 AS density FROM c)
+    SELECT trip, green, noise, surface, deep, park, round({W_IQ} * iq + {W_GREEN} * green + {W_DEEP} * deep - {W_NOISE} * noise - {W_SURFACE} * surface - {W_TURNS} * density - {W_CROSSING} * crossings + {W_SHADE} * (shade / 255) - {W_STREET} * street + CASE WHEN outline THEN {W_OUTLINE} ELSE 0 END, 3) AS score,
+    street > {MAX_STREET} OR density > {MAX_TURN_DENSITY} OR noise > {MAX_CIRCUIT_NOISE} AS rejected FROM d""")
+def circuit_facts(spark, sf_dir):
+    """Length-weighted attributes of a circuit, its score, and whether streets, zigzag or noise reject it."""
+    density = F.greatest(F.lit(0), C("turns") - BASE_TURNS) / F.greatest(C("len_dm") / 10, F.lit(1.0)) * 100
+    score = (
+        W_IQ * C("iq") + W_GREEN * C("green") + W_DEEP * C("deep") - W_NOISE * C("noise") - W_SURFACE * C("surface") - W_TURNS * density
+        - W_CROSSING * C("crossings") + W_SHADE * (C("shade") / 255) - W_STREET * C("street") + F.when(C("outline"), W_OUTLINE).otherwise(0)
+    )
+    bad = (C("street") > MAX_STREET) | (density > MAX_TURN_DENSITY) | (C("noise") > MAX_CIRCUIT_NOISE)
+    return circuits(spark, sf_dir).select("trip", "green", "noise", "surface", "deep", "park", F.round(score, 3).alias("score"), bad.alias("rejected"))
+
+
+@query(f"""WITH {_CIRCUITS}, q AS (SELECT *, least(greatest((depart - 480) / 15::DOUBLE, 0), 49) AS pos FROM c), s AS (SELECT *, (trip * 37 + floor(pos)::BIGINT * 11) % 256 AS b0, (trip * 37 + least(49, floor(pos)::BIGINT + 1) * 11) % 256 AS b1 FROM q)
+    SELECT trip, preset, round({Q_IQ} * iq + {Q_SIZE} * least(1, len_dm / 10 / {Q_SIZE_M}) + (wg / (ws + wn + wu + wg + 0.01)) * (0.5 * green + 0.5 * deep) + (ws / (ws + wn + wu + wg + 0.01)) * (b0 * (1 - (pos - floor(pos))) + b1 * (pos - floor(pos))) / 255
+        + (wn / (ws + wn + wu + wg + 0.01)) * (1 - noise) + (wu / (ws + wn + wu + wg + 0.01)) * (1 - surface) - {Q_STREET} * street, 6) AS quality FROM s, (VALUES ('balanced', 1.5::DOUBLE, 1.5::DOUBLE, 2.0::DOUBLE, 0.6::DOUBLE), ('maxShade', 3.5, 0.8, 2.0, 0.4), ('maxQuiet', 0.0, 3.0, 2.0, 0.6), ('fastest', 0.0, 0.0, 2.0, 0.0)) w(preset, ws, wn, wu, wg)""")
+def circuit_quality(spark, sf_dir):
+    """What a circuit is worth to a walk that enters it at a minute, by the weights of each preset."""
+    at = F.least(F.greatest((C("depart") - b.START_MIN) / b.STEP_MIN, F.lit(0.0)), F.lit(float(b.BUCKETS - 1)))
+    low = F.floor(at)
+    byte = lambda k: b.shade(C("trip"), k)
+    shade = (byte(low) * (1 - (at - low)) + byte(F.least(F.lit(b.BUCKETS - 1), low + 1)) * (at - low)) / 255
+    w = F.explode(F.array(*[F.struct(F.lit(n).alias("preset"), *[F.lit(x).alias(k) for k, x in zip(("s", "n", "u", "g"), values)], F.lit(sum(values) + 0.01).alias("all")) for n, values in cost.PRESETS.items()]))
+    part = lambda k: C(f"w.{k}") / C("w.all")
+    quality = (
+        Q_IQ * C("iq") + Q_SIZE * F.least(F.lit(1.0), C("len_dm") / 10 / Q_SIZE_M) + part("g") * (0.5 * C("green") + 0.5 * C("deep")) + part("s") * shade
+        + part("n") * (1 - C("noise")) + part("u") * (1 - C("surface")) - Q_STREET * C("street")
+    )
+    return circuits(spark, sf_dir).withColumn("w", w).select("trip", C("w.preset").alias("preset"), F.round(quality, 6).alias("quality"))
+
+
+@query("""WITH p AS (SELECT DISTINCT u // 2 AS face, least(u, v) AS a, greatest(u, v) AS z, len_dm FROM edges UNION SELECT DISTINCT v // 2, least(u, v), greatest(u, v), len_dm FROM edges), d AS (SELECT x.face AS f1, y.face AS f2, sum(x.len_dm)::BIGINT AS shared FROM p x JOIN p y ON x.a = y.a AND x.z = y.z AND x.face < y.face GROUP BY 1, 2) SELECT * FROM d WHERE shared > 100""")
 def face_neighbours(spark, sf_dir):
-    """Faces as sets of edges, neighbours by the metres of edges they share."""
-    p = b.steps(spark, sf_dir).where("trip < 4000").select(F.floor(C("trip") / 8).alias("face"), "eid").distinct()
-    both = p.toDF("f1", "eid").join(p.toDF("f2", "eid"), "eid").where("f1 < f2")
-    return both.join(b.edges(spark, sf_dir).select("eid", "len_dm"), "eid").groupBy("f1", "f2").agg(F.sum("len_dm").alias("shared")).where("shared > 3000")
+    """Faces as sets of undirected edges, neighbours by the metres (over 10) that they share; an edge is of two faces at most."""
+    e = b.edges(spark, sf_dir).select("u", "v", F.least("u", "v").alias("a"), F.greatest("u", "v").alias("z"), "len_dm")
+    p = e.select(F.explode(F.array(F.floor(C("u") / 2), F.floor(C("v") / 2))).alias("face"), "a", "z", "len_dm").distinct()
+    ends = p.groupBy("a", "z").agg(F.min("face").alias("f1"), F.max("face").alias("f2"), F.first("len_dm").alias("len_dm"))
+    return ends.where("f1 < f2").groupBy("f1", "f2").agg(F.sum("len_dm").alias("shared")).where("shared > 100")
 
 
 @query("""WITH r AS (SELECT o_custkey AS k, 1 + (o_orderkey % 97) / 100::DOUBLE AS ratio, o_orderkey AS id FROM orders), n AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY ratio, id) - 1 AS i, count(*) OVER (PARTITION BY k) AS c FROM r)
@@ -125,19 +160,38 @@ def nearest_parallel(spark, sf_dir):
     return near.where(along).withColumn("metres", d).where("metres <= 100").groupBy("id").agg(F.min(F.struct("metres", "eid")).alias("m")).select("id", "m.eid", "m.metres")
 
 
-@query("""WITH s AS (SELECT DISTINCT u // 50 AS street, (u * 61 + k * 37) % 2500 // 2 AS bin FROM edges, (SELECT unnest(range(0, 40)) AS k) t WHERE eid % 4 = 2) SELECT street, count(*) AS bins, round(count(*) / 1250::DOUBLE, 6) AS share, count(*) * 2 >= 1500 AS covered FROM s GROUP BY street""")
-def covered_metres(spark, sf_dir):
-    """Metres of a street that samples of sidewalks fall on, in 2 m bins."""
-    k = F.explode(F.sequence(F.lit(0), F.lit(39))).alias("k")
-    s = b.edges(spark, sf_dir).where("eid % 4 = 2").select("u", k).select(F.floor(C("u") / 50).alias("street"), F.floor((C("u") * 61 + C("k") * 37) % 2500 / 2).alias("bin"))
-    n = F.countDistinct("bin")
-    return s.groupBy("street").agg(n.alias("bins"), F.round(n / 1250, 6).alias("share"), (n * 2 >= 1500).alias("covered"))
+#: Metres of reach, degrees of parallel, metres of a bin.
+REACH_M, PARALLEL_DEG, BIN_M = 25.0, 25.0, 2.0
 
 
-@query(f"""SELECT event_id, city, (hour(l) * 60 + minute(l))::BIGINT AS minute, strftime(l, '%Y-%m-%d') AS day FROM (SELECT event_id, city, timezone(tz, timezone('UTC', ts)) AS l FROM events, {scalars._CITY_SQL} WHERE event_id % 10 = 0)""")
+@query(f"""WITH {planes._SEGMENTS}, foot AS (SELECT s.eid AS foot, ax + 12 AS fx, ay + 9 AS fy, bx + 5 AS gx, b_y + 4 + (s.eid % 7) * 6 AS gy FROM segments s JOIN edges e ON e.eid = s.eid WHERE (flags & 10) = 10),
+    dense AS (SELECT *, greatest(1, round_even(sqrt((gx - fx) * (gx - fx) + (gy - fy) * (gy - fy)) / 2.0, 0))::BIGINT AS n, fmod(degrees(atan2(gy - fy, gx - fx)) + 180, 180) AS bearing FROM foot), sample AS (SELECT bearing, fx + (gx - fx) * (k / n::DOUBLE) AS px, fy + (gy - fy) * (k / n::DOUBLE) AS py FROM dense, unnest(range(0, n + 1)) t(k)),
+    street AS (SELECT s.eid, ax, ay, bx, b_y, sqrt((bx - ax) * (bx - ax) + (b_y - ay) * (b_y - ay))::DOUBLE AS m, fmod(degrees(atan2(b_y - ay, bx - ax)) + 180, 180) AS bearing FROM segments s JOIN edges e ON e.eid = s.eid WHERE (flags & 1) <> 0),
+    near AS (SELECT eid, m, ((px - ax) * (bx - ax) + (py - ay) * (b_y - ay)) / m AS along, abs((py - ay) * (bx - ax) - (px - ax) * (b_y - ay)) / m AS aside, least(abs(s.bearing - p.bearing), 180 - abs(s.bearing - p.bearing)) AS turn FROM street s JOIN sample p ON px BETWEEN least(ax, bx) - 25 AND greatest(ax, bx) + 25 AND py BETWEEN least(ay, b_y) - 25 AND greatest(ay, b_y) + 25)
+    SELECT eid, count(DISTINCT least(floor(along / 2)::BIGINT, ceil(m / 2)::BIGINT - 1)) AS bins, round(count(DISTINCT least(floor(along / 2)::BIGINT, ceil(m / 2)::BIGINT - 1)) / ceil(m / 2) * m, 6) AS metres FROM near WHERE along BETWEEN 0 AND m AND aside <= 25 AND turn <= 25 GROUP BY eid, m""")
+def covered_metres(spark, sf_dir):
+    """Metres of a street that parallel sidewalks run along: samples every 2 m, with the bearing of their piece, projected onto the street's own axis."""
+    held = planes.segments(spark, sf_dir).select("eid", *[C(c).cast("double").alias(c) for c in ("ax", "ay", "bx", "by")]).join(b.edges(spark, sf_dir).select("eid", "flags"), "eid")
+    bearing = lambda x, y: (F.degrees(F.atan2(y, x)) + 180) % 180
+    foot = held.where(C("flags").bitwiseAND(F.lit(10)) == 10).select((C("ax") + 12).alias("fx"), (C("ay") + 9).alias("fy"), (C("bx") + 5 - C("ax") - 12).alias("dx"), (C("by") + 4 + C("eid") % 7 * 6 - C("ay") - 9).alias("dy"))
+    n = F.greatest(F.lit(1), F.rint(F.hypot("dx", "dy") / BIN_M)).cast("int")
+    dense = foot.withColumn("n", n).withColumn("k", F.explode(F.sequence(F.lit(0), C("n"))))
+    sample = dense.select((C("fx") + C("dx") * (C("k") / C("n"))).alias("px"), (C("fy") + C("dy") * (C("k") / C("n"))).alias("py"), bearing(C("dx"), C("dy")).alias("way"))
+    street = held.where(cost.bit(C("flags"), 1)).withColumn("m", F.hypot(C("bx") - C("ax"), C("by") - C("ay")))
+    cells = spatial.covered(C("ax"), C("ay"), C("bx"), C("by"), 100.0, REACH_M).alias("_cell")
+    near = sample.select("*", spatial.cell(C("px"), C("py"), 100.0).alias("_cell")).join(street.select("*", cells), "_cell")
+    along = ((C("px") - C("ax")) * (C("bx") - C("ax")) + (C("py") - C("ay")) * (C("by") - C("ay"))) / C("m")
+    aside = F.abs((C("py") - C("ay")) * (C("bx") - C("ax")) - (C("px") - C("ax")) * (C("by") - C("ay"))) / C("m")
+    turn = F.abs(bearing(C("bx") - C("ax"), C("by") - C("ay")) - C("way"))
+    hit = near.withColumns({"along": along, "aside": aside, "turn": F.least(turn, 180 - turn)}).where(C("along").between(F.lit(0.0), C("m")) & (C("aside") <= REACH_M) & (C("turn") <= PARALLEL_DEG))
+    bins = F.countDistinct(F.least(F.floor(C("along") / BIN_M), F.ceil(C("m") / BIN_M) - 1))
+    return hit.groupBy("eid", "m").agg(bins.alias("bins"), F.round(bins / F.ceil(C("m") / BIN_M) * C("m"), 6).alias("metres")).drop("m")
+
+
+@query(f"""SELECT event_id, city, (hour(l) * 60 + minute(l))::BIGINT AS minute, strftime(l, '%Y-%m-%d') AS day FROM (SELECT event_id, city, timezone(tz, timezone('UTC', ts)) AS l FROM events, {scalars._CITY_SQL})""")
 def city_clock(spark, sf_dir):
     """The wall clock of each city at an instant."""
-    ev = b.table(spark, sf_dir, "events").where("event_id % 10 = 0").select("event_id", C("ts").cast("timestamp").alias("ts"))
+    ev = b.table(spark, sf_dir, "events").select("event_id", C("ts").cast("timestamp").alias("ts"))
     local = F.from_utc_timestamp("ts", C("tz"))
     # a handful of cities
     return ev.join(F.broadcast(scalars.cities(spark).select("city", "tz"))).select("event_id", "city", (F.hour(local) * 60 + F.minute(local)).cast("long").alias("minute"), F.date_format(local, "yyyy-MM-dd").alias("day"))

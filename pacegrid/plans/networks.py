@@ -14,11 +14,16 @@ C = F.col
 CITY = 1000
 
 
+#: First minute and step of the shade series, and metres a minute.
+CLOCK = (b.START_MIN, b.STEP_MIN, b.SPEED)
+
+
 def placed(spark, sf_dir):
-    """Edges within cities, with the places of their ends."""
+    """Edges within cities, with their shade series and the places of their ends."""
     n = b.nodes(spark, sf_dir)
     e = b.edges(spark, sf_dir).withColumn("city", F.floor(C("u") / CITY)).where(F.floor(C("v") / CITY) == C("city"))
-    return e.join(n.toDF("u", "x1", "y1"), "u").join(n.toDF("v", "x2", "y2"), "v")
+    series = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(b.BUCKETS - 1).cast("long")), lambda k: b.shade(C("eid"), k))
+    return e.withColumn("shade", series).join(n.toDF("u", "x1", "y1"), "u").join(n.toDF("v", "x2", "y2"), "v")
 
 
 def asked(spark, sf_dir):
@@ -29,17 +34,25 @@ def asked(spark, sf_dir):
 
 @query()
 def routed(spark, sf_dir):
-    """Time-dependent best ways with turn costs."""
-    out = network.routes(placed(spark, sf_dir), asked(spark, sf_dir), access="walk")
+    """Time-dependent best ways with turn costs."""
+    out = network.routes(placed(spark, sf_dir), asked(spark, sf_dir), CLOCK, access="walk")
     return out.select("trip", F.size("eids").alias("n_edges"), F.round("metres", 3).alias("metres"), F.round("cost", 3).alias("cost"), "eids")
 
 
-@query("""WITH RECURSIVE p AS (SELECT s AS source, s AS node, 0::BIGINT AS dist, 0 AS hops FROM (SELECT node AS s FROM nodes WHERE node % 100 = 7) UNION ALL
-    SELECT source, v, dist + len_dm, hops + 1 FROM p JOIN edges ON u = node WHERE hops < 5) SELECT source, node, min(dist) AS dist FROM p GROUP BY source, node""")
+@query()
+def routed_to_pins(spark, sf_dir):
+    """Best ways to a place on an edge, by the end that is cheaper with the piece from there; the piece counts in metres and price."""
+    pins = asked(spark, sf_dir).withColumns({"pin": C("goal") * 4 + 1, "part": (C("trip") % 11) / 10})
+    out = network.routes_to_pins(placed(spark, sf_dir), pins, CLOCK, access="walk")
+    return out.select("trip", F.round("metres", 3).alias("metres"), F.round("cost", 3).alias("cost"), F.round("piece_m", 3).alias("piece_m"), "eids")
+
+
+@query("""WITH RECURSIVE p AS (SELECT s AS source, s AS node, 0::BIGINT AS dist FROM (SELECT node AS s FROM nodes WHERE node % 50 = 0) UNION
+    SELECT source, v, dist + len_dm FROM p JOIN edges ON u = node WHERE dist <= 3000 AND dist + len_dm <= 4600) SELECT source, node, min(dist) AS dist FROM p GROUP BY source, node""")
 def relaxed(spark, sf_dir):
-    """Least metres over at most five edges from some nodes, by rounds of joins."""
+    """Least metres from every fiftieth node; nodes past 300 m are reached but lead no further."""
     e = b.edges(spark, sf_dir).select("u", "v", C("len_dm").alias("w"))
-    return network.relax(e, b.nodes(spark, sf_dir).where("node % 100 = 7").select(C("node").alias("source")), 5)
+    return network.relax(e, b.nodes(spark, sf_dir).where("node % 50 = 0").select(C("node").alias("source")), 3000)
 
 
 _FEW = "few AS (SELECT u, v FROM edges WHERE noise_q < 90)"
@@ -80,20 +93,20 @@ def best_three(spark, sf_dir):
 
 @query()
 def diverse_three(spark, sf_dir):
-    """Three options in different directions with little overlap, relaxed if there are fewer."""
+    """Three options in different directions with little overlap, relaxed if there are fewer."""
     return select.diverse(options(spark, sf_dir), 3, 1300.0)
 
 
 @query()
 def unlike_loops(spark, sf_dir):
-    """Near-duplicate loops suppressed, best first."""
+    """T4: near-duplicate loops suppressed, best first."""
     return select.unlike(options(spark, sf_dir))
 
 
 @query(f"""WITH {_OPTIONS}, p AS (SELECT a.query, a.cand AS a, b.cand AS b, len(list_intersect(a.eids, b.eids)) AS shared, len(list_distinct(list_concat(a.eids, b.eids))) AS whole FROM options a JOIN options b ON a.query = b.query AND a.cand < b.cand)
     SELECT query, a, b, round(shared / 6::DOUBLE, 5) AS overlap, round(shared / whole::DOUBLE, 5) AS jaccard, whole - shared AS odd FROM p""")
 def overlaps(spark, sf_dir):
-    """Overlap, Jaccard and symmetric difference of options of one query.
+    """Overlap, Jaccard and symmetric difference of options of one query.
 
     Pairs are within a query's few options, ordered, so each comes once.
     """
@@ -104,14 +117,47 @@ def overlaps(spark, sf_dir):
     return p.select("query", "a", "b", F.round(both / 6, 5).alias("overlap"), F.round(both / one, 5).alias("jaccard"), odd.alias("odd"))
 
 
-@query(f"""WITH {_OPTIONS}, p AS (SELECT query, cand, score, metres, CASE WHEN score <= -2 THEN 'fast' WHEN sector >= 10 THEN 'shady' WHEN sector >= 5 THEN 'quiet' END AS tag FROM options)
-    SELECT query, cand, tag, round(score - first_value(score) OVER (PARTITION BY query ORDER BY cand), 4) AS more FROM p QUALIFY row_number() OVER (PARTITION BY query, tag ORDER BY score, cand) = 1 AND tag IS NOT NULL""")
+#: What an alternative must be better by, and what its note warns of.
+FASTER_MIN, AXIS_PP, SUN_MIN, SUN_RATIO, COBBLE_M, LOUD_PP = -3, 10, 10, 1.5, 100, 10
+_CARDS = """cards AS (SELECT o_custkey AS query, o_orderkey::BIGINT AS cand, CASE o_orderkey % 4 WHEN 0 THEN 'faster' WHEN 1 THEN 'shadier' WHEN 2 THEN 'quieter' ELSE 'loop' END AS kind, o_orderkey % 17 - 8 AS delta_min, o_orderkey * 7 % 101 AS shade_pct, o_orderkey * 13 % 101 AS quiet_pct,
+    o_orderkey * 3 % 41 AS sun_min, o_orderkey * 11 % 400 AS cobble_m, CASE WHEN o_orderkey % 5 > 0 THEN o_orderkey * 17 % 101 END AS loud_pct, o_orderkey % 9 = 0 AS night FROM orders)"""
+
+
+def cards(spark, sf_dir):
+    k = C("o_orderkey").cast("long")
+    kind = F.element_at(F.array(*map(F.lit, ("faster", "shadier", "quieter", "loop"))), (k % 4 + 1).cast("int"))
+    return b.table(spark, sf_dir, "orders").select(
+        C("o_custkey").alias("query"), k.alias("cand"), kind.alias("kind"), (k % 17 - 8).alias("delta_min"), (k * 7 % 101).alias("shade_pct"), (k * 13 % 101).alias("quiet_pct"),
+        (k * 3 % 41).alias("sun_min"), (k * 11 % 400).alias("cobble_m"), F.when(k % 5 > 0, k * 17 % 101).alias("loud_pct"), (k % 9 == 0).alias("night"),
+    )
+
+
+@query(f"""WITH {_CARDS}, r AS (SELECT query, arg_min(shade_pct, cand) AS r_shade, arg_min(quiet_pct, cand) AS r_quiet, arg_min(sun_min, cand) AS r_sun, arg_min(cobble_m, cand) AS r_cobble, arg_min(coalesce(loud_pct, -1), cand) AS r_loud, min(cand) AS rec FROM cards GROUP BY query),
+    t AS (SELECT c.*, r.* EXCLUDE (query), delta_min <= {FASTER_MIN} AS f, NOT night AND shade_pct - r_shade >= {AXIS_PP} AS s, quiet_pct - r_quiet >= {AXIS_PP} AS q FROM cards c JOIN r USING (query) WHERE cand <> rec),
+    g AS (SELECT *, CASE WHEN (kind = 'faster' AND f) OR (kind = 'shadier' AND s) OR (kind = 'quieter' AND q) THEN kind WHEN f THEN 'faster' WHEN s THEN 'shadier' WHEN q THEN 'quieter' END AS tag FROM t)
+    SELECT query, cand, tag, CASE WHEN sun_min >= {SUN_MIN} AND sun_min >= {SUN_RATIO} * r_sun THEN 'sun ' || sun_min WHEN cobble_m - r_cobble >= {COBBLE_M} THEN CASE WHEN r_cobble > 0 THEN 'cobbles +' || (cobble_m - r_cobble) ELSE 'cobbles ' || cobble_m END
+        WHEN r_loud >= 0 AND loud_pct - r_loud >= {LOUD_PP} THEN 'loud ' || loud_pct WHEN tag = 'quieter' THEN 'quiet ' || quiet_pct WHEN night THEN 'after sunset' ELSE 'shade ' || shade_pct END AS note FROM g WHERE tag IS NOT NULL""")
 def alternatives(spark, sf_dir):
-    """One alternative of each tag, and what it costs more than the first option."""
-    tag = F.when(C("score") <= -2, "fast").when(C("sector") >= 10, "shady").when(C("sector") >= 5, "quiet")
-    more = F.round(C("score") - F.first("score").over(Window.partitionBy("query").orderBy("cand")), 4)
-    p = options(spark, sf_dir).withColumns({"tag": tag, "more": more})
-    return select.top_k(p, ["query", "tag"], [C("score"), C("cand")], 1).where("tag IS NOT NULL").select("query", "cand", "tag", "more")
+    """The axis an alternative beats the recommendation on, its intended one first, and the first cost that applies, else the gain."""
+    c = cards(spark, sf_dir)
+    first = c.groupBy("query").agg(F.min_by(F.struct("cand", "shade_pct", "quiet_pct", "sun_min", "cobble_m", "loud_pct"), "cand").alias("r"))
+    t = c.join(first, "query").where(C("cand") != C("r.cand"))
+    beats = {
+        "faster": C("delta_min") <= FASTER_MIN,
+        "shadier": ~C("night") & (C("shade_pct") - C("r.shade_pct") >= AXIS_PP),
+        "quieter": C("quiet_pct") - C("r.quiet_pct") >= AXIS_PP,
+    }
+    intended = F.coalesce(*[F.when((C("kind") == axis) & won, axis) for axis, won in beats.items()])
+    tag = F.coalesce(intended, *[F.when(won, axis) for axis, won in beats.items()])
+    more = C("cobble_m") - C("r.cobble_m")
+    say = lambda text, x: F.concat(F.lit(text), x.cast("string"))
+    note = (
+        F.when((C("sun_min") >= SUN_MIN) & (C("sun_min") >= SUN_RATIO * C("r.sun_min")), say("sun ", C("sun_min")))
+        .when(more >= COBBLE_M, F.when(C("r.cobble_m") > 0, say("cobbles +", more)).otherwise(say("cobbles ", C("cobble_m"))))
+        .when(C("loud_pct") - C("r.loud_pct") >= LOUD_PP, say("loud ", C("loud_pct")))
+        .when(C("tag") == "quieter", say("quiet ", C("quiet_pct"))).when(C("night"), "after sunset").otherwise(say("shade ", C("shade_pct")))
+    )
+    return t.withColumn("tag", tag).where("tag IS NOT NULL").select("query", "cand", "tag", note.alias("note"))
 
 
 @query("""SELECT part, bit_or(mask)::BIGINT AS modes, count(*) AS n FROM (SELECT l_partkey AS part, 1 << (l_linenumber % 3) AS mask FROM lineitem) GROUP BY part""")
@@ -121,13 +167,16 @@ def merged_modes(spark, sf_dir):
     return b.table(spark, sf_dir, "lineitem").select(C("l_partkey").alias("part"), mask.alias("mask")).groupBy("part").agg(F.bit_or("mask").alias("modes"), F.count(F.lit(1)).alias("n"))
 
 
-@query("""SELECT node, 'both' AS side FROM (SELECT u AS node FROM edges WHERE (flags & 4) <> 0 INTERSECT SELECT v FROM edges WHERE (flags & 1) <> 0) UNION ALL SELECT node, 'first' FROM (SELECT u AS node FROM edges WHERE (flags & 4) <> 0 EXCEPT SELECT v FROM edges WHERE (flags & 1) <> 0)""")
+@query("""SELECT node, 'both' AS side FROM (SELECT u AS node FROM edges WHERE (flags & 4) <> 0 INTERSECT SELECT v FROM edges WHERE (flags & 1) <> 0) UNION ALL SELECT node, 'first' FROM (SELECT u AS node FROM edges WHERE (flags & 4) <> 0 EXCEPT SELECT v FROM edges WHERE (flags & 1) <> 0)
+    UNION ALL SELECT node, 'either' FROM (SELECT u AS node FROM edges WHERE (flags & 4) <> 0 UNION SELECT v FROM edges WHERE (flags & 1) <> 0)""")
 def node_sets(spark, sf_dir):
     """Union, intersection and difference of node sets."""
     e = b.edges(spark, sf_dir)
     first = e.where(C("flags").bitwiseAND(F.lit(4)) != 0).select(C("u").alias("node"))
     second = e.where(C("flags").bitwiseAND(F.lit(1)) != 0).select(C("v").alias("node"))
-    return first.intersect(second).withColumn("side", F.lit("both")).unionByName(first.distinct().join(second, "node", "left_anti").withColumn("side", F.lit("first")))
+    sets = {"both": first.intersect(second), "first": first.distinct().join(second, "node", "left_anti"), "either": first.unionByName(second).distinct()}
+    named = [rows.withColumn("side", F.lit(side)) for side, rows in sets.items()]
+    return named[0].unionByName(named[1]).unionByName(named[2])
 
 
 @query("""SELECT id, nm, rank FROM (SELECT c_custkey AS id, c_name AS nm, row_number() OVER (PARTITION BY c_nationkey ORDER BY (c_mktsegment = 'MACHINERY') DESC, abs(c_acctbal), c_custkey) AS rank FROM customer) WHERE rank <= 5""")
@@ -148,10 +197,10 @@ def rotated_loops(spark, sf_dir):
 
 @query()
 def planned_ways(spark, sf_dir):
-    """A to B with at most two alternatives of other presets that are unlike it."""
+    """A to B with at most two alternatives of other presets that are unlike it."""
     from pacegrid.operators import planner
 
-    return planner.plan_ab(placed(spark, sf_dir), asked(spark, sf_dir).where("trip % 200 = 0"))
+    return planner.plan_ab(placed(spark, sf_dir), asked(spark, sf_dir), CLOCK)
 
 
 @query()
@@ -159,4 +208,4 @@ def round_walks(spark, sf_dir):
     """Round walks of about 1,500 m, by corners in sectors and legs that avoid what was trodden."""
     from pacegrid.operators import planner
 
-    return planner.plan_loops(placed(spark, sf_dir), asked(spark, sf_dir).where("trip % 500 = 0"), 1500.0)
+    return planner.plan_loops(placed(spark, sf_dir), asked(spark, sf_dir), CLOCK, 1500.0)

@@ -21,10 +21,16 @@ def block_values(spark, sf_dir):
     return top.join(raster.blocks(b.cells(spark, sf_dir), 4, F.round(F.avg("z"), 6), "mean"), ["row", "col"])
 
 
-@query("SELECT floor(z * 10)::BIGINT AS bin, max(z) AS top, count(*) AS n, min(row) AS first_row FROM cells GROUP BY ALL")
+#: Point classes that are no surface.
+NOISE_CLASSES = (7, 9, 18)
+
+
+@query("SELECT floor((row * 0.7::DOUBLE + 3) / 2)::BIGINT AS cell_y, floor(col * 1.3::DOUBLE / 2)::BIGINT AS cell_x, max(z) AS top, count(*) AS n FROM cells WHERE (row * 5 + col) % 19 NOT IN (7, 9, 18) GROUP BY ALL")
 def binned_points(spark, sf_dir):
-    """Points binned, highest of each bin."""
-    return b.cells(spark, sf_dir).groupBy(F.floor(C("z") * 10).alias("bin")).agg(F.max("z").alias("top"), F.count(F.lit(1)).alias("n"), F.min("row").alias("first_row"))
+    """Points without those of noise classes, each moved to the raster's frame, the highest of each cell of 2 m."""
+    p = b.cells(spark, sf_dir).select((C("row") * 0.7 + 3).alias("y"), (C("col") * 1.3).alias("x"), "z", ((C("row") * 5 + C("col")) % 19).alias("cls"))
+    p = p.where(~C("cls").isin(*NOISE_CLASSES))
+    return p.groupBy(F.floor(C("y") / 2).alias("cell_y"), F.floor(C("x") / 2).alias("cell_x")).agg(F.max("z").alias("top"), F.count(F.lit(1)).alias("n"))
 
 
 @query(f"""SELECT c.row, c.col, round(avg(n.z), 6) AS mean, count(*) AS n, sum(CASE WHEN n.z > 0 THEN 1 ELSE 0 END) >= 5 AS most FROM cells c, {_AROUND}, cells n WHERE n.row = c.row + i AND n.col = c.col + j GROUP BY c.row, c.col""")
@@ -46,10 +52,12 @@ def shadows_from_west(spark, sf_dir):
     return raster.lined_shadow(b.cells(spark, sf_dir), 26.57)
 
 
-@query()
+@query("""WITH k AS (SELECT abs(cos(radians(230.0))) AS d, abs(sin(radians(230.0))) AS r), e AS (SELECT min(col) AS c0, max(row) AS r1 FROM cells),
+    v AS (SELECT row, col, z * 20 AS z, col - c0 AS along, r1 - row - round_even((d / r) * (col - c0), 0) AS ray, tan(radians(40.0)) * sqrt(1 + (d / r) * (d / r)) AS fall FROM cells, k, e)
+    SELECT row, col, coalesce(max(z + along * fall) OVER (PARTITION BY ray ORDER BY along ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - along * fall > z + 0.01, false) AS shaded FROM v""")
 def shadows_oblique(spark, sf_dir):
-    """Shadow of an oblique sun, tiles of rows with a halo."""
-    return raster.tile_shadows(b.cells(spark, sf_dir).withColumn("z", C("z") * 20), 230.0, 40.0, 64, 24)
+    """Shadow of an oblique sun, a running horizon along each ray."""
+    return raster.shadows(b.cells(spark, sf_dir).withColumn("z", C("z") * 20), 230.0, 40.0)
 
 
 @query("""SELECT row, col, round(180 * (1 - least(1, sqrt(gx * gx + gy * gy))), 5) AS hill FROM (SELECT row, col, (lead(z) OVER (PARTITION BY row ORDER BY col) - lag(z) OVER (PARTITION BY row ORDER BY col)) / 2 AS gx,

@@ -144,13 +144,13 @@ def clock_math(spark, sf_dir):
     )
 
 
-@query("""WITH RECURSIVE codes AS (SELECT trip, list_aggregate(list(eid ORDER BY seq), 'string_agg', ',') AS t FROM steps GROUP BY trip),
-    h AS (SELECT trip, t, 1 AS i, 2166136261::BIGINT AS k FROM codes UNION ALL SELECT trip, t, i + 1, (xor(k, ascii(t[i])) * 16777619) % 4294967296 FROM h WHERE i <= length(t))
-    SELECT trip, k AS key FROM h WHERE i = length(t) + 1""")
+@query("""WITH RECURSIVE codes AS (SELECT trip, list(eid ORDER BY seq) AS l FROM steps GROUP BY trip),
+    h AS (SELECT trip, l, 1 AS i, 2166136261::BIGINT AS k FROM codes UNION ALL SELECT trip, l, i + 1, (xor(k, l[i]) * 16777619) % 4294967296 FROM h WHERE i <= len(l))
+    SELECT trip, len(l) || ':' || lower(to_base(k, 36)) AS key FROM h WHERE i = len(l) + 1""")
 def walk_keys(spark, sf_dir):
-    """A 32-bit key of each walk's edges."""
+    """The key of each walk's edges."""
     eids = F.transform(F.array_sort(F.collect_list(F.struct("seq", "eid"))), lambda s: s["eid"])
-    return b.steps(spark, sf_dir).groupBy("trip").agg(geo.fnv1a(eids).alias("key"))
+    return b.steps(spark, sf_dir).groupBy("trip").agg(geo.walk_key(eids).alias("key"))
 
 
 @query("""SELECT event_id, CASE WHEN json_extract_string(props, '$.k') IS NOT NULL AND TRY_CAST(json_extract_string(props, '$.k') AS INT) BETWEEN 10 AND 90 THEN TRY_CAST(json_extract_string(props, '$.k') AS INT) END AS k,

@@ -137,15 +137,23 @@ def sliding_buffer(spark, sf_dir):
     return b.fixes(spark, sf_dir).select("event_id", F.count(F.lit(1)).over(w).alias("n"), F.round(F.max("off_m").over(w), 4).alias("worst"), (away & (C("off_m") < 30)).alias("arrived"))
 
 
-@query("""WITH r AS (SELECT u AS s, v AS n, floor(((atan2(slope, noise_q - 128) + pi()) / (2 * pi())) * 16)::BIGINT % 16 AS sector, len_dm AS cost, eid FROM edges)
-    SELECT s, sector, n, cost FROM (SELECT *, row_number() OVER (PARTITION BY s, sector ORDER BY cost, eid) AS k FROM r) WHERE k = 1""")
+@query("""WITH hop AS (SELECT e.u AS s, e.v AS n, e.len_dm AS cost, e.len_dm AS dist FROM edges e UNION ALL SELECT e.u, f.v, e.len_dm + f.len_dm, e.len_dm + f.len_dm FROM edges e JOIN edges f ON f.u = e.v),
+    r AS (SELECT s, n, min(cost) AS cost FROM hop WHERE s <> n AND dist BETWEEN 1200 AND 2700 GROUP BY s, n),
+    a AS (SELECT r.*, floor((atan2(q.y - p.y, q.x - p.x) + pi()) / (2 * pi()) * 16)::BIGINT % 16 AS sector FROM r JOIN nodes p ON p.node = r.s JOIN nodes q ON q.node = r.n)
+    SELECT s, sector, n, cost FROM (SELECT *, row_number() OVER (PARTITION BY s, sector ORDER BY cost, n) AS k FROM a) WHERE k = 1""")
 def ring_by_sector(spark, sf_dir):
-    """The cheapest node of each angular sector around a node."""
+    """Of the nodes in a ring of 120 to 270 m by street (two edges at most), the cheapest in each angular sector as seen from the middle."""
     from pacegrid.functions import geo
 
-    r = b.edges(spark, sf_dir).select(C("u").alias("s"), C("v").alias("n"), geo.sector(C("noise_q") - 128, C("slope")).alias("sector"), C("len_dm").alias("cost"), "eid")
-    k = F.row_number().over(Window.partitionBy("s", "sector").orderBy("cost", "eid"))
-    return r.withColumn("k", k).where("k = 1").select("s", "sector", "n", "cost")
+    e = b.edges(spark, sf_dir)
+    one = e.select(C("u").alias("s"), C("v").alias("n"), C("len_dm").alias("cost"))
+    two = one.toDF("s", "mid", "first").join(one.toDF("mid", "n", "second"), "mid").select("s", "n", (C("first") + C("second")).alias("cost"))
+    ring = one.unionByName(two).where((C("s") != C("n")) & C("cost").between(1200, 2700)).groupBy("s", "n").agg(F.min("cost").alias("cost"))
+    n = b.nodes(spark, sf_dir)
+    placed = ring.join(n.toDF("s", "sx", "sy"), "s").join(n.toDF("n", "nx", "ny"), "n")
+    seen = placed.withColumn("sector", geo.sector((C("nx") - C("sx")).cast("double"), (C("ny") - C("sy")).cast("double")))
+    k = F.row_number().over(Window.partitionBy("s", "sector").orderBy("cost", "n"))
+    return seen.withColumn("k", k).where("k = 1").select("s", "sector", "n", "cost")
 
 
 @query("""WITH s AS (SELECT trip, e.len_dm / 10::DOUBLE AS m, e.eid % 3 AS side, e.u // 4 AS stretch FROM steps s JOIN edges e ON s.eid = e.eid)

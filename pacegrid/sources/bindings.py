@@ -3,7 +3,7 @@
 No geodata comes with the tables, so a street grid is derived: parts are nodes of
 a 50-wide grid with 100 m spacing, edges join neighbours in both directions, and
 attributes are modular arithmetic on the end nodes.  Orders are walks of eight
-edges along a row, at a departure minute.  The same definitions stand in
+edges along a row, at a departure minute; origins are spread over all rows.  The same definitions stand in
 ``VIEWS`` as SQL, for oracles.
 """
 
@@ -55,8 +55,9 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 def walks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """trip, depart (minute of day) and origin node of every order's walk."""
     key = F.col("o_orderkey").cast("long")
-    origin = (F.floor(key / 40) % 4) * WIDE + key % 40
-    return table(spark, sf_dir, "orders").select(key.alias("trip"), (key * 7 % 1440).alias("depart"), origin.alias("origin"))
+    rows = table(spark, sf_dir, "part").agg((F.floor((F.max("p_partkey") + 1) / WIDE)).cast("long").alias("rows"))  # one row
+    origin = (F.floor(key / 40) % F.col("rows")) * WIDE + key % 40
+    return table(spark, sf_dir, "orders").crossJoin(F.broadcast(rows)).select(key.alias("trip"), (key * 7 % 1440).alias("depart"), origin.alias("origin"))
 
 
 def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,7 +105,7 @@ VIEWS = {
         FROM (SELECT n.node AS u, w.k, w.d FROM nodes n, (VALUES (0, -50), (1, -1), (2, 1), (3, 50)) w(k, d)
               WHERE w.d IN (-50, 50) OR n.node // 50 = CAST(floor((n.node + w.d) / 50.0) AS BIGINT)) e
         JOIN nodes m ON m.node = e.u + e.d""",
-    "walks": "SELECT o_orderkey::BIGINT AS trip, o_orderkey * 7 % 1440 AS depart, (o_orderkey // 40 % 4) * 50 + o_orderkey % 40 AS origin FROM orders",
+    "walks": "SELECT o_orderkey::BIGINT AS trip, o_orderkey * 7 % 1440 AS depart, (o_orderkey // 40 % (SELECT (max(p_partkey) + 1) // 50 FROM part)) * 50 + o_orderkey % 40 AS origin FROM orders",
     "steps": "SELECT trip, depart, seq, (origin + seq) * 4 + 2 AS eid FROM walks, (SELECT unnest(range(0, 8)) AS seq) s",
     "tagged": f"""SELECT l_orderkey::BIGINT AS way, l_partkey::BIGINT AS node,
         nullif({_choice(SURFACE_OF, f'(l_partkey + l_suppkey) % {len(SURFACE_OF)}')}, '') AS surface,

@@ -48,31 +48,86 @@ def test_runs(spark, name):
     assert QUERIES[name](spark, DATA).count() > 0
 
 
+CLOCK = (480, 15, 4000 / 60)
+
+
 def edge(eid, u, v, len_dm, place, **more):
-    base = {"noise_q": 0, "surface_q": 0, "green_q": 0, "flags": 0, "acc": 0, "slope": 0} | more
+    base = {"noise_q": 0, "surface_q": 0, "green_q": 0, "flags": 0, "acc": 0, "slope": 0, "shade": [255] * 50} | more
     return {"city": 0, "eid": eid, "u": u, "v": v, "len_dm": len_dm, "x1": place[u][0], "y1": place[u][1], "x2": place[v][0], "y2": place[v][1]} | base
 
 
-def test_route_prefers_quiet_and_shade():
+def graph_of(spark, rows, weights, access="walk"):
+    edges = spark.createDataFrame(pd.DataFrame(rows)) if isinstance(rows, list) else rows
+    return network.Graph.of(network.searched(edges, weights, access).toPandas(), weights, CLOCK)
+
+
+def test_route_prefers_quiet_and_shade(spark):
     place = {0: (0, 0), 1: (100, 100), 2: (100, -100), 3: (200, 0)}
     rows = [edge(0, 0, 1, 5000, place), edge(1, 0, 2, 3000, place, noise_q=255), edge(2, 1, 3, 5000, place), edge(3, 2, 3, 3000, place, noise_q=255)]
-    graph = network.Graph.of(pd.DataFrame(rows))
-    way, metres, _ = graph.route(0, 3, 60.0, (0.0, 0.0, 2.0, 0.0))
+    graph = graph_of(spark, rows, (0.0, 0.0, 2.0, 0.0))
+    way, metres, _ = graph.route(0, 3, 60.0)
     assert graph.eid[way].tolist() == [1, 3] and metres == 600
-    way, _, _ = graph.route(0, 3, 60.0, (0.0, 3.0, 2.0, 0.0))
+    assert graph.route(0, 0, 0.0) == ([], 0.0, 0.0) and graph.route(3, 0, 0.0) is None
+    graph = graph_of(spark, rows, (0.0, 3.0, 2.0, 0.0))
+    way, _, _ = graph.route(0, 3, 60.0)
     assert graph.eid[way].tolist() == [0, 2]
-    assert graph.route(0, 0, 0.0, (0.0,) * 4) == ([], 0.0, 0.0) and graph.route(3, 0, 0.0, (0.0,) * 4) is None
 
 
-def test_route_is_the_least_price_where_time_does_not_matter():
+def test_route_takes_the_shade_of_the_hour(spark):
+    """The longer way is in the shade from 14:00 on: at 8:00 the short one, at 15:00 the long one."""
+    place = {0: (0, 0), 1: (100, 100), 2: (100, -100), 3: (200, 0)}
+    late = [0] * 24 + [255] * 26
+    rows = [edge(0, 0, 1, 5000, place, shade=late), edge(1, 0, 2, 3000, place, shade=[0] * 50), edge(2, 1, 3, 5000, place, shade=late), edge(3, 2, 3, 3000, place, shade=[0] * 50)]
+    graph = graph_of(spark, rows, (3.5, 0.0, 0.0, 0.0))
+    assert graph.eid[graph.route(0, 3, 480.0)[0]].tolist() == [1, 3] and graph.eid[graph.route(0, 3, 900.0)[0]].tolist() == [0, 2]
+
+
+def best_by_force(graph, start, goal, minute, longest=7):
+    """Least price of all ways without a return over at most ``longest`` edges, turns and time included."""
+    best = math.inf
+
+    def go(way, cost, walked):
+        nonlocal best
+        i = way[-1]
+        if graph.v[i] == goal:
+            best = min(best, cost)
+            return
+        lo, hi = graph.first.get(int(graph.v[i]), (0, 0))
+        for k in range(lo, hi):
+            if len(way) < longest and k not in way and not (hi - lo > 1 and (i, k) in graph.back):
+                c = cost + graph.price(k, minute + walked / graph.speed) + graph.turning[i].get(k, 0.0)
+                if c < best:
+                    go([*way, k], c, walked + graph.length[k])
+
+    for k in range(*graph.first[start]):
+        go([k], graph.price(k, minute), graph.length[k])
+    return best
+
+
+def test_routes_with_time_and_turns_are_the_least_of_all(spark):
+    """First come, first served: a shade series that only rises makes waiting useless, so the search is exact."""
+    rng = np.random.default_rng(3)
+    place = {i: (i % 4 * 100, i // 4 * 100) for i in range(16)}
+    near = [(a, b) for a in place for b in place if abs(a % 4 - b % 4) + abs(a // 4 - b // 4) == 1]
+    rows = [edge(16 * a + b, a, b, int(rng.integers(1000, 1600)), place, noise_q=int(rng.integers(0, 256)), flags=int(rng.choice([0, 1, 3, 35])), shade=[int(rng.integers(0, 100))] * 50) for a, b in near]
+    graph = graph_of(spark, rows, (1.5, 1.5, 2.0, 0.0))
+    assert any(graph.turning)
+    for start, goal in ((0, 5), (0, 10), (3, 9), (12, 6)):
+        assert graph.route(start, goal, 600.0)[2] == pytest.approx(best_by_force(graph, start, goal, 600.0))
+    pin = graph.eid.tolist().index(16 * 5 + 6)
+    way, metres, price, piece = graph.route_to_pin(0, 16 * 5 + 6, 0.25, 600.0)
+    both = [best_by_force(graph, 0, end, 600.0) + share * graph.price(pin, 600.0) for end, share in ((5, 0.25), (6, 0.75))]
+    assert price == pytest.approx(min(both)) and metres == pytest.approx(sum(graph.length[way]) + piece)
+
+
+def test_route_is_the_least_price_where_time_does_not_matter(spark):
     rng = np.random.default_rng(2)
     place = {i: (i % 5 * 100, i // 5 * 100) for i in range(25)}
     rows = [edge(len(place) * a + b, a, b, int(rng.integers(1000, 3000)), place, green_q=int(rng.integers(0, 256))) for a in place for b in place if abs(a % 5 - b % 5) + abs(a // 5 - b // 5) == 1]
-    graph = network.Graph.of(pd.DataFrame(rows))
-    w = (0.0, 0.0, 2.0, 0.6)
-    cost, _, _, _ = graph.tree(0, 0.0, w, 1e9)
+    graph = graph_of(spark, rows, (0.0, 0.0, 2.0, 0.6))
+    cost, _, _, _ = graph.tree(0, 0.0, 1e9)
     for goal in range(1, 25):
-        assert graph.route(0, goal, 0.0, w)[2] == pytest.approx(cost[goal])
+        assert graph.route(0, goal, 0.0)[2] == pytest.approx(cost[goal])
 
 
 def test_price_kernel_is_the_column_expression(spark):
@@ -87,11 +142,10 @@ def test_price_kernel_is_the_column_expression(spark):
     shade = cost.shade_at(lambda k: bindings.shade(F.col("eid"), k), F.lit(907.0))
     for access in ("walk", "stroller", "wheelchair"):
         price = cost.edge_cost({c: F.col(c) for c in EDGE}, shade, weights("balanced"), access)
-        pdf = e.withColumn("price", price).toPandas()
-        graph = network.Graph.of(pdf)
-        want = pdf.set_index("eid").price
+        want = e.withColumn("price", price).toPandas().set_index("eid").price
+        graph = graph_of(spark, e, cost.PRESETS["balanced"], access)
         for i in range(len(graph.eid)):
-            got = graph.price(i, 907.0, cost.PRESETS["balanced"], access)
+            got = graph.price(i, 907.0)
             assert (math.isinf(got) and math.isnan(want[graph.eid[i]])) or got == pytest.approx(want[graph.eid[i]])
 
 
@@ -100,21 +154,31 @@ def test_components_and_relaxation(spark):
     got = {r.node: r.component for r in network.components(chain).collect()}
     assert got == {i: 0 for i in range(41)} | {50: 50, 51: 50}
     edges = spark.createDataFrame([(0, 1, 5), (1, 2, 5), (0, 2, 20)], "u long, v long, w long")
-    dist = {r.node: r.dist for r in network.relax(edges, spark.createDataFrame([(0,)], "source long"), 3).collect()}
+    dist = {r.node: r.dist for r in network.relax(edges, spark.createDataFrame([(0,)], "source long"), 100).collect()}
     assert dist == {0: 0, 1: 5, 2: 10}
 
 
 def test_shadows_of_a_wall(spark):
     z = np.zeros((100, 100))
     z[40:61, 50] = 10
-    west = raster.shadow_mask(z, 270, 45)
+    cells = spark.createDataFrame([(i, j, float(z[i, j])) for i in range(100) for j in range(100)], "row long, col long, z double").cache()
+
+    def mask(azimuth, elevation):
+        return raster.shadows(cells, azimuth, elevation).toPandas().pivot(index="row", columns="col", values="shaded").to_numpy()
+
+    west = mask(270, 45)
     assert west[50, 52] and west[50, 59] and not west[50, 62] and not west[50, 48]
-    south = raster.shadow_mask(z, 180, 26.57)
+    south = mask(180, 26.57)
     assert south[25, 50] and not south[15, 50] and not south[70, 50]
-    assert raster.shadow_mask(z, 90, -1).all()
-    rows = [(int(i), int(j), float(z[i, j])) for i in range(100) for j in range(40, 70)]
-    tiled = raster.tile_shadows(spark.createDataFrame(rows, "row long, col long, z double"), 200.0, 30.0, 16, 20).toPandas().pivot(index="row", columns="col", values="shaded").to_numpy()
-    assert tiled[60:].sum() == 0 and tiled[:40].any()
+    assert mask(90, -1).all()
+    # brute force: a cell is dark if a higher one stands on its ray, step by step towards the sun
+    slanted = mask(200.0, 30.0)
+    slope, fall = math.tan(math.radians(20)), math.tan(math.radians(30)) * math.hypot(1, math.tan(math.radians(20)))
+    for i, j in [(20, 55), (35, 52), (39, 53), (30, 60), (45, 51), (70, 50), (10, 65)]:
+        a, c = 99 - i, j  # the sun stands in the south, a little west: along grows to the north, aside to the east
+        ray = c - round(slope * a)
+        dark = any(0 <= ray + round(slope * k) < 100 and z[99 - k, ray + round(slope * k)] - fall * (a - k) > z[i, j] + 0.01 for k in range(a))
+        assert slanted[i, j] == dark
 
 
 def test_diverse_selection(spark):
@@ -152,19 +216,19 @@ def test_entry_and_contract(spark):
     assert entry.entry(spark).count() > 0
 
 
-def test_round_walks_are_closed_and_near_the_target():
+def test_round_walks_are_closed_and_near_the_target(spark):
     from pacegrid.operators import planner
 
     place = {i: (i % 15 * 100, i // 15 * 100) for i in range(225)}
     rows = [edge(225 * a + c, a, c, 1000, place) for a in place for c in place if abs(a % 15 - c % 15) + abs(a // 15 - c // 15) == 1]
-    graph = network.Graph.of(pd.DataFrame(rows))
-    found = planner.loops(graph, 112, 1500.0, 600.0, (1.5, 1.5, 2.0, 0.6))
+    graph = graph_of(spark, rows, (1.5, 1.5, 2.0, 0.6))
+    found = planner.loops(graph, 112, 1500.0, 600.0)
     assert 1 <= len(found) <= 3
     for way, metres, _, _ in found:
         assert graph.u[way[0]] == 112 == graph.v[way[-1]] and abs(metres - 1500) <= 0.35 * 1500
         assert all(graph.v[a] == graph.u[c] for a, c in zip(way, way[1:]))
     assert all(planner.overlap(set(a[0]), set(c[0])) <= 0.5 for i, a in enumerate(found) for c in found[:i])
-    ways = planner.alternatives(graph, 0, 20, 600.0)
+    ways = planner.alternatives({"balanced": graph, "fastest": graph_of(spark, rows, (0.0, 0.0, 2.0, 0.0))}, 0, 20, 600.0)
     assert ways[0][0] == "balanced" and len(ways) <= 3
 
 
