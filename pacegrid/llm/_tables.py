@@ -39,12 +39,29 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/pacegrid-{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The rows written to the shared folder and read back: lineage ends here."""
+def stored(df: DataFrame, name: str, instead: DataFrame | None = None) -> DataFrame:
+    """The rows written to the shared folder and read back: lineage ends here.
+
+    ``instead`` is a stored table that nothing needs any more once this one is written.
+    """
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    if instead is not None:
+        drop(instead)
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes stored tables that no later step reads; what is no stored table stays."""
+    for df in tables:
+        path = getattr(df, "_stored_at", None)
+        if path:
+            jvm = df.sparkSession.sparkContext._jvm
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def fold(key: str = "doc_id"):
