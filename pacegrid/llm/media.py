@@ -153,6 +153,7 @@ class Picture:
     restart: int = 0
     scan: list[tuple[int, int, int]] = field(default_factory=list)  # component, DC and AC table
     segments: list[bytes] = field(default_factory=list)
+    seen: dict[int, bytes] | None = None  # tables defined so far, once the luminance has its own
 
 
 def parse(data: bytes) -> list[Picture]:
@@ -184,17 +185,23 @@ def parse(data: bytes) -> list[Picture]:
         elif marker == DHT:
             while body:
                 n = 17 + sum(body[1:17])
-                now.tables[body[0]] = body[1:n]
+                (now.tables if now.seen is None else now.seen)[body[0]] = body[1:n]
                 body = body[n:]
         elif marker == DRI:
             now.restart = int.from_bytes(body, "big")
         elif marker in (SOF0, SOF0 + 1):
+            if body[0] != 8:
+                raise ValueError("samples of more than 8 bits aren't baseline")
             now.height, now.width = int.from_bytes(body[1:3], "big"), int.from_bytes(body[3:5], "big")
             now.components = [(c[0], c[1] >> 4, c[1] & 15, c[2]) for c in (body[i : i + 3] for i in range(6, 6 + 3 * body[5], 3))]
         elif SOF0 < marker <= 0xCF and marker not in (DHT, 0xC8, 0xCC):
             raise ValueError(f"frame type {marker:#x} isn't baseline")
         elif marker == SOS:
-            now.scan = [(body[1 + 2 * i], body[2 + 2 * i] >> 4, body[2 + 2 * i] & 15) for i in range(body[0])]
+            scan = [(body[1 + 2 * i], body[2 + 2 * i] >> 4, body[2 + 2 * i] & 15) for i in range(body[0])]
+            # components may have a scan each: the one that has the luminance counts, with the tables it finds
+            wanted = not now.scan and bool(now.components) and scan[0][0] == now.components[0][0]
+            if wanted:
+                now.scan, now.tables, now.seen = scan, dict(now.tables), now.tables
             raw = np.frombuffer(data, np.uint8, offset=at)
             signs = np.flatnonzero(raw[:-1] == 0xFF)
             follow = raw[signs + 1]
@@ -203,7 +210,8 @@ def parse(data: bytes) -> list[Picture]:
             stop = int(stops[0]) if len(stops) else len(raw)
             cuts = [0, *[x for m in marks[marks < stop].tolist() for x in (m, m + 2)], stop]
             whole = data[at : at + stop]
-            now.segments += [whole[a:b].replace(b"\xff\x00", b"\xff") for a, b in zip(cuts[::2], cuts[1::2])]
+            if wanted:
+                now.segments += [whole[a:b].replace(b"\xff\x00", b"\xff") for a, b in zip(cuts[::2], cuts[1::2])]
             at += stop
     return pictures
 
@@ -277,7 +285,11 @@ def luminance(pictures: list[Picture]) -> list[np.ndarray]:
         grids, lengths, segments = [], [], []
         for i in which:
             p = pictures[i]
-            wide, high = -(-p.width // (8 * across)), -(-p.height // (8 * down))
+            if single:
+                h, v = (max(c[k] for c in p.components) for k in (1, 2))
+                wide, high = -(-(-(-p.width * p.components[0][1] // h)) // 8), -(-(-(-p.height * p.components[0][2] // v)) // 8)
+            else:
+                wide, high = -(-p.width // (8 * across)), -(-p.height // (8 * down))
             every = p.restart or wide * high
             lengths += [min(every, wide * high - s) for s in range(0, wide * high, every)]
             segments += p.segments

@@ -20,6 +20,7 @@ its decoded bytes equal the normalised text.
 from __future__ import annotations
 
 import struct
+import os
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -39,6 +40,8 @@ UNIGRAM, BPE = 1, 2
 SLICE_BYTES = 4 << 20
 #: Parts that are encoded in one call.
 CALL = 20_000
+#: Threads of the tokenizers library in a task.
+THREADS = 2
 
 
 @dataclass
@@ -211,6 +214,9 @@ class Codec:
 
     def _encode_parts(self, parts: list[bytes]) -> tuple[list[list[int]], np.ndarray]:
         """Ids of each part, and whether the sentencepiece library agrees."""
+        # the library reads this at every call; another operator may have turned it off in this worker
+        os.environ["TOKENIZERS_PARALLELISM"] = "true"
+        os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))
         ids: list[list[int]] = []
         same: list[bool] = []
         for start in range(0, len(parts), CALL):

@@ -9,7 +9,8 @@ of two copies and descends through mismatching nodes alone, down to records.
 
 Defined results: null html is an empty payload, a null url leaves the target
 header out; repeated pages are records of their own; of an empty table there is
-no file and no row.  Files of lost attempts have no manifest row and are not read.
+no file and no row; a record of any length is one leaf; other columns are not
+stored.  Files of lost attempts have no manifest row and are not read.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ FANOUT = 16
 DATE = "1970-01-01T00:00:00Z"
 #: The drill of the query: the replica's records of these pages are damaged on its disk.
 DRILL_EVERY, DRILL_AT = 97, 13
-NODE = "copy string, part long, seq long, page_id long, start long, end long, digest string"
+NODE = "copy string, part long, seq long, page_id long, start long, end long, digest string, valid boolean"
 
 
 def record(page_id: int | None, url: str | None, html: str | None) -> bytes:
@@ -67,6 +68,16 @@ def records(data: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
         at += size
 
 
+def valid(data: bytes) -> bool:
+    """Whether the bytes are one whole record whose payload has the digest that it states."""
+    try:
+        ((_, size, fields, block),) = records(data)
+        payload = block.partition(b"\r\n\r\n")[2]
+        return size == len(data) and fields.get("WARC-Payload-Digest") == f"sha256:{hashlib.sha256(payload).hexdigest()}"
+    except (ValueError, KeyError, zlib.error):
+        return False
+
+
 def write(pages: DataFrame, folder: str) -> DataFrame:
     """The manifest (part, name, n_records, n_bytes) of files written to ``folder``."""
 
@@ -136,11 +147,15 @@ def leaves(manifest: DataFrame, folder: str, index: str, copy: str) -> DataFrame
             for row in batch.to_pylist():
                 bounds, keys = _index(own, f"{origin}/{row['index']}")
                 with store.open_input_file(f"{path}/{row['name']}") as f:
-                    digest = [hashlib.sha256(f.read_at(int(b - a), int(a))).hexdigest() for a, b in zip(bounds, bounds[1:])]
+                    digest, whole = [], []
+                    for a, b in zip(bounds, bounds[1:]):
+                        data = f.read_at(int(b - a), int(a))
+                        digest.append(hashlib.sha256(data).hexdigest())
+                        whole.append(valid(data))
                 n = len(keys)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([copy] * n), pa.array([row["part"]] * n, pa.int64()), pa.array(range(n), pa.int64()), pa.array(keys, pa.int64()), pa.array(bounds[:-1]), pa.array(bounds[1:]), pa.array(digest)],
-                    ["copy", "part", "seq", "page_id", "start", "end", "digest"],
+                    [pa.array([copy] * n), pa.array([row["part"]] * n, pa.int64()), pa.array(range(n), pa.int64()), pa.array(keys, pa.int64()), pa.array(bounds[:-1]), pa.array(bounds[1:]), pa.array(digest), pa.array(whole, pa.bool_())],
+                    ["copy", "part", "seq", "page_id", "start", "end", "digest", "valid"],
                 )
 
     return manifest.repartition(max(1, manifest.count())).mapInArrow(run, NODE)
@@ -198,15 +213,20 @@ def mismatches(levels: list[DataFrame], one: str, other: str) -> DataFrame:
 
 
 def audit(leaf: DataFrame, one: str, other: str) -> DataFrame:
-    """One row per record of copy ``one``: its place, both digests and ``status``."""
+    """One row per record of copy ``one``, and of those that only ``other`` has: its place, both digests and ``status``.
+
+    ``valid`` says whether the record at hand can be read back with the payload digest it states.
+    """
     found = mismatches(tree(leaf), one, other)
-    status = F.when(F.col("_b").isNull(), "missing").otherwise("corrupt")
-    named = found.where(F.col("_a").isNotNull()).select("part", "seq", F.col("_b").alias("other_sha256"), status.alias("status"))
-    own = leaf.where(F.col("copy") == one)
-    return own.join(named, ["part", "seq"], "left").select(
+    status = F.when(F.col("_b").isNull(), "missing").when(F.col("_a").isNull(), "extra").otherwise("corrupt")
+    named = found.select("part", "seq", F.col("_b").alias("other_sha256"), status.alias("status"))
+    own = leaf.where(F.col("copy") == one).join(named.where("status <> 'extra'"), ["part", "seq"], "left")
+    more = leaf.where(F.col("copy") == other).join(named.where("status = 'extra'"), ["part", "seq"])
+    same = F.col("status").isNull()
+    return own.unionByName(more).select(
         "page_id", "part", "seq", F.col("start").alias("offset"), (F.col("end") - F.col("start")).alias("length"),
-        F.col("digest").alias("sha256"), F.coalesce("status", F.lit("intact")).alias("status"),
-        F.when(F.col("status").isNull(), F.col("digest")).otherwise(F.col("other_sha256")).alias("replica_sha256"),
+        F.when(~F.coalesce(F.col("status") == "extra", F.lit(False)), F.col("digest")).alias("sha256"), F.coalesce("status", F.lit("intact")).alias("status"),
+        F.when(same, F.col("digest")).otherwise(F.col("other_sha256")).alias("replica_sha256"), "valid",
     )
 
 

@@ -63,6 +63,86 @@ def test_unigram_models_are_rebuilt():
     assert sentencepieces.build(proto).encode("▁ab").ids == [3]
 
 
+def _field(number, kind, payload):
+    head = bytes([number << 3 | kind]) if number < 16 else bytes([(number << 3 | kind) & 127 | 128, number >> 4])
+    return head + (bytes([len(payload) & 127 | 128, len(payload) >> 7]) + payload if kind == 2 else payload)
+
+
+def test_unigram_models_encode_like_the_library(tmp_path):
+    """A unigram model written by hand: scores, byte fallback, the marker, and pieces with the marker inside."""
+    import struct
+
+    words = {"▁": -3.0, "▁a": -3.5, "a": -4.0, "b": -4.2, "ab": -5.0, "▁ab": -5.1, "c": -4.4, "bc": -5.2, "abc": -6.5, "d": -4.9, "▁d": -5.5, "cd": -6.0, "é": -6.1, ".": -4.0, "a▁b": -7.0}
+    pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)] + [(f"<0x{i:02X}>", 0.0, 6) for i in range(256)] + [(w, s, 1) for w, s in words.items()]
+    proto = b"".join(_field(1, 2, _field(1, 2, p.encode()) + _field(2, 5, struct.pack("<f", s)) + _field(3, 0, bytes([k]))) for p, s, k in pieces)
+    proto += _field(2, 2, _field(3, 0, b"\x01") + _field(35, 0, b"\x01"))
+    proto += _field(3, 2, _field(1, 2, b"identity") + _field(3, 0, b"\x01") + _field(4, 0, b"\x00") + _field(5, 0, b"\x01"))
+    path = tmp_path / "unigram.model"
+    path.write_bytes(proto)
+    own = sentencepieces.Codec(str(path))
+    rng = random.Random(4)
+    texts = ["", " ", "  ", "a b", "ab abc", "é", "x", "中 a", None] + ["".join(rng.choice("aabbccd .éx") for _ in range(rng.randint(1, 60))) for _ in range(300)]
+    ids, ends, agree = own.encode(pa.array(texts))
+    assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == own.judge.encode([t or "" for t in texts]) and agree.all()
+    assert own.decode(ids, ends) == [t or "" for t in texts]
+
+
+def test_vocabularies_that_keep_case_are_encoded_whole(tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    plain = Tokenizer(models.WordLevel({"[UNK]": 0, "end": 1, "a": 2, "A": 3, "b": 4, ".": 5}, "[UNK]"))
+    plain.pre_tokenizer = pre_tokenizers.Whitespace()
+    path = tmp_path / "own.json"
+    plain.save(str(path))
+    own = token_files.Encoder(str(path))
+    ids, ends = own(pa.array(["a A", None, "b. A"]))
+    assert not own.by_words and [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == [[2, 3, 1], [1], [4, 5, 3, 1]]
+    assert token_files.Encoder(public.path("word_bpe_49k.json")).by_words
+
+
+def test_jpeg_with_a_scan_for_each_component():
+    code, size = media._codes(media.DC_LENGTHS)[0]
+    bits = f"{code:0{size}b}0" * 2
+    data = int(bits.ljust(-(-len(bits) // 8) * 8, "1"), 2).to_bytes(-(-len(bits) // 8), "big")
+    own = media._segment(media.SOF0, bytes([8]) + (8).to_bytes(2, "big") + (512).to_bytes(2, "big") + bytes([1, 1, 0x11, 0]))
+    sof = media._segment(media.SOF0, bytes([8, 0, 8, 0, 16, 2, 1, 0x21, 0, 2, 0x11, 0]))
+    start = media._head(1).replace(own, sof)[: -len(media._segment(media.SOS, bytes([1, 1, 0, 0, 63, 0])))]
+    scans = b"".join(media._segment(media.SOS, bytes([1, c, 0, 0, 63, 0])) + data for c in (1, 2))
+    assert media.luminance(media.parse(start + scans + bytes([0xFF, media.EOI])))[0].tolist() == [[128, 128]]
+    deep = media._segment(media.SOF0 + 1, bytes([12, 0, 8, 0, 16, 1, 1, 0x11, 0]))
+    with pytest.raises(ValueError):
+        media.parse(bytes([0xFF, media.SOI]) + deep)
+
+
+def test_merkle_trees_are_brute_force(spark):
+    """Roots by hand; records that only the replica has, or that it lacks, are told."""
+    import hashlib
+
+    rows = [("archive", p, i, 100 * p + i, 10 * i, 10 * i + 10, hashlib.sha256(b"%d %d" % (p, i)).hexdigest(), True) for p in range(3) for i in range(40)]
+    other = [("replica", *r[1:]) for r in rows if (r[1], r[2]) != (1, 39)] + [("replica", 2, 40, 999, 400, 410, "ab", True)]
+    other = [(*r[:6], "00", False) if (r[1], r[2]) == (0, 17) else r for r in other]
+    leaf = spark.createDataFrame(rows + other, warc.NODE).cache()
+
+    def root(copy):
+        def up(nodes):
+            return [(nodes[i][0], nodes[min(i + 15, len(nodes) - 1)][1], hashlib.sha256("\n".join(f"{a}:{b}:{d}" for a, b, d in nodes[i : i + 16]).encode()).hexdigest()) for i in range(0, len(nodes), 16)]
+
+        tops = []
+        for part in range(3):
+            level = [(r[4], r[5], r[6]) for r in rows + other if r[0] == copy and r[1] == part]
+            level.sort()
+            while len(level) > 1:
+                level = up(level)
+            tops.append(level[0])
+        lines = "\n".join(f"{a}:{b}:{d}" for a, b, d in tops)
+        return hashlib.sha256(lines.encode()).hexdigest()
+
+    top = {r["copy"]: r.digest for r in warc.tree(leaf)[0].collect()}
+    assert top == {c: root(c) for c in ("archive", "replica")}
+    found = {(r.part, r.seq): r.status for r in warc.audit(leaf, "archive", "replica").collect()}
+    assert {k: v for k, v in found.items() if v != "intact"} == {(0, 17): "corrupt", (1, 39): "missing", (2, 40): "extra"} and len(found) == 121
+
+
 def test_html():
     page = '<head><title>t</title></head><nav><li>menu</nav><header>site</header><div class="ad">buy</div><article><h1>T &amp; x</h1><p>One<br>two <b>three</b><p>Four<p class="notice">no</p><section id="comments"><p>c</section><footer>f</footer></article><aside>q</aside>'
     assert html_text.main_text(page, set()) == "T & x\n\nOne two three\n\nFour"
