@@ -24,6 +24,8 @@ from pacegrid.functions import cost as fixed
 C = F.col
 #: Queries of a city that share a task, about.
 TRIPS = 64
+#: Edges of one node are dealt to so many tasks.
+NODE_SALTS = 16
 #: Degrees within which a street goes on straight, and by which another way is bent more.
 STRAIGHT_DEG, BENT_DEG = 20, 5
 TURN_M, MAJOR_NODE_M = 60, 150
@@ -57,24 +59,43 @@ def relax(edges: DataFrame, sources: DataFrame, most: int) -> DataFrame:
         best = checkpointed(best.unionByName(front).groupBy("source", "node").agg(F.min("dist").alias("dist")))
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, component): the least node that each node of (u, v) is joined with, either way.
+def _with_least(edges: DataFrame, itself: bool) -> DataFrame:
+    """``edges`` (u, v) with m, the least node that u meets (itself, too, if asked).
+
+    A node of many edges is dealt to ``NODE_SALTS`` tasks: the least is found for each
+    (u, salt), then for u, and comes back to the (u, salt) that exist.
+    """
+    many = edges.withColumn("_salt", F.pmod(F.xxhash64("v"), F.lit(NODE_SALTS)))
+    part = many.groupBy("u", "_salt").agg(F.min("v").alias("_m"))
+    least = part.groupBy("u").agg(F.min("_m").alias("m"), F.collect_list("_salt").alias("_salts"))
+    back = least.select("u", F.explode("_salts").alias("_salt"), (F.least("m", "u") if itself else C("m")).alias("m"))
+    return many.join(back, ["u", "_salt"]).select("u", "v", "m")
+
 
-    Labels take their neighbours' least label and then the label of that label,
-    so that long chains take few rounds.
+def stars(edges: DataFrame, write: Callable[[DataFrame, DataFrame | None], DataFrame]) -> DataFrame:
+    """(node, root) of every node of ``edges`` (u, v) but the roots: the least node of its component.
+
+    Alternating large and small stars.  ``write(df, instead)`` cuts the lineage of a round
+    and may let go of ``instead``, the round before.
     """
-    both = checkpointed(edges.select("u", "v").unionByName(edges.select(C("v").alias("u"), C("u").alias("v"))).distinct())
-    label = both.groupBy("u").agg(F.least(F.min("v"), C("u")).alias("component")).withColumnRenamed("u", "node")
-    label = checkpointed(label)
+    ordered = lambda e: e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
+    edges, before = write(ordered(edges), None), None
     while True:
-        near = both.join(label, C("v") == C("node")).groupBy("u").agg(F.min("component").alias("_near"))
-        new = label.join(near, C("node") == C("u"), "left").select("node", F.least("component", F.coalesce("_near", "component")).alias("component"))
-        jump = new.select(C("node").alias("component"), C("component").alias("_further"))
-        new = checkpointed(new.join(jump, "component", "left").select("node", F.least("component", F.coalesce("_further", "component")).alias("component")))
-        same = new.join(label.withColumnRenamed("component", "_old"), "node").where("component <> _old").isEmpty()
-        label = new
-        if same:
-            return label
+        ways = edges.unionByName(edges.select(C("v").alias("u"), C("u").alias("v")))
+        large = ordered(_with_least(ways, True).where("v > u").select(C("v").alias("u"), C("m").alias("v")))
+        small = _with_least(large, False).select(F.explode(F.array(F.struct(C("v").alias("u"), C("m").alias("v")), F.struct("u", C("m").alias("v")))).alias("e"))
+        edges = write(ordered(small.select("e.u", "e.v")), edges)
+        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if now == before:
+            return edges.select(C("u").alias("node"), C("v").alias("root"))
+        before = now
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component): the least node that each node of (u, v) is joined with, either way."""
+    found = stars(edges, lambda df, _: checkpointed(df))
+    nodes = edges.select("u").unionByName(edges.select(C("v").alias("u"))).distinct()
+    return nodes.join(found, C("u") == C("node"), "left").select(C("u").alias("node"), F.coalesce("root", "u").alias("component"))
 
 
 def turns(edges: DataFrame) -> DataFrame:

@@ -62,13 +62,18 @@ def sides(rings: DataFrame, key: str) -> DataFrame:
 
 
 def inside(points: DataFrame, p: tuple[str, str, str], rings: DataFrame, key: str, size: float = 500.0) -> DataFrame:
-    """(key, point) of points in rings: cells of the ring's box, then the parity of sides to the right."""
+    """(key, point) of points in rings: cells of the ring's box, then the parity of sides to the right.
+
+    Sides and points of a ring meet in bands of y, so that a large ring is many keys.
+    """
     edge = sides(rings, key)
+    bands = F.explode(F.sequence(F.floor(F.least("y1", "y2") / size), F.floor(F.greatest("y1", "y2") / size)))
+    edge = edge.where("y1 <> y2").withColumn("_band", bands)
     box = rings.groupBy(key).agg(F.min("x").alias("w"), F.min("y").alias("s"), F.max("x").alias("e"), F.max("y").alias("n"))
     near = points.select(*p, cell(C(p[1]), C(p[2]), size).alias("_cell")).join(box.select(key, "w", "s", "e", "n", covered(C("w"), C("s"), C("e"), C("n"), size).alias("_cell")), "_cell")
-    near = near.where(C(p[1]).between(C("w"), C("e")) & C(p[2]).between(C("s"), C("n"))).select(key, *p)
+    near = near.where(C(p[1]).between(C("w"), C("e")) & C(p[2]).between(C("s"), C("n"))).select(key, *p, F.floor(C(p[2]) / size).alias("_band"))
     right = ((C("y1") > C(p[2])) != (C("y2") > C(p[2]))) & (C(p[1]) < (C("x2") - C("x1")) * (C(p[2]) - C("y1")) / F.nullif(C("y2") - C("y1"), F.lit(0)) + C("x1"))
-    return near.join(edge, key).where(right).groupBy(key, p[0]).agg(F.count(F.lit(1)).alias("_n")).where("_n % 2 = 1").select(key, p[0])
+    return near.join(edge, [key, "_band"]).where(right).groupBy(key, p[0]).agg(F.count(F.lit(1)).alias("_n")).where("_n % 2 = 1").select(key, p[0])
 
 
 def crossings(lines: DataFrame, segments: DataFrame, size: float) -> DataFrame:

@@ -1 +1 @@
-from pacegrid.plans import classes, details, networks, pricing, rasters, scalars, sequences, spatial, stores, streams  # noqa: F401
+from pacegrid.plans import classes, details, networks, pricing, progress, rasters, scalars, sequences, spatial, stores, streams  # noqa: F401

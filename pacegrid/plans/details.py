@@ -308,7 +308,7 @@ def progress(nearest: list[int], near: list[float], backtrack: float = 80.0) ->
 
 @query()
 def walk_progress(spark, sf_dir):
-    """Progress along a route and a slope-limited profile, one session at a time."""
+    """A place that never goes back and a slope-limited profile, one session at a time."""
 
     def follow(pdf: pd.DataFrame) -> pd.DataFrame:
         own = pdf.sort_values(["t", "event_id"])

@@ -18,7 +18,10 @@ LATE = "10 minutes"
 
 
 def shared(spark: SparkSession, name: str) -> str:
-    folder = spark.conf.get("spark.checkpoint.dir", "file:///tmp/pacegrid-checkpoints")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    folder = folder or "file:///tmp/pacegrid-checkpoints"
     return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -59,7 +62,10 @@ def off_route(fixes: DataFrame) -> DataFrame:
 
 
 def windows(events: DataFrame, size: str = "1 hour") -> DataFrame:
-    """Events and mean value per window of event time and kind; later than LATE is dropped."""
+    """Events and mean value per window of event time and kind; later than LATE is dropped.
+
+    In append mode a window is given out when the watermark has passed it, and its state goes.
+    """
     kept = events.withWatermark("ts", LATE)
     return kept.groupBy(F.window("ts", size), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("mean"))
 
@@ -70,7 +76,7 @@ def drained(stream: DataFrame, mode: str, name: str) -> DataFrame:
     path = shared(spark, name)
 
     def put(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/out/batch={0 if mode == 'complete' else number}")
+        batch.write.mode("overwrite").parquet(f"{path}/out/batch={number}")
 
     stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
     try:

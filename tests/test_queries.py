@@ -240,3 +240,16 @@ def test_small_kernels():
     assert len(details.hull(np.array([[0, 0], [1, 0], [1, 1], [0, 1], [0.5, 0.5]]))) == 4
     assert details.limited_profile(np.array([0, 100, 0]), 10).tolist() == [0, 10, 0]
     assert details.progress([0, 3, 1, 5, 2], [1, 1, 1, 1, 200]) == [0, 3, 3, 5, 2]
+
+
+def test_progress_and_ladders():
+    from pacegrid.plans import progress
+
+    loop = [(0, 0), (100, 0), (200, 0), (200, 100), (100, 100), (0, 100), (0, 0)]
+    # at the start of a loop one stands on its first and its last node: the first counts
+    assert progress.node_reached(loop, 3.0, 2.0, 0) == 0 and progress.node_reached(loop, 3.0, 2.0, 4) == 6
+    # never back while what lies ahead is near; back if it is far
+    assert progress.node_reached(loop, 150.0, 40.0, 3) == 3 and progress.node_reached([(0, 0), (100, 0), (500, 0), (900, 0)], 5.0, 0.0, 2) == 0
+    rows = [(5.0, 400, {1, 2}), (4.0, 450, {1, 2, 3}), (3.0, 600, {1, 2, 3, 4, 5}), (2.0, 900, {7, 8}), (1.0, 10, {9})]
+    assert progress.ladder(rows) == [0, 2, 3, 1, 4]
+    assert len(progress.ladder([(float(i), 400 + i, {i}) for i in range(20)])) == progress.TOP_N
