@@ -66,6 +66,6 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     """None: each contract has columns that come from a fitted model, a stored form or a whole copy rule.
 
-    What SQL can say of them (counts of op4, sizes and targets of op10) is in ``tests/llm``.
+    Each is held against brute force, a library or held-out labels in ``tests/llm``.
     """
     return {}
