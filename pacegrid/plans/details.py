@@ -144,20 +144,6 @@ def detour_report(spark, sf_dir):
     return n.groupBy("k").agg(F.round(F.avg("ratio"), 5).alias("mean"), at(0.5).alias("median"), at(0.9).alias("p90"), at(0.99).alias("p99"))
 
 
-_POINTS = planes._POINTS
-
-
-@query(f"""WITH {_POINTS}, {planes._SEGMENTS}, s AS (SELECT *, degrees(atan2(b_y - ay, bx - ax)) AS raw FROM segments), d AS (SELECT id, eid, round(abs(CASE WHEN ay = b_y THEN py - ay ELSE px - ax END), 6) AS metres FROM points, s WHERE ((raw % 180) + 180) % 180 <= 25 AND CASE WHEN ay = b_y THEN px BETWEEN least(ax, bx) AND greatest(ax, bx) ELSE py BETWEEN least(ay, b_y) AND greatest(ay, b_y) END)
-    SELECT id, eid, metres FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY metres, eid) AS n FROM d WHERE metres <= 100) WHERE n = 1""")
-def nearest_parallel(spark, sf_dir):
-    """The nearest street whose bearing differs by 25 degrees at most from a sidewalk's (here east), within 100 m."""
-    s = planes.segments(spark, sf_dir)
-    s = s.where(geo.line_bearing((C("bx") - C("ax")).cast("double"), (C("by") - C("ay")).cast("double")) <= 25)
-    p = planes.points(spark, sf_dir)
-    near = p.select("*", spatial.cell(C("px"), C("py"), 100.0).alias("_cell")).join(s.select("*", spatial.covered(C("ax"), C("ay"), C("bx"), C("by"), 100.0, 100.0).alias("_cell")), "_cell")
-    along = C("px").between(F.least("ax", "bx"), F.greatest("ax", "bx"))
-    d = F.round(F.abs(C("py") - C("ay")), 6)
-    return near.where(along).withColumn("metres", d).where("metres <= 100").groupBy("id").agg(F.min(F.struct("metres", "eid")).alias("m")).select("id", "m.eid", "m.metres")
 
 
 #: Metres of reach, degrees of parallel, metres of a bin.
@@ -188,6 +174,27 @@ def covered_metres(spark, sf_dir):
     return hit.groupBy("eid", "m").agg(bins.alias("bins"), F.round(bins / F.ceil(C("m") / BIN_M) * C("m"), 6).alias("metres")).drop("m")
 
 
+@query(f"""WITH {planes._SEGMENTS}, foot AS (SELECT s.eid AS foot, (ax + 12 + bx + 5) / 2.0::DOUBLE AS px, (ay + 9 + b_y + 4 + (s.eid % 7) * 6) / 2.0::DOUBLE AS py, fmod(degrees(atan2(b_y + 4 + (s.eid % 7) * 6 - ay - 9, bx + 5 - ax - 12)) + 180, 180) AS bearing FROM segments s JOIN edges e ON e.eid = s.eid WHERE (flags & 10) = 10),
+    street AS (SELECT s.eid, ax, ay, bx, b_y, fmod(degrees(atan2(b_y - ay, bx - ax)) + 180, 180) AS bearing FROM segments s JOIN edges e ON e.eid = s.eid WHERE (flags & 1) <> 0),
+    t AS (SELECT foot, eid, px, py, ax, ay, bx, b_y, least(1, greatest(0, ((px - ax) * (bx - ax) + (py - ay) * (b_y - ay)) / ((bx - ax) * (bx - ax) + (b_y - ay) * (b_y - ay))::DOUBLE)) AS part FROM foot f JOIN street s ON px BETWEEN least(ax, bx) - 25 AND greatest(ax, bx) + 25 AND py BETWEEN least(ay, b_y) - 25 AND greatest(ay, b_y) + 25 AND least(abs(s.bearing - f.bearing), 180 - abs(s.bearing - f.bearing)) <= 25),
+    d AS (SELECT foot, eid, round(sqrt(power(px - ax - (bx - ax) * part, 2) + power(py - ay - (b_y - ay) * part, 2)), 6) AS metres FROM t) SELECT foot, eid, metres FROM d WHERE metres <= 25 QUALIFY row_number() OVER (PARTITION BY foot ORDER BY metres, eid) = 1""")
+def nearest_parallel(spark, sf_dir):
+    """The nearest street within 25 m of a sidewalk's middle whose bearing differs from the sidewalk's by 25 degrees at most."""
+    held = planes.segments(spark, sf_dir).select("eid", *[C(c).cast("double").alias(c) for c in ("ax", "ay", "bx", "by")]).join(b.edges(spark, sf_dir).select("eid", "flags"), "eid")
+    bearing = lambda x, y: (F.degrees(F.atan2(y, x)) + 180) % 180
+    foot = held.where(C("flags").bitwiseAND(F.lit(10)) == 10).select(
+        C("eid").alias("foot"), ((C("ax") + 12 + C("bx") + 5) / 2).alias("px"), ((C("ay") + 9 + C("by") + 4 + C("eid") % 7 * 6) / 2).alias("py"),
+        bearing(C("bx") + 5 - C("ax") - 12, C("by") + 4 + C("eid") % 7 * 6 - C("ay") - 9).alias("way"),
+    )
+    street = held.where(cost.bit(C("flags"), 1)).withColumn("street_way", bearing(C("bx") - C("ax"), C("by") - C("ay")))
+    near = foot.select("*", spatial.cell(C("px"), C("py"), 100.0).alias("_cell")).join(street.select("*", spatial.covered(C("ax"), C("ay"), C("bx"), C("by"), 100.0, REACH_M).alias("_cell")), "_cell")
+    turn = F.abs(C("street_way") - C("way"))
+    part = geo.project(*map(C, ("px", "py", "ax", "ay", "bx", "by")))
+    metres = F.round(F.sqrt(F.pow(C("px") - C("ax") - (C("bx") - C("ax")) * part, 2) + F.pow(C("py") - C("ay") - (C("by") - C("ay")) * part, 2)), 6)
+    found = near.where(F.least(turn, 180 - turn) <= PARALLEL_DEG).withColumn("metres", metres).where(C("metres") <= REACH_M)
+    return found.groupBy("foot").agg(F.min(F.struct("metres", "eid")).alias("m")).select("foot", "m.eid", "m.metres")
+
+
 @query(f"""SELECT event_id, city, (hour(l) * 60 + minute(l))::BIGINT AS minute, strftime(l, '%Y-%m-%d') AS day FROM (SELECT event_id, city, timezone(tz, timezone('UTC', ts)) AS l FROM events, {scalars._CITY_SQL})""")
 def city_clock(spark, sf_dir):
     """The wall clock of each city at an instant."""
