@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pacegrid.llm import html_text, media, mixing, near_dedup, quality, quality_rules, sentencepieces, token_files, toxicity, warc
+from pacegrid.llm import html_text, languages, media, mixing, near_dedup, quality, quality_rules, sentencepieces, token_files, toxicity, vector_codes, warc, whitening
 from pacegrid.llm._tables import table
 
 def vocabulary(name: str) -> str:
@@ -59,6 +59,18 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixing(table(spark, sf_dir, "documents"))
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages.language_id(table(spark, sf_dir, "documents"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(table(spark, sf_dir, "embeddings"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitening(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
