@@ -120,13 +120,21 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
+def _some(column: pa.Array) -> Iterator[pa.Array]:
+    """The column in runs of about ``SLICE_BYTES / 4``, which bounds the driver's arrays while it trains."""
+    batch = pa.RecordBatch.from_arrays([column], ["text"])
+    for part in _text.slices(batch, "text", SLICE_BYTES // 4):
+        yield part.column("text")
+
+
 def _counted(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
     """Each text's different buckets and their share of its subwords."""
-    parts = list(subwords(column))
     out = []
-    for i in range(len(column)):
-        bucket, n = np.unique(np.concatenate([b[r[i] : r[i + 1]] for b, r in parts]), return_counts=True)
-        out.append((bucket.astype(np.int32), (n / max(1, n.sum())).astype(np.float32)))
+    for part in _some(column):
+        parts = list(subwords(part))
+        for i in range(len(part)):
+            bucket, n = np.unique(np.concatenate([b[r[i] : r[i + 1]] for b, r in parts]), return_counts=True)
+            out.append((bucket.astype(np.uint16 if BUCKETS <= 1 << 16 else np.int32), (n / max(1, n.sum())).astype(np.float32)))
     return out
 
 
@@ -187,7 +195,7 @@ def trained(texts: pa.Array, languages: list[str], label: np.ndarray) -> Model:
     model = Model(languages, (embed @ weight).astype(np.float64), bias.astype(np.float64), 1.0, 0.0)
     unseen = np.flatnonzero(some & apart)
     if len(unseen):
-        raw, _ = model.logits(texts.take(pa.array(unseen)))
+        raw = np.concatenate([model.logits(part)[0] for part in _some(texts.take(pa.array(unseen)))])
         model.heat, model.least = calibrated(raw, label[unseen])
     return model
 
