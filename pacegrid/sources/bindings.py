@@ -114,6 +114,13 @@ VIEWS = {
         l_orderkey % 7 = 0 AS informal, l_quantity::DOUBLE AS length, (l_partkey % 25)::BIGINT AS district
         FROM lineitem JOIN part ON l_partkey = p_partkey""",
     "cells": "SELECT vec_id AS row, (i - 1)::BIGINT AS col, embedding[i]::DOUBLE AS z FROM embeddings, (SELECT unnest(range(1, 65)) AS i) s",
+    "park_nodes": "SELECT p_partkey::BIGINT AS node, p_partkey % 50 * 100 + p_partkey * 37 % 61 - 30 AS x, p_partkey // 50 * 100 + p_partkey * 53 % 61 - 30 AS y FROM part",
+    "park_paths": """SELECT a.node * 2 + w.k AS eid, a.node AS u, c.node AS v, a.x AS x1, a.y AS y1, c.x AS x2, c.y AS y2,
+        CAST(floor(sqrt(((c.x - a.x) * (c.x - a.x) + (c.y - a.y) * (c.y - a.y))::DOUBLE) * 10 + 0.5) AS BIGINT) AS len_dm,
+        (a.node + c.node) * 53 % 256 AS noise, (a.node * 29 + c.node * 13) % 256 AS deep, 180 + (a.node * 17 + c.node * 5) % 76 AS green, (a.node + c.node * 3) * 31 % 120 AS surface,
+        (a.node * 11 + c.node * 7) % 10 = 0 AS street
+        FROM park_nodes a JOIN (VALUES (0, 1), (1, 50)) w(k, d) ON w.d = 50 OR a.node % 50 < 49 JOIN park_nodes c ON c.node = a.node + w.d
+        WHERE (a.node * 7919 + c.node * 104729) % 997 % 100 < 80""",
     "fixes": "SELECT user_id AS session, event_id, epoch_us(ts) // 1000 AS t, value::DOUBLE AS off_m, event_type AS action, ts FROM events",
 }
 
@@ -130,6 +137,27 @@ def fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def park_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """node, x, y in metres: grid nodes moved by up to 30 m, so that no two faces are alike and no two paths cross."""
+    node = F.col("p_partkey").cast("long")
+    return table(spark, sf_dir, "part").select(node.alias("node"), (node % WIDE * 100 + node * 37 % 61 - 30).alias("x"), (F.floor(node / WIDE) * 100 + node * 53 % 61 - 30).alias("y"))
+
+
+def park_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths of a park, each once: grid neighbours, four of five of them, with straight lengths and weights in 0 to 255."""
+    n = park_nodes(spark, sf_dir)
+    ways = F.explode(F.array(*[F.struct(F.lit(k).cast("long").alias("k"), F.lit(d).cast("long").alias("d")) for k, d in ((0, 1), (1, WIDE))])).alias("w")
+    a = n.select(F.col("node").alias("u"), F.col("x").alias("x1"), F.col("y").alias("y1"), ways).where((F.col("w.d") == WIDE) | (F.col("u") % WIDE < WIDE - 1))
+    a = a.select("u", "x1", "y1", (F.col("u") + F.col("w.d")).alias("v"), (F.col("u") * 2 + F.col("w.k")).alias("eid"))
+    e = a.join(n.toDF("v", "x2", "y2"), "v").where((F.col("u") * 7919 + F.col("v") * 104729) % 997 % 100 < 80)
+    u, v = F.col("u"), F.col("v")
+    apart = F.sqrt((F.pow(F.col("x2") - F.col("x1"), 2) + F.pow(F.col("y2") - F.col("y1"), 2)).cast("double"))
+    return e.select(
+        "eid", "u", "v", "x1", "y1", "x2", "y2", F.floor(apart * 10 + 0.5).alias("len_dm"), ((u + v) * 53 % 256).alias("noise"), ((u * 29 + v * 13) % 256).alias("deep"),
+        (180 + (u * 17 + v * 5) % 76).alias("green"), ((u + v * 3) * 31 % 120).alias("surface"), ((u * 11 + v * 7) % 10 == 0).alias("street"),
+    )
+
+
 def with_views(sql: str) -> str:
     """``sql`` with the views it names as common table expressions."""
     wanted: set[str] = set()
