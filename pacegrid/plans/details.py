@@ -74,7 +74,7 @@ Q_IQ, Q_SIZE, Q_SIZE_M, Q_STREET = 0.2, 0.2, 1500, 1.2
 
 _CIRCUITS = """c AS (SELECT trip, any_value(depart) AS depart, sum(len_dm)::BIGINT AS len_dm, 0.3 + (trip % 60) / 100 AS iq, (trip % 11)::BIGINT AS turns, trip % 6 = 0 AS outline,
     round_even(sum(green_q * len_dm) / sum(len_dm) / 255, 3) AS green, round_even(sum(noise_q * len_dm) / sum(len_dm) / 255, 3) AS noise, round_even(sum(surface_q * len_dm) / sum(len_dm) / 255, 3) AS surface, round_even(sum(green_q // 2 * len_dm) / sum(len_dm) / 255, 3) AS deep,
-    sum(CASE WHEN (flags & 1) <> 0 THEN 1 ELSE 0 END)::BIGINT AS crossings, sum(CASE WHEN (flags & 1) <> 0 THEN len_dm ELSE 0 END) / sum(len_dm)::DOUBLE AS street, round_even(sum((s.eid * 37 + 20 * 11) % 256 * len_dm) / sum(len_dm), 0) AS shade, round(sum(CASE WHEN green_q >= 0.78 * 255 AND (flags & 17) = 0 AND NOT ((flags & 8) <> 0 AND (flags & 4) = 0) THEN len_dm ELSE 0 END) / sum(len_dm)::DOUBLE, 3) AS park
+    sum(CASE WHEN (flags & 1) <> 0 THEN 1 ELSE 0 END)::BIGINT AS crossings, sum(CASE WHEN (flags & 1) <> 0 THEN len_dm ELSE 0 END)::BIGINT AS street_dm, sum(CASE WHEN (flags & 1) <> 0 THEN len_dm ELSE 0 END) / sum(len_dm)::DOUBLE AS street, round_even(sum((s.eid * 37 + 20 * 11) % 256 * len_dm) / sum(len_dm), 0) AS shade, round(sum(CASE WHEN green_q >= 0.78 * 255 AND (flags & 17) = 0 AND NOT ((flags & 8) <> 0 AND (flags & 4) = 0) THEN len_dm ELSE 0 END) / sum(len_dm)::DOUBLE, 3) AS park
     FROM steps s JOIN edges e ON e.eid = s.eid GROUP BY trip)"""
 
 
@@ -88,23 +88,49 @@ def circuits(spark, sf_dir):
     return e.groupBy("trip").agg(
         F.first("depart").alias("depart"), F.sum(m).alias("len_dm"), (0.3 + t % 60 / 100).alias("iq"), (t % 11).alias("turns"), (t % 6 == 0).alias("outline"),
         mean(C("green_q")).alias("green"), mean(C("noise_q")).alias("noise"), mean(C("surface_q")).alias("surface"), mean(F.floor(C("green_q") / 2)).alias("deep"),
-        F.sum(F.when(street, 1).otherwise(0)).alias("crossings"), (F.sum(F.when(street, m).otherwise(0)) / F.sum(m)).alias("street"), F.rint(F.sum(b.shade(C("eid"), F.lit(20)) * m) / F.sum(m)).alias("shade"),
+        F.sum(F.when(street, 1).otherwise(0)).alias("crossings"), F.sum(F.when(street, m).otherwise(0)).alias("street_dm"), (F.sum(F.when(street, m).otherwise(0)) / F.sum(m)).alias("street"), F.rint(F.sum(b.shade(C("eid"), F.lit(20)) * m) / F.sum(m)).alias("shade"),
         F.round(F.sum(F.when(cost.in_park(C("green_q"), C("flags")), m).otherwise(0)) / F.sum(m), 3).alias("park"),
     )
 
 
-@query(f"""WITH {_CIRCUITS}, d AS (SELECT *, greatest(0, turns - {BASE_TURNS}) / greatest(len_dm / 10, 1.0) * 100 AS density FROM c)
-    SELECT trip, green, noise, surface, deep, park, round({W_IQ} * iq + {W_GREEN} * green + {W_DEEP} * deep - {W_NOISE} * noise - {W_SURFACE} * surface - {W_TURNS} * density - {W_CROSSING} * crossings + {W_SHADE} * (shade / 255) - {W_STREET} * street + CASE WHEN outline THEN {W_OUTLINE} ELSE 0 END, 3) AS score,
-    street > {MAX_STREET} OR density > {MAX_TURN_DENSITY} OR noise > {MAX_CIRCUIT_NOISE} AS rejected FROM d""")
+@query(f"""WITH {_CIRCUITS}, d AS (SELECT *, greatest(0, turns - 4) / greatest(len_dm / 10, 1.0) * 100 AS density,
+    150 * (30 + trip % 60) + round_even(10000 * green, 0)::BIGINT + round_even(10000 * deep, 0)::BIGINT - 8 * round_even(1000 * noise, 0)::BIGINT - 5 * round_even(1000 * surface, 0)::BIGINT - 1500 * crossings + CASE WHEN outline THEN 8000 ELSE 0 END AS tens FROM c),
+    n AS (SELECT *, (17 * tens * greatest(len_dm, 10) - 17000 * (8000 * greatest(0, turns - 4) + 15 * street_dm) + 200 * shade::BIGINT * greatest(len_dm, 10)) * 1000 AS num, 170000 * greatest(len_dm, 10) AS den FROM d),
+    q AS (SELECT *, ((num % den) + den) % den AS rest FROM n), w AS (SELECT *, (num - rest) // den AS low FROM q)
+    SELECT trip, green, noise, surface, deep, park, (low + CASE WHEN 2 * rest > den OR (2 * rest = den AND low % 2 <> 0) THEN 1 ELSE 0 END) / 1000 AS score,
+    street > 0.2 OR density > 1.2 OR noise > 0.85 AS rejected FROM w""")
 def circuit_facts(spark, sf_dir):
     """Length-weighted attributes of a circuit, its score, and whether streets, zigzag or noise reject it."""
+    c = circuits(spark, sf_dir).withColumn("iq_pct", 30 + C("trip") % 60)
+    facts = {k: F.rint(C(k) * 1000).cast("long") for k in ("green", "noise", "surface", "deep")}
     density = F.greatest(F.lit(0), C("turns") - BASE_TURNS) / F.greatest(C("len_dm") / 10, F.lit(1.0)) * 100
-    score = (
-        W_IQ * C("iq") + W_GREEN * C("green") + W_DEEP * C("deep") - W_NOISE * C("noise") - W_SURFACE * C("surface") - W_TURNS * density
-        - W_CROSSING * C("crossings") + W_SHADE * (C("shade") / 255) - W_STREET * C("street") + F.when(C("outline"), W_OUTLINE).otherwise(0)
-    )
+    score = exact_score(C("iq_pct") * 10, facts, C("turns"), C("len_dm"), C("crossings"), C("shade").cast("long"), C("street_dm"), C("outline"))
     bad = (C("street") > MAX_STREET) | (density > MAX_TURN_DENSITY) | (C("noise") > MAX_CIRCUIT_NOISE)
-    return circuits(spark, sf_dir).select("trip", "green", "noise", "surface", "deep", "park", F.round(score, 3).alias("score"), bad.alias("rejected"))
+    return c.select("trip", "green", "noise", "surface", "deep", "park", score.alias("score"), bad.alias("rejected"))
+
+
+def half_even(num, den):
+    """The whole number nearest to ``num / den`` of longs, the even one in the middle; ``den`` is positive."""
+    rest = F.pmod(num, den)
+    low = ((num - rest) / den).cast("long")
+    up = (2 * rest > den) | ((2 * rest == den) & (F.pmod(low, F.lit(2)) == 1))
+    return low + F.when(up, 1).otherwise(0)
+
+
+def exact_score(iq_m, facts_m, turns, len_dm, crossings, shade, street_dm, outline):
+    """A circuit's score to three places, worked out in whole numbers: roundness and facts in thousandths, lengths in decimetres, the shade byte.
+
+    Sums of doubles round differently by their order where a score lies in the middle of two thousandths; a fraction doesn't.
+    """
+    thousandths = lambda w: round(w * 1000)
+    # millionths of the terms in whole numbers, then those over the length and over 255
+    fixed = thousandths(W_IQ) * iq_m + thousandths(W_GREEN) * facts_m["green"] + thousandths(W_DEEP) * facts_m["deep"] - thousandths(W_NOISE) * facts_m["noise"] - thousandths(W_SURFACE) * facts_m["surface"]
+    fixed = fixed - 1000 * thousandths(W_CROSSING) * crossings + F.when(outline, 1000 * thousandths(W_OUTLINE)).otherwise(0)
+    long = F.greatest(len_dm, F.lit(10))
+    # per length: turns beyond the corners of a loop, each hundred metres, and the share of streets
+    lengths = -1000 * thousandths(W_TURNS) * F.greatest(F.lit(0), turns - BASE_TURNS) * 1000 - 1000 * thousandths(W_STREET) * street_dm
+    whole = fixed * 255 * long + lengths * 255 + 1000 * thousandths(W_SHADE) * shade * long
+    return half_even(whole.cast("decimal(38,0)"), (long * 255 * 1000).cast("decimal(38,0)")) / 1000
 
 
 @query(f"""WITH {_CIRCUITS}, q AS (SELECT *, least(greatest((depart - 480) / 15::DOUBLE, 0), 49) AS pos FROM c), s AS (SELECT *, (trip * 37 + floor(pos)::BIGINT * 11) % 256 AS b0, (trip * 37 + least(49, floor(pos)::BIGINT + 1) * 11) % 256 AS b1 FROM q)
@@ -304,25 +330,15 @@ def limited_profile(z: np.ndarray, rise: float) -> np.ndarray:
     return np.where(np.abs(ahead) <= np.abs(back), ahead, back)
 
 
-def progress(nearest: list[int], near: list[float], backtrack: float = 80.0) -> list[int]:
-    """Forward-only places on a route: a fix may fall back only when it is farther than ``backtrack`` from what lies ahead."""
-    out, at = [], 0
-    for i, d in zip(nearest, near):
-        at = i if i >= at or d > backtrack else at
-        out.append(at)
-    return out
-
-
 @query()
 def walk_progress(spark, sf_dir):
-    """A place that never goes back and a slope-limited profile, one session at a time."""
+    """The slope-limited profile of every session's fixes in order."""
 
     def follow(pdf: pd.DataFrame) -> pd.DataFrame:
         own = pdf.sort_values(["t", "event_id"])
-        place = progress((own["event_id"] % 40).tolist(), own["off_m"].tolist())
-        return pd.DataFrame({"event_id": own["event_id"], "place": place, "level": limited_profile(own["off_m"].to_numpy(), 25.0)})
+        return pd.DataFrame({"event_id": own["event_id"], "level": limited_profile(own["off_m"].to_numpy(), 25.0)})
 
-    return b.fixes(spark, sf_dir).select("session", "event_id", "t", "off_m").groupBy("session").applyInPandas(follow, "event_id long, place long, level double")
+    return b.fixes(spark, sf_dir).select("session", "event_id", "t", "off_m").groupBy("session").applyInPandas(follow, "event_id long, level double")
 
 
 _ZONES = planes._RINGS + """, sides AS (SELECT district, x AS x1, y AS y1, lead(x, 1, fx) OVER w AS x2, lead(y, 1, fy) OVER w AS y2 FROM (SELECT *, first(x) OVER (PARTITION BY district ORDER BY i) AS fx, first(y) OVER (PARTITION BY district ORDER BY i) AS fy FROM rings) WINDOW w AS (PARTITION BY district ORDER BY i)),

@@ -118,29 +118,30 @@ def overlaps(spark, sf_dir):
 
 
 #: What an alternative must be better by, and what its note warns of.
-FASTER_MIN, AXIS_PP, SUN_MIN, SUN_RATIO, COBBLE_M, LOUD_PP = -3, 10, 10, 1.5, 100, 10
+FASTER_MIN, AXIS_PP, SUN_MIN, SUN_RATIO, COBBLE_M, LOUD_PP, CLIMB_M = -2, 10, 5, 1.5, 100, 15, 15
 _CARDS = """cards AS (SELECT o_custkey AS query, o_orderkey::BIGINT AS cand, CASE o_orderkey % 4 WHEN 0 THEN 'faster' WHEN 1 THEN 'shadier' WHEN 2 THEN 'quieter' ELSE 'loop' END AS kind, o_orderkey % 17 - 8 AS delta_min, o_orderkey * 7 % 101 AS shade_pct, o_orderkey * 13 % 101 AS quiet_pct,
-    o_orderkey * 3 % 41 AS sun_min, o_orderkey * 11 % 400 AS cobble_m, CASE WHEN o_orderkey % 5 > 0 THEN o_orderkey * 17 % 101 END AS loud_pct, o_orderkey % 9 = 0 AS night FROM orders)"""
+    o_orderkey * 3 % 41 % 12 AS sun_min, o_orderkey * 11 % 400 // 3 AS cobble_m, CASE WHEN o_orderkey % 5 > 0 THEN o_orderkey * 17 % 101 // 2 END AS loud_pct, CASE WHEN o_orderkey % 6 > 0 THEN o_orderkey * 19 % 53 END AS climb_m, o_custkey % 3 > 0 AS wander, o_custkey % 9 = 0 AS night FROM orders),
+    recs AS (SELECT * FROM cards QUALIFY row_number() OVER (PARTITION BY query ORDER BY cand) = 1),
+    tagged_cards AS (SELECT c.*, r.shade_pct AS r_shade, r.quiet_pct AS r_quiet, r.sun_min AS r_sun, r.cobble_m AS r_cobble, r.loud_pct AS r_loud, r.climb_m AS r_climb, r.cand AS rec,
+      c.delta_min <= -2 AS f, NOT c.night AND c.shade_pct - r.shade_pct >= 10 AS s, c.quiet_pct - r.quiet_pct >= 10 AS q, CASE WHEN (c.kind = 'faster' AND f) OR (c.kind = 'shadier' AND s) OR (c.kind = 'quieter' AND q) THEN c.kind WHEN f THEN 'faster' WHEN s THEN 'shadier' WHEN q THEN 'quieter' END AS tag
+      FROM cards c JOIN recs r ON r.query = c.query WHERE c.cand <> r.cand)"""
 
 
 def cards(spark, sf_dir):
     k = C("o_orderkey").cast("long")
     kind = F.element_at(F.array(*map(F.lit, ("faster", "shadier", "quieter", "loop"))), (k % 4 + 1).cast("int"))
+    part = lambda x, n: F.floor(x / n)
     return b.table(spark, sf_dir, "orders").select(
         C("o_custkey").alias("query"), k.alias("cand"), kind.alias("kind"), (k % 17 - 8).alias("delta_min"), (k * 7 % 101).alias("shade_pct"), (k * 13 % 101).alias("quiet_pct"),
-        (k * 3 % 41).alias("sun_min"), (k * 11 % 400).alias("cobble_m"), F.when(k % 5 > 0, k * 17 % 101).alias("loud_pct"), (k % 9 == 0).alias("night"),
+        (k * 3 % 41 % 12).alias("sun_min"), part(k * 11 % 400, 3).alias("cobble_m"), F.when(k % 5 > 0, part(k * 17 % 101, 2)).alias("loud_pct"), F.when(k % 6 > 0, k * 19 % 53).alias("climb_m"),
+        (C("o_custkey") % 3 > 0).alias("wander"), (C("o_custkey") % 9 == 0).alias("night"),
     )
 
 
-@query(f"""WITH {_CARDS}, r AS (SELECT query, arg_min(shade_pct, cand) AS r_shade, arg_min(quiet_pct, cand) AS r_quiet, arg_min(sun_min, cand) AS r_sun, arg_min(cobble_m, cand) AS r_cobble, arg_min(coalesce(loud_pct, -1), cand) AS r_loud, min(cand) AS rec FROM cards GROUP BY query),
-    t AS (SELECT c.*, r.* EXCLUDE (query), delta_min <= {FASTER_MIN} AS f, NOT night AND shade_pct - r_shade >= {AXIS_PP} AS s, quiet_pct - r_quiet >= {AXIS_PP} AS q FROM cards c JOIN r USING (query) WHERE cand <> rec),
-    g AS (SELECT *, CASE WHEN (kind = 'faster' AND f) OR (kind = 'shadier' AND s) OR (kind = 'quieter' AND q) THEN kind WHEN f THEN 'faster' WHEN s THEN 'shadier' WHEN q THEN 'quieter' END AS tag FROM t)
-    SELECT query, cand, tag, CASE WHEN sun_min >= {SUN_MIN} AND sun_min >= {SUN_RATIO} * r_sun THEN 'sun ' || sun_min WHEN cobble_m - r_cobble >= {COBBLE_M} THEN CASE WHEN r_cobble > 0 THEN 'cobbles +' || (cobble_m - r_cobble) ELSE 'cobbles ' || cobble_m END
-        WHEN r_loud >= 0 AND loud_pct - r_loud >= {LOUD_PP} THEN 'loud ' || loud_pct WHEN tag = 'quieter' THEN 'quiet ' || quiet_pct WHEN night THEN 'after sunset' ELSE 'shade ' || shade_pct END AS note FROM g WHERE tag IS NOT NULL""")
-def alternatives(spark, sf_dir):
-    """The axis an alternative beats the recommendation on, its intended one first, and the first cost that applies, else the gain."""
+def tagged_cards(spark, sf_dir):
+    """Every card but the recommendation (the first of its query, ``r``), with the axis it beats that one on: its intended one first; null if none."""
     c = cards(spark, sf_dir)
-    first = c.groupBy("query").agg(F.min_by(F.struct("cand", "shade_pct", "quiet_pct", "sun_min", "cobble_m", "loud_pct"), "cand").alias("r"))
+    first = c.groupBy("query").agg(F.min_by(F.struct("cand", "shade_pct", "quiet_pct", "sun_min", "cobble_m", "loud_pct", "climb_m"), "cand").alias("r"))
     t = c.join(first, "query").where(C("cand") != C("r.cand"))
     beats = {
         "faster": C("delta_min") <= FASTER_MIN,
@@ -148,16 +149,44 @@ def alternatives(spark, sf_dir):
         "quieter": C("quiet_pct") - C("r.quiet_pct") >= AXIS_PP,
     }
     intended = F.coalesce(*[F.when((C("kind") == axis) & won, axis) for axis, won in beats.items()])
-    tag = F.coalesce(intended, *[F.when(won, axis) for axis, won in beats.items()])
+    return t.withColumn("tag", F.coalesce(intended, *[F.when(won, axis) for axis, won in beats.items()]))
+
+
+@query(f"""WITH {_CARDS} SELECT query, cand, tag, CASE WHEN sun_min >= 5 AND sun_min >= 1.5 * r_sun THEN 'sun ' || sun_min WHEN cobble_m - r_cobble >= 100 THEN CASE WHEN r_cobble > 0 THEN 'cobbles +' || (cobble_m - r_cobble) ELSE 'cobbles ' || cobble_m END
+    WHEN loud_pct - r_loud >= 15 THEN 'loud ' || loud_pct WHEN wander AND climb_m - r_climb >= 15 THEN 'climb ' || (climb_m - r_climb) WHEN tag = 'quieter' THEN 'quiet ' || quiet_pct WHEN night THEN 'after sunset' ELSE 'shade ' || shade_pct END AS note FROM tagged_cards WHERE tag IS NOT NULL""")
+def alternatives(spark, sf_dir):
+    """The axis an alternative beats the recommendation on, its intended one first, and the first cost that applies, else the gain."""
+    t = tagged_cards(spark, sf_dir).where("tag IS NOT NULL")
     more = C("cobble_m") - C("r.cobble_m")
     say = lambda text, x: F.concat(F.lit(text), x.cast("string"))
     note = (
         F.when((C("sun_min") >= SUN_MIN) & (C("sun_min") >= SUN_RATIO * C("r.sun_min")), say("sun ", C("sun_min")))
         .when(more >= COBBLE_M, F.when(C("r.cobble_m") > 0, say("cobbles +", more)).otherwise(say("cobbles ", C("cobble_m"))))
         .when(C("loud_pct") - C("r.loud_pct") >= LOUD_PP, say("loud ", C("loud_pct")))
+        .when(C("wander") & (C("climb_m") - C("r.climb_m") >= CLIMB_M), say("climb ", C("climb_m") - C("r.climb_m")))
         .when(C("tag") == "quieter", say("quiet ", C("quiet_pct"))).when(C("night"), "after sunset").otherwise(say("shade ", C("shade_pct")))
     )
-    return t.withColumn("tag", tag).where("tag IS NOT NULL").select("query", "cand", "tag", note.alias("note"))
+    return t.select("query", "cand", "tag", note.alias("note"))
+
+
+@query(f"""WITH {_CARDS}, n AS (SELECT query, count(*) AS n, min(delta_min) AS quickest, min_by(CASE WHEN delta_min > 0 THEN tag || ' +' || delta_min END, cand) FILTER (delta_min > 0 AND tag IN ('quieter', 'shadier')) AS gain FROM tagged_cards GROUP BY query)
+    SELECT query, n || ' more' || CASE WHEN quickest < 0 THEN ' ' || quickest WHEN gain IS NOT NULL THEN ' ' || gain ELSE '' END AS label FROM n""")
+def more_labels(spark, sf_dir):
+    """What the folded cards offer: their number with the best saving of time, else with the minutes of the first quieter or shadier one, else alone."""
+    t = tagged_cards(spark, sf_dir)
+    gains = (C("delta_min") > 0) & C("tag").isin("quieter", "shadier")
+    n = t.groupBy("query").agg(F.count(F.lit(1)).alias("n"), F.min("delta_min").alias("quickest"), F.min(F.when(gains, F.struct("cand", F.concat_ws(" +", "tag", C("delta_min").cast("string")).alias("say")))).alias("gain"))
+    also = F.when(C("quickest") < 0, C("quickest").cast("string")).otherwise(C("gain.say"))
+    return n.select("query", F.concat_ws(" ", F.concat(C("n").cast("string"), F.lit(" more")), also).alias("label"))
+
+
+@query(f"""WITH {_CARDS} SELECT a.query, a.cand AS shown, c.cand, c.delta_min - a.delta_min AS delta_min FROM cards a JOIN cards c ON c.query = a.query AND c.cand <> a.cand""")
+def rebased_cards(spark, sf_dir):
+    """The other cards of a query beside each one shown, with their minutes against that one; a query's cards are few."""
+    c = cards(spark, sf_dir).select("query", "cand", "delta_min")
+    whole = c.groupBy("query").agg(F.collect_list(F.struct("cand", "delta_min")).alias("all"))
+    other = F.explode(F.filter("all", lambda o: o["cand"] != C("cand"))).alias("o")
+    return c.join(whole, "query").select("query", C("cand").alias("shown"), "delta_min", other).select("query", "shown", C("o.cand").alias("cand"), (C("o.delta_min") - C("delta_min")).alias("delta_min"))
 
 
 @query("""SELECT part, bit_or(mask)::BIGINT AS modes, count(*) AS n FROM (SELECT l_partkey AS part, 1 << (l_linenumber % 3) AS mask FROM lineitem) GROUP BY part""")

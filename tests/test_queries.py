@@ -239,17 +239,40 @@ def test_small_kernels():
     assert details.simplify(x, np.zeros(5), 0.8).tolist() == [0, 4]
     assert len(details.hull(np.array([[0, 0], [1, 0], [1, 1], [0, 1], [0.5, 0.5]]))) == 4
     assert details.limited_profile(np.array([0, 100, 0]), 10).tolist() == [0, 10, 0]
-    assert details.progress([0, 3, 1, 5, 2], [1, 1, 1, 1, 200]) == [0, 3, 3, 5, 2]
 
 
-def test_progress_and_ladders():
+def test_progress_on_a_loop(spark):
     from pacegrid.plans import progress
 
+    def reached(places, x, y):
+        rows = spark.createDataFrame([([(float(a), float(c)) for a, c in places], float(x), float(y))], "places array<struct<x double, y double>>, px double, py double")
+        return progress.reached(rows).first().step
+
     loop = [(0, 0), (100, 0), (200, 0), (200, 100), (100, 100), (0, 100), (0, 0)]
-    # at the start of a loop one stands on its first and its last node: the first counts
-    assert progress.node_reached(loop, 3.0, 2.0, 0) == 0 and progress.node_reached(loop, 3.0, 2.0, 4) == 6
-    # never back while what lies ahead is near; back if it is far
-    assert progress.node_reached(loop, 150.0, 40.0, 3) == 3 and progress.node_reached([(0, 0), (100, 0), (500, 0), (900, 0)], 5.0, 0.0, 2) == 0
-    rows = [(5.0, 400, {1, 2}), (4.0, 450, {1, 2, 3}), (3.0, 600, {1, 2, 3, 4, 5}), (2.0, 900, {7, 8}), (1.0, 10, {9})]
-    assert progress.ladder(rows) == [0, 2, 3, 1, 4]
-    assert len(progress.ladder([(float(i), 400 + i, {i}) for i in range(20)])) == progress.TOP_N
+    # at the start of a loop one stands on its first and its last node: the first counts, behind the middle the last
+    assert reached(loop, 3, 2) == [0, 6, 6, 6, 6, 6, 6]
+    # between two nodes the nearer one, and never back while what lies ahead is near
+    assert reached(loop, 140, 0)[0] == 1 and reached(loop, 160, 0)[0] == 2 and reached(loop, 150, 40)[3] == 3
+    # far from all that lies ahead: the whole walk is asked
+    assert reached([(0, 0), (100, 0), (500, 0), (900, 0)], 30, 0) == [0, 1, 0, 0]
+
+
+def test_ladders_against_the_rule(spark):
+    from pacegrid.plans import progress
+
+    rng = np.random.default_rng(5)
+    rows = [(int(c), i, float(rng.integers(0, 6)), float(rng.integers(200, 4200)), [int(x) for x in rng.choice(12, int(rng.integers(1, 8)), replace=False)]) for i, c in enumerate(rng.integers(0, 12, 160))]
+    df = spark.createDataFrame(rows, "cell long, id long, score double, metres double, eids array<long>")
+    got = {}
+    for r in select.ladder(df, ["cell"], "id", progress.BANDS, progress.TOP_N, progress.ALIKE).orderBy("rank").collect():
+        got.setdefault(r.cell, []).append(r.id)
+    for cell in {r[0] for r in rows}:
+        own = sorted((r for r in rows if r[0] == cell), key=lambda r: (-r[2], r[1]))
+        kept = []
+        for low, high in [*progress.BANDS, (None, None)]:
+            mark = len(kept)
+            for r in own:
+                fits = len(kept) < progress.TOP_N if low is None else low <= r[3] < high and len(kept) == mark
+                if fits and all(len(set(r[4]) & set(k[4])) / max(len(r[4]), len(k[4])) < progress.ALIKE for k in kept):
+                    kept.append(r)
+        assert got[cell] == [r[1] for r in kept]
