@@ -72,7 +72,8 @@ def fold(key: str = "doc_id"):
 def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, most: dict[int, int], columns: list[str]) -> DataFrame:
     """``columns`` of at most ``most[c]`` labelled documents of each class, outside fold 0, with _label, _fold and _order.
 
-    The choice is by hash of doc_id, so it is the same at every run.  Labels
+    The choice is by hash of doc_id, so it is the same at every run; of rows that
+    repeat a doc_id one counts (``once``).  Labels
     other than the keys of ``most`` are ignored, the highest of a document's
     labels counts, and rows without a doc_id are no training rows.
     """
@@ -89,7 +90,14 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, most: dict[int
         part = marks.where(F.col("_label") == value).orderBy("_order", "doc_id").limit(bound)
         chosen = part if chosen is None else chosen.unionByName(part)
     # bounded by sum(most.values()) rows of four numbers
-    return docs.select("doc_id", *columns).join(F.broadcast(chosen), "doc_id")
+    return once(docs.select("doc_id", *columns).join(F.broadcast(chosen), "doc_id"), columns)
+
+
+def once(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """One row of ``rows`` for each value of its other columns: that of the least hash of ``columns``, folded before anything is dealt out."""
+    keys = [c for c in rows.columns if c not in columns]
+    best = rows.groupBy(*keys).agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias("_row"))
+    return best.select(*keys, *[F.col("_row")[c].alias(c) for c in columns])
 
 
 def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, most: dict[int, int]) -> pa.Table:

@@ -184,7 +184,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     for _ in range(ROUNDS):
         chosen = _tables.stored(_confident(docs, unmarked, taught, given), "quality-handed")
         # bounded: HANDED rows for each of 2 views, 2 classes and STRATA strata
-        handed = _vectors(docs.select(*_columns(docs)).join(F.broadcast(chosen), "doc_id"), "doc_id long, _view string, _class int")
+        handed = _vectors(_tables.once(docs.select(*_columns(docs)).join(F.broadcast(chosen), "doc_id"), _columns(docs)[1:]), "doc_id long, _view string, _class int")
         if not handed["doc_id"]:
             break
         for i, (key, view, value) in enumerate(zip(handed["doc_id"], handed["_view"], handed["_class"])):

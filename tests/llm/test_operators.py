@@ -326,3 +326,16 @@ def test_copies_of_a_page_keep_their_text(spark):
     assert all(got[i] == f"our site\n\n{few[0]}" for i in range(40))
     assert all(got[100 + i] == f"our site\n\n{few[i % 3]}" for i in range(999))
     assert all(got[2000 + i] == many[i % 6] for i in range(60))
+
+
+def test_repeats_of_a_labelled_document_are_one_training_row(spark):
+    """A labelled id that repeats 20,000 times, with two texts, is one row on the driver."""
+    from pacegrid.llm import _tables
+
+    key = next(i for i in range(100) if not held(i))
+    docs = spark.range(20_000).selectExpr(f"CAST({key} AS LONG) AS doc_id", "CASE WHEN id % 2 = 0 THEN 'some text' ELSE 'other text' END AS text").unionByName(spark.createDataFrame([(i, f"text {i}") for i in range(200, 260)], "doc_id long, text string"))
+    labels = spark.createDataFrame([(key, 1), *[(i, i % 2) for i in range(200, 260)]], "doc_id long, quality int")
+    got = _tables.labelled_rows(docs, labels, "quality", {0: 5, 1: 7}, ["text"]).collect()
+    assert len(got) <= 12 and len({r.doc_id for r in got}) == len(got)
+    everyone = _tables.labelled_rows(docs, labels, "quality", {0: 100, 1: 100}, ["text"]).collect()
+    assert [r.text for r in everyone if r.doc_id == key] in (["some text"], ["other text"])
