@@ -209,8 +209,11 @@ def training_rows(docs: DataFrame, each: int) -> pa.Table:
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~_held_out() & (F.octet_length("text") <= _tables.MOST_BYTES))
     rows = rows.select("lang", "text", F.xxhash64("text").alias("_hash"))
     first = Window.partitionBy("lang").orderBy("_hash")
-    # numbers alone are ranked, each text once; Spark limits groups before they are dealt out
-    chosen = rows.select("lang", "_hash").distinct().withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= each).drop("_n")
+    # of a language with many texts only those with the least hashes are ranked, some times ``each`` of them, so that no task gets a language whole
+    many = rows.groupBy("lang").agg(F.approx_count_distinct("_hash").alias("_many"))
+    low = (F.col("_hash").cast("double") + 2.0**63) / 2.0**64 < 4 * each / F.col("_many")
+    near = rows.select("lang", "_hash").join(F.broadcast(many), "lang").where(low).select("lang", "_hash")  # a row for each language
+    chosen = near.distinct().withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= each).drop("_n")
     # a broadcast of `each` pairs a language
     picked = rows.join(F.broadcast(chosen), ["lang", "_hash"]).groupBy("lang", "_hash").agg(F.min("text").alias("text"))
     return picked.toArrow().combine_chunks().sort_by([("_hash", "ascending"), ("lang", "ascending")])
