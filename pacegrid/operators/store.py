@@ -15,10 +15,10 @@ def shared_dir(spark: SparkSession) -> str:
     return (folder or "file:///tmp/pacegrid-checkpoints").rstrip("/")
 
 
-def stored(df: DataFrame, name: str, instead: DataFrame | None = None) -> DataFrame:
-    """The rows written and read back; ``instead`` is a stored table that nothing needs once this one is written."""
+def stored(df: DataFrame, name: str, instead: DataFrame | None = None, by: str | None = None) -> DataFrame:
+    """The rows written, in a folder for each value of ``by``, and read back; ``instead`` is a stored table that nothing needs once this one is written."""
     path = f"{shared_dir(df.sparkSession)}/pacegrid-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=by)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._stored_at = path
     drop(instead)

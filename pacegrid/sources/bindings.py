@@ -117,7 +117,7 @@ VIEWS = {
     "park_nodes": "SELECT p_partkey::BIGINT AS node, p_partkey % 50 * 100 + p_partkey * 37 % 61 - 30 AS x, p_partkey // 50 * 100 + p_partkey * 53 % 61 - 30 AS y FROM part",
     "park_paths": """SELECT a.node * 2 + w.k AS eid, a.node AS u, c.node AS v, a.x AS x1, a.y AS y1, c.x AS x2, c.y AS y2,
         CAST(floor(sqrt(((c.x - a.x) * (c.x - a.x) + (c.y - a.y) * (c.y - a.y))::DOUBLE) * 10 + 0.5) AS BIGINT) AS len_dm,
-        (a.node + c.node) * 53 % 256 AS noise, (a.node * 29 + c.node * 13) % 256 AS deep, 180 + (a.node * 17 + c.node * 5) % 76 AS green, (a.node + c.node * 3) * 31 % 120 AS surface,
+        (a.node + c.node) * 53 % 256 AS noise, (a.node * 29 + c.node * 13) % 256 AS deep, 199 + (a.node * 17 + c.node * 5) % 57 AS green, (a.node + c.node * 3) * 31 % 120 AS surface,
         (a.node * 11 + c.node * 7) % 10 = 0 AS street
         FROM park_nodes a JOIN (VALUES (0, 1), (1, 50)) w(k, d) ON w.d = 50 OR a.node % 50 < 49 JOIN park_nodes c ON c.node = a.node + w.d
         WHERE (a.node * 7919 + c.node * 104729) % 997 % 100 < 80""",
@@ -154,10 +154,20 @@ def park_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     apart = F.sqrt((F.pow(F.col("x2") - F.col("x1"), 2) + F.pow(F.col("y2") - F.col("y1"), 2)).cast("double"))
     return e.select(
         "eid", "u", "v", "x1", "y1", "x2", "y2", F.floor(apart * 10 + 0.5).alias("len_dm"), ((u + v) * 53 % 256).alias("noise"), ((u * 29 + v * 13) % 256).alias("deep"),
-        (180 + (u * 17 + v * 5) % 76).alias("green"), ((u + v * 3) * 31 % 120).alias("surface"), ((u * 11 + v * 7) % 10 == 0).alias("street"),
+        (199 + (u * 17 + v * 5) % 57).alias("green"), ((u + v * 3) * 31 % 120).alias("surface"), ((u * 11 + v * 7) % 10 == 0).alias("street"),
     )
 
 
+def park_tags(paths: DataFrame) -> DataFrame:
+    """``paths`` with the tags that access modes read: surface, smoothness and highway, and the share in a wood."""
+    u, v = F.col("u"), F.col("v")
+    pick = lambda values, i: F.element_at(F.array(*map(F.lit, values)), (i + 1).cast("int"))
+    return paths.withColumns({
+        "ground": pick(["asphalt", "ground", "", "gravel", "woodchips"], (u * 3 + v) % 5), "wood": ((u * 13 + v * 5) % 40 == 0).cast("double"),
+        "smoothness": F.when((u * 19 + v * 3) % 97 == 0, "bad").otherwise("good"), "highway": F.when((u * 23 + v * 7) % 89 == 0, "steps").when(F.col("street"), "residential").otherwise("path"),
+    })
+
+
 def with_views(sql: str) -> str:
     """``sql`` with the views it names as common table expressions."""
     wanted: set[str] = set()
