@@ -268,7 +268,7 @@ class Graph:
 def dealt(asked: DataFrame, edges: dict[str, DataFrame], clock: tuple[float, float, float], plan, schema: str) -> DataFrame:
     """``plan(graphs, row)`` for every row of ``asked`` (with city and trip), beside its city's graphs.
 
-    ``edges`` holds ``searched`` edges by preset.  A city's rows are dealt to groups of about
+    ``edges`` holds ``searched`` edges by preset, or by preset, a colon and a name of one's own.  A city's rows are dealt to groups of about
     ``TRIPS``, each with the city's edges.
     """
     groups = asked.groupBy("city").agg(F.ceil(F.count(F.lit(1)) / TRIPS).alias("_groups"))
@@ -281,7 +281,7 @@ def dealt(asked: DataFrame, edges: dict[str, DataFrame], clock: tuple[float, flo
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        graphs = {name: Graph.of(part, fixed.PRESETS[name], clock) for name, part in right.groupby("_preset")}
+        graphs = {name: Graph.of(part, fixed.PRESETS[name.split(":")[0]], clock) for name, part in right.groupby("_preset")}
         return pd.DataFrame([row for q in left.itertuples() for row in plan(graphs, q)], columns=names)
 
     return rows.groupBy("city", "_salt").cogroup(held.groupBy("city", "_part")).applyInPandas(run, schema)
@@ -310,3 +310,23 @@ def routes_to_pins(edges: DataFrame, asked: DataFrame, clock: tuple[float, float
         yield q.trip, None if way is None else [int(graph.eid[k]) for k in way], metres, price, piece
 
     return dealt(asked, {preset: searched(edges, fixed.PRESETS[preset], access)}, clock, search, "trip long, eids array<long>, metres double, cost double, piece_m double")
+
+
+def trees(edges: dict[str, DataFrame], asked: DataFrame, clock: tuple[float, float, float]) -> DataFrame:
+    """(trip, tree, rank, node, cost, metres, way) for rows (city, trip, start, depart, most): the nodes that settle within ``most`` metres, in order, and the way to each.
+
+    ``edges`` holds ``searched`` edges by name, each a tree of its own.
+    """
+
+    def plan(graphs, q):
+        for name, graph in graphs.items():
+            if int(q.start) not in graph.place:
+                continue
+            cost, walked, into, settled = graph.tree(int(q.start), float(q.depart), float(q.most))
+            ways: dict[int, list[int]] = {int(q.start): []}
+            for rank, n in enumerate(settled):
+                if n in into:
+                    ways[n] = [*ways[int(graph.u[into[n]])], int(graph.eid[into[n]])]
+                yield q.trip, name, rank, n, float(cost[n]), float(walked[n]), ways[n]
+
+    return dealt(asked, edges, clock, plan, "trip long, tree string, rank long, node long, cost double, metres double, way array<long>")

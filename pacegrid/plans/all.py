@@ -1 +1 @@
-from pacegrid.plans import classes, details, networks, parks, pricing, progress, rasters, scalars, sequences, spatial, stores, streams  # noqa: F401
+from pacegrid.plans import classes, details, networks, parks, pricing, progress, rasters, scalars, sequences, spatial, stores, streams, walks  # noqa: F401
