@@ -31,6 +31,8 @@ SMOOTHNESS_ADD = {
 INFORMAL_ADD = 0.30
 #: Weights of the presets: shade, noise, surface, green.
 PRESETS = {"balanced": (1.5, 1.5, 2.0, 0.6), "maxShade": (3.5, 0.8, 2.0, 0.4), "maxQuiet": (0.0, 3.0, 2.0, 0.6), "fastest": (0.0, 0.0, 2.0, 0.0)}
+#: A round walk counts green for more, up to a limit.
+LOOP_GREEN, MOST_GREEN = 1.25, 0.9
 CARRIAGEWAY, MAJOR_CARRIAGEWAY, CYCLEWAY = 12, 20, 15
 CROSSING_M, CROSSING_LEN_M, INFERRED_CAP = 150, 15, 22.5
 JAYWALK_FACTOR, CYCLE_CROSSING_FACTOR, MARKED_FACTOR = 15, 4, 0.6
@@ -41,6 +43,13 @@ NOISE_LETTERS = ["A", "B", "C", "D", "E"]
 DB_BASE, DB_STEP, MAX_BAND = 35, 5, 8
 
 
+def preset(name: str) -> tuple[float, float, float, float]:
+    """The weights (shade, noise, surface, green) of a preset, or of ``preset+loop``: the same for round walks."""
+    base, _, loop = name.partition("+")
+    shade, noise, surface, green = PRESETS[base]
+    return shade, noise, surface, min(MOST_GREEN, green * LOOP_GREEN) if loop else green
+
+
 def clamp(x: Column, low: float, high: float) -> Column:
     return F.least(F.lit(high), F.greatest(F.lit(low), x))
 

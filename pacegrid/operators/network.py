@@ -281,7 +281,7 @@ def dealt(asked: DataFrame, edges: dict[str, DataFrame], clock: tuple[float, flo
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        graphs = {name: Graph.of(part, fixed.PRESETS[name.split(":")[0]], clock) for name, part in right.groupby("_preset")}
+        graphs = {name: Graph.of(part, fixed.preset(name.split(":")[0]), clock) for name, part in right.groupby("_preset")}
         return pd.DataFrame([row for q in left.itertuples() for row in plan(graphs, q)], columns=names)
 
     return rows.groupBy("city", "_salt").cogroup(held.groupBy("city", "_part")).applyInPandas(run, schema)
@@ -298,7 +298,7 @@ def routes(edges: DataFrame, asked: DataFrame, clock: tuple[float, float, float]
         way, metres, price = (graph.route(int(q.start), int(q.goal), float(q.depart)) if graph else None) or (None, None, None)
         yield q.trip, None if way is None else [int(graph.eid[k]) for k in way], metres, price
 
-    return dealt(asked, {preset: searched(edges, fixed.PRESETS[preset], access)}, clock, search, "trip long, eids array<long>, metres double, cost double")
+    return dealt(asked, {preset: searched(edges, fixed.preset(preset), access)}, clock, search, "trip long, eids array<long>, metres double, cost double")
 
 
 def routes_to_pins(edges: DataFrame, asked: DataFrame, clock: tuple[float, float, float], preset: str = "balanced", access: str = "stroller") -> DataFrame:
@@ -309,7 +309,7 @@ def routes_to_pins(edges: DataFrame, asked: DataFrame, clock: tuple[float, float
         way, metres, price, piece = (graph.route_to_pin(int(q.start), int(q.pin), float(q.part), float(q.depart)) if graph else None) or (None,) * 4
         yield q.trip, None if way is None else [int(graph.eid[k]) for k in way], metres, price, piece
 
-    return dealt(asked, {preset: searched(edges, fixed.PRESETS[preset], access)}, clock, search, "trip long, eids array<long>, metres double, cost double, piece_m double")
+    return dealt(asked, {preset: searched(edges, fixed.preset(preset), access)}, clock, search, "trip long, eids array<long>, metres double, cost double, piece_m double")
 
 
 def trees(edges: dict[str, DataFrame], asked: DataFrame, clock: tuple[float, float, float]) -> DataFrame:
