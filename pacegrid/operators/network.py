@@ -158,6 +158,7 @@ class Graph:
     back: set[tuple[int, int]]
     place: dict[int, tuple[float, float]]
     at: dict[int, int]
+    green: np.ndarray
     least_rate: float
     start_min: float
     step_min: float
@@ -177,7 +178,7 @@ class Graph:
         return cls(
             e.eid.to_numpy(), e.u.to_numpy(), e.v.to_numpy(), {int(n): (int(a), int(b)) for n, a, b in zip(nodes, start, ends)}, e.metres.to_numpy(float),
             e.lit.astype(float).fillna(math.inf).to_numpy(), e.sun.astype(float).fillna(0.0).to_numpy(), e.more.astype(float).fillna(0.0).to_numpy(),
-            np.stack([np.asarray(s, float) for s in e.shade]) / 255, turning, back, place, at, max(0.05, 1 - weights[3]), *clock,
+            np.stack([np.asarray(s, float) for s in e.shade]) / 255, turning, back, place, at, e.green.to_numpy(bool) if "green" in e else np.zeros(len(e), bool), max(0.05, 1 - weights[3]), *clock,
         )
 
     def price(self, k: int, minute: float, extra: float = 0.0) -> float:
