@@ -66,3 +66,65 @@ def shadows(cells: DataFrame, azimuth: float, elevation: float, size: float = 1.
     before = Window.partitionBy("_ray").orderBy("_along").rowsBetween(Window.unboundedPreceding, -1)
     higher = F.max(C("z") + C("_along") * fall).over(before) - C("_along") * fall > C("z") + slack
     return rays.select("row", "col", F.coalesce(higher, F.lit(False)).alias("shaded"))
+
+
+#: Fixed values of the ray march: what stands on the ground at most, how far it is looked for, steps, and how much higher counts.
+MAX_H, MAX_REACH_M, MAX_STEPS, EPS = 60.0, 400.0, 400, 0.05
+
+
+def march(elevation: float, ground: float) -> tuple[int, float, float]:
+    """(steps, cells a step, metres the ray climbs a step) towards a sun above the horizon; beyond ``MAX_STEPS`` a step is longer."""
+    rise = math.tan(math.radians(elevation))
+    steps, size = math.ceil(min(MAX_REACH_M, MAX_H / rise) / ground), 1.0
+    if steps > MAX_STEPS:
+        steps, size = MAX_STEPS, steps / MAX_STEPS
+    return steps, size, rise * size * ground
+
+
+def marched(cells: DataFrame, azimuth: float, elevation: float, ground: float, tile: int = 64) -> DataFrame:
+    """(row, col, shaded) of a height field (row, col, z; null: no data) by rays that climb from each cell towards the sun, row 0 in the north.
+
+    Not the shadow of ``shadows``: the ray starts ``EPS`` above the cell, looks no farther than what
+    stands ``MAX_H`` high can throw, and takes the cell under each step, so that what lies
+    between two steps is missed.  Without a sun all is shaded; cells without data are not, and shade none.
+
+    A tile's rays need the tiles within their reach on the sun's side: cells are sent there, so every tile is
+    a task of its own, with a grid of bounded size.  A tile's march ends when its lowest ray is above all that stands there.
+    """
+    if elevation <= 0:
+        return cells.select("row", "col", F.lit(True).alias("shaded"))
+    steps, size, rise = march(elevation, ground)
+    right, down = math.sin(math.radians(azimuth)) * size, -math.cos(math.radians(azimuth)) * size
+    far = [math.ceil(abs(d) * steps) + 1 for d in (down, right)]
+
+    def tiles(c: str, step: float, reach: int) -> Column:
+        """Tiles along an axis whose rays may look at a cell: its own and those from which the sun lies behind it."""
+        low, high = (C(c) - reach, C(c)) if step >= 0 else (C(c), C(c) + reach)
+        return F.explode(F.sequence(F.floor(low / tile), F.floor(high / tile)))
+
+    sent = cells.withColumn("_i", tiles("row", down, far[0])).withColumn("_j", tiles("col", right, far[1]))
+
+    def shade(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        i, j = int(key[0]), int(key[1])
+        own = pdf[(pdf.row // tile == i) & (pdf.col // tile == j)]
+        if own.empty:
+            return pd.DataFrame({"row": [], "col": [], "shaded": []}).astype({"row": "int64", "col": "int64", "shaded": bool})
+        top, left = int(pdf.row.min()), int(pdf.col.min())
+        grid = np.full((int(pdf.row.max()) - top + 1, int(pdf.col.max()) - left + 1), -np.inf)
+        grid[pdf.row.to_numpy() - top, pdf.col.to_numpy() - left] = pdf.z.fillna(-np.inf).to_numpy(float)
+        row, col, z = own.row.to_numpy(), own.col.to_numpy(), own.z.to_numpy(float)
+        dark = np.zeros(len(own), bool)
+        known, highest = ~np.isnan(z), grid.max()
+        for k in range(1, steps + 1):
+            rest = np.flatnonzero(known & ~dark & ((z + EPS) + k * rise < highest))
+            if not len(rest):
+                break
+            y = np.floor(row[rest] + 0.5 + k * down).astype(int) - top
+            x = np.floor(col[rest] + 0.5 + k * right).astype(int) - left
+            within = (y >= 0) & (x >= 0) & (y < grid.shape[0]) & (x < grid.shape[1])
+            seen = np.full(len(rest), -np.inf)
+            seen[within] = grid[y[within], x[within]]
+            dark[rest] = seen > (z[rest] + EPS) + k * rise
+        return pd.DataFrame({"row": row, "col": col, "shaded": dark})
+
+    return sent.groupBy("_i", "_j").applyInPandas(shade, "row long, col long, shaded boolean")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -60,6 +62,20 @@ def shadows_oblique(spark, sf_dir):
     return raster.shadows(b.cells(spark, sf_dir).withColumn("z", C("z") * 20), 230.0, 40.0)
 
 
+#: A sun for the ray march: azimuth and elevation, and metres a cell.
+SUN, CELL_M = (215.0, 30.0), 4.0
+_STEPS, _SIZE, _RISE = raster.march(SUN[1], CELL_M)
+_RIGHT, _DOWN = math.sin(math.radians(SUN[0])) * _SIZE, -math.cos(math.radians(SUN[0])) * _SIZE
+
+
+@query(f"""WITH h AS (SELECT row, col, CASE WHEN (row * 7 + col * 3) % 53 > 0 THEN z * 40 END AS z FROM cells), r AS (SELECT row, col, z, k, CAST(floor(row + 0.5 + k * {_DOWN!r}::DOUBLE) AS BIGINT) AS y, CAST(floor(col + 0.5 + k * {_RIGHT!r}::DOUBLE) AS BIGINT) AS x FROM h, unnest(range(1, {_STEPS + 1})) t(k) WHERE z IS NOT NULL),
+    s AS (SELECT DISTINCT r.row, r.col FROM r JOIN h ON h.row = r.y AND h.col = r.x WHERE h.z > (r.z + 0.05::DOUBLE) + r.k * {_RISE!r}::DOUBLE) SELECT h.row, h.col, s.row IS NOT NULL AS shaded FROM h LEFT JOIN s ON s.row = h.row AND s.col = h.col""")
+def shadows_marched(spark, sf_dir):
+    """R2: shadow by rays that climb towards the sun step by step, within the reach of what stands there; not equal to R1."""
+    z = F.when((C("row") * 7 + C("col") * 3) % 53 > 0, C("z") * 40)
+    return raster.marched(b.cells(spark, sf_dir).withColumn("z", z), *SUN, CELL_M)
+
+
 @query("""SELECT row, col, round(180 * (1 - least(1, sqrt(gx * gx + gy * gy))), 5) AS hill FROM (SELECT row, col, (lead(z) OVER (PARTITION BY row ORDER BY col) - lag(z) OVER (PARTITION BY row ORDER BY col)) / 2 AS gx,
     (lead(z) OVER (PARTITION BY col ORDER BY row) - lag(z) OVER (PARTITION BY col ORDER BY row)) / 2 AS gy FROM cells) WHERE gx IS NOT NULL AND gy IS NOT NULL""")
 def hillshade(spark, sf_dir):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pacegrid.registry import query
-from pacegrid.streaming import fixes
+from pacegrid.streaming import fixes, senders
 
 C = F.col
 
@@ -35,3 +35,25 @@ def session_demand(spark, sf_dir):
     return e.groupBy(C("user_id").alias("session")).agg(
         F.min(t).alias("asked_from"), F.max(t).alias("asked_to"), (F.count(F.when(C("event_type") == "error", 1)) > 0).alias("failed"), F.max(F.struct("ts", "event_type"))["event_type"].alias("last_action"),
     )
+
+
+#: An hour of the table stands for a second of the queue's clock.
+_CALLS = """calls AS (SELECT user_id AS session, event_id, epoch_us(ts) // 3600000 AS t FROM events),
+    ready AS (SELECT session, min(t) + session * 37 % 50 * 1000 AS ready FROM calls GROUP BY session), c AS (SELECT calls.*, ready FROM calls JOIN ready USING (session)),
+    first AS (SELECT session, min(t) AS t0, any_value(ready) AS ready FROM c WHERE t < ready GROUP BY session),
+    due AS (SELECT session, min(t0 + 1000 * (2 ** k - 1)::BIGINT) FILTER (t0 + 1000 * (2 ** k - 1)::BIGINT >= ready) AS sent, max(t0 + 31000) AS given_up FROM first, unnest(range(1, 6)) r(k) GROUP BY session),
+    waits AS (SELECT c.*, sent, given_up, row_number() OVER (PARTITION BY c.session, sent IS NULL AND t >= given_up ORDER BY t, event_id) AS place FROM c JOIN due ON due.session = c.session WHERE t < ready),
+    up AS (SELECT session, min(t) AS up FROM c WHERE t >= ready GROUP BY session),
+    sent AS (SELECT session, event_id, t AS moment FROM c WHERE t >= ready UNION ALL SELECT w.session, event_id, CASE WHEN sent IS NULL THEN up WHEN sent <= coalesce(up, sent) THEN sent ELSE up END FROM waits w LEFT JOIN up ON up.session = w.session WHERE place <= 32 AND (sent IS NOT NULL OR t >= given_up))"""
+
+
+@query(f"WITH {_CALLS} SELECT session, event_id, moment FROM sent WHERE moment IS NOT NULL AND (moment + 1 < (SELECT max(t) FROM calls) - 600000 OR EXISTS (SELECT 1 FROM calls c WHERE c.session = sent.session AND c.t >= moment))")
+def stream_deliveries(spark, sf_dir):
+    """Calls that reach a sender which is not there at first: 32 wait at most, five retries with doubling delays, then what waits is given up."""
+    path = f"{sf_dir.rstrip('/')}/events.parquet"
+    t = F.floor(F.unix_micros(C("ts").cast("timestamp")) / 3_600_000)
+    held = spark.read.parquet(path).select(C("user_id").alias("session"), t.alias("t"))
+    ready = held.groupBy("session").agg((F.min("t") + C("session") * 37 % 50 * 1000).alias("ready"))
+    calls = fixes.source(spark, path).select(C("user_id").alias("session"), "event_id", t.alias("t")).join(ready, "session")
+    out = fixes.drained(senders.delivered(calls.withColumn("ts", F.timestamp_millis("t"))), "append", "deliveries")
+    return out.select("session", "event_id", C("at").alias("moment"))
