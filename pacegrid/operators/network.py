@@ -150,10 +150,10 @@ class Graph:
     v: np.ndarray
     first: dict[int, tuple[int, int]]
     length: np.ndarray
-    lit: np.ndarray
-    sun: np.ndarray
-    more: np.ndarray
-    series: np.ndarray
+    lit: list[float]
+    sun: list[float]
+    more: list[float]
+    series: list[list[float]]
     turning: list[dict[int, float]]
     back: set[tuple[int, int]]
     place: dict[int, tuple[float, float]]
@@ -177,16 +177,20 @@ class Graph:
         place = {int(n): (float(x), float(y)) for a in ("1", "2") for n, x, y in zip(e["uv"[int(a) - 1]], e["x" + a], e["y" + a])}
         return cls(
             e.eid.to_numpy(), e.u.to_numpy(), e.v.to_numpy(), {int(n): (int(a), int(b)) for n, a, b in zip(nodes, start, ends)}, e.metres.to_numpy(float),
-            e.lit.astype(float).fillna(math.inf).to_numpy(), e.sun.astype(float).fillna(0.0).to_numpy(), e.more.astype(float).fillna(0.0).to_numpy(),
-            np.stack([np.asarray(s, float) for s in e.shade]) / 255, turning, back, place, at, e.green.to_numpy(bool) if "green" in e else np.zeros(len(e), bool), max(0.05, 1 - weights[3]), *clock,
+            e.lit.astype(float).fillna(math.inf).tolist(), e.sun.astype(float).fillna(0.0).tolist(), e.more.astype(float).fillna(0.0).tolist(),
+            (np.stack([np.asarray(s, float) for s in e.shade]) / 255).tolist(), turning, back, place, at, e.green.to_numpy(bool) if "green" in e else np.zeros(len(e), bool), max(0.05, 1 - weights[3]), *clock,
         )
 
     def price(self, k: int, minute: float, extra: float = 0.0) -> float:
         """The price of an edge entered at a minute; outside the series all is shade, infinite where excluded."""
         step = (minute - self.start_min) / self.step_min
-        last = self.series.shape[1] - 1
-        shade = 1.0 if step < 0 or step > last else float(np.interp(step, (low := int(step), min(low + 1, last)), self.series[k, [low, min(low + 1, last)]]))
-        return float(self.lit[k]) + float(self.sun[k]) * (1 - shade) + float(self.more[k]) * extra
+        row = self.series[k]
+        last = len(row) - 1
+        if step < 0 or step > last:
+            return self.lit[k] + self.more[k] * extra
+        low = int(step)
+        shade = row[low] + (row[min(low + 1, last)] - row[low]) * (step - low)
+        return self.lit[k] + self.sun[k] * (1 - shade) + self.more[k] * extra
 
     def route(self, start: int, goal: int, minute: float, extra: Callable[[int], float] | None = None) -> tuple[list[int], float, float] | None:
         """(edge positions, metres, price) of the best way over edges as states; ties go to the lower edge."""

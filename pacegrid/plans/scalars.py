@@ -67,14 +67,21 @@ def terrarium_codes(spark, sf_dir):
     return out.withColumn("back", geo.from_terrarium(C("r"), C("g"), C("bl")))
 
 
-_SUN_SRC = f"src AS (SELECT city, lat, lng, d AS days, m AS minute FROM {_CITY_SQL}, (VALUES (20624), (20716), (20807)) dd(d), (SELECT unnest(range(0, 1440, 15)) AS m) mm)"
+_SUN_SRC = f"src AS (SELECT city, lat, lng, d AS days, m AS minute FROM {_CITY_SQL}, (SELECT DISTINCT epoch_us(ts) // 86400000000 AS d FROM events) dd, (SELECT unnest(range(0, 1440, 15)) AS m) mm)"
+
+
+def days_of_cities(spark, sf_dir):
+    """Every day that has an event, at every city: the registry is a handful of rows."""
+    day = F.floor(F.unix_micros(C("ts").cast("timestamp")) / 86_400_000_000)
+    days = b.table(spark, sf_dir, "events").select(day.alias("days")).distinct()
+    return days.join(F.broadcast(cities(spark).select("city", "lat", "lng")))
 
 
 @query(f"WITH {_SUN_SRC} SELECT city, days, minute, round(az, 3) AS az, round(el, 3) AS el FROM ({sun.position_sql('days', 'minute', 'lat', 'lng')})")
 def sun_table(spark, sf_dir):
     """Azimuth and elevation per city, day and quarter of an hour (UTC)."""
     az, el = sun.position(C("days"), C("minute"), C("lat"), C("lng"))
-    grid = cities(spark).select("city", "lat", "lng", F.explode(F.array(*map(F.lit, (20624, 20716, 20807)))).alias("days")).select("*", F.explode(F.sequence(F.lit(0), F.lit(1425), F.lit(15))).alias("minute"))
+    grid = days_of_cities(spark, sf_dir).select("*", F.explode(F.sequence(F.lit(0), F.lit(1425), F.lit(15))).alias("minute"))
     return grid.select("city", "days", "minute", F.round(az, 3).alias("az"), F.round(el, 3).alias("el"))
 
 
@@ -87,7 +94,7 @@ _MINUTES = _SUN_SRC.replace("range(0, 1440, 15)", "range(0, 1440)")
 def daylight(spark, sf_dir):
     """Sunrise, sunset and the shade window of each day; 1439 where there is none."""
     _, el = sun.position(C("days"), C("minute"), C("lat"), C("lng"))
-    grid = cities(spark).select("city", "lat", "lng", F.explode(F.array(*map(F.lit, (20624, 20716, 20807)))).alias("days")).select("*", F.explode(F.sequence(F.lit(0), F.lit(1439))).alias("minute"))
+    grid = days_of_cities(spark, sf_dir).select("*", F.explode(F.sequence(F.lit(0), F.lit(1439))).alias("minute"))
     t = grid.withColumn("el", el).groupBy("city", "days").agg(
         F.coalesce(F.min(F.when((C("minute") <= 720) & (C("el") > sun.HORIZON), C("minute"))), F.lit(1439)).alias("sunrise"),
         F.coalesce(F.min(F.when((C("minute") > 720) & (C("el") <= sun.HORIZON), C("minute"))), F.lit(1439)).alias("sunset"),
@@ -112,10 +119,16 @@ def city_of_point(spark, sf_dir):
     return looked.where(C("inside") | (C("d") <= 150_000)).withColumn("r", F.row_number().over(rank)).where("r = 1").select("id", "city", "inside", "d")
 
 
-@query("""SELECT tz, min(city) AS city FROM (VALUES """ + ", ".join(str((c[0], c[3])) for c in CITIES) + """) c(city, tz) GROUP BY tz HAVING count(*) = 1""")
+#: Zones of customers: those of the registry, and one that no city has.
+_ZONES = [c[3] for c in CITIES] + ["Pacific/Apia"]
+
+
+@query("WITH z AS (SELECT c_custkey AS id, CASE c_custkey % " + str(len(_ZONES)) + " " + " ".join(f"WHEN {i} THEN '{z}'" for i, z in enumerate(_ZONES)) + " END AS tz FROM customer), u AS (SELECT tz, min(city) AS city FROM (VALUES " + ", ".join(str((c[0], c[3])) for c in CITIES) + ") c(city, tz) GROUP BY tz HAVING count(*) = 1) SELECT id, z.tz, city FROM z LEFT JOIN u ON u.tz = z.tz")
 def city_of_zone(spark, sf_dir):
-    """The city of a time zone, only where it is the one city there."""
-    return cities(spark).groupBy("tz").agg(F.min("city").alias("city"), F.count(F.lit(1)).alias("n")).where("n = 1").drop("n")
+    """The city of each customer's time zone, only where it is the one city there."""
+    only = cities(spark).groupBy("tz").agg(F.min("city").alias("city"), F.count(F.lit(1)).alias("n")).where("n = 1").drop("n")
+    zone = F.element_at(F.array(*map(F.lit, _ZONES)), (C("c_custkey") % len(_ZONES) + 1).cast("int"))
+    return b.table(spark, sf_dir, "customer").select(C("c_custkey").alias("id"), zone.alias("tz")).join(F.broadcast(only), "tz", "left").select("id", "tz", "city")
 
 
 @query("""SELECT page_id, CAST(nullif(regexp_extract(url, '/([0-9]+)(\\.html|/|$)', 1), '') AS BIGINT) AS number, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host,

@@ -118,13 +118,32 @@ def crossing_lines(spark, sf_dir):
     return spatial.crossings(lines, segments(spark, sf_dir), 200.0)
 
 
-@query(f"""WITH {_RINGS}, {_POINTS} SELECT id, round(min(sqrt((px - x) * (px - x) + (py - y) * (py - y))), 4) AS metres FROM points, rings WHERE district = 0 GROUP BY id""")
+@query(f"""WITH {_RINGS}, {_POINTS} SELECT id, round(min(sqrt((px - x) * (px - x) + (py - y) * (py - y))), 4) AS metres FROM points JOIN supplier ON s_suppkey = id JOIN rings ON district = s_nationkey GROUP BY id""")
 def distance_to_border(spark, sf_dir):
-    """Metres to the nearest corner of a border."""
-    border = rings(spark, sf_dir).where("district = 0").select("x", "y")
+    """Metres from each point to the nearest corner of its own district's border."""
+    own = b.table(spark, sf_dir, "supplier").select(C("s_suppkey").alias("id"), C("s_nationkey").alias("district"))
     d = F.sqrt((C("px") - C("x")) * (C("px") - C("x")) + (C("py") - C("y")) * (C("py") - C("y")))
-    # one border is a few corners
-    return points(spark, sf_dir).join(F.broadcast(border)).groupBy("id").agg(F.round(F.min(d), 4).alias("metres"))
+    return points(spark, sf_dir).join(own, "id").join(rings(spark, sf_dir), "district").groupBy("id").agg(F.round(F.min(d), 4).alias("metres"))
+
+
+@query(f"""WITH {_POINTS}, {_SEGMENTS}, near AS (SELECT id, avg((eid * 37 + 24 * 11) % 256 / 255::DOUBLE) AS shade, count(*) AS n FROM points JOIN segments ON least(ax, bx) <= px + 150 AND greatest(ax, bx) >= px - 150 AND least(ay, b_y) <= py + 150 AND greatest(ay, b_y) >= py - 150 GROUP BY id),
+    crop AS (SELECT id, avg(z) AS z, count(*) AS n_cells FROM points JOIN cells ON col * 20 BETWEEN px % 1200 - 200 AND px % 1200 + 200 AND row * 20 BETWEEN py - 200 AND py + 200 GROUP BY id)
+    SELECT n.id, n, round(shade * 100, 4) AS edges, n_cells, round(z * 100, 4) AS raster FROM near n LEFT JOIN crop c ON c.id = n.id""")
+def shade_beside_raster(spark, sf_dir):
+    """Mean shade of the edges that meet the box of 150 m around a point, beside the raster's mean over a crop of 400 m."""
+    p = points(spark, sf_dir)
+    s = segments(spark, sf_dir).select("eid", *[C(c).cast("double").alias(c) for c in ("ax", "ay", "bx", "by")])
+    cell = s.select("*", spatial.covered(C("ax"), C("ay"), C("bx"), C("by"), 300.0).alias("_cell"))
+    met = p.select("*", spatial.covered(C("px"), C("py"), C("px"), C("py"), 300.0, 150.0).alias("_cell")).join(cell, "_cell")
+    box = (F.least("ax", "bx") <= C("px") + 150) & (F.greatest("ax", "bx") >= C("px") - 150) & (F.least("ay", "by") <= C("py") + 150) & (F.greatest("ay", "by") >= C("py") - 150)
+    near = met.where(box).select("id", "eid").distinct().groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(b.shade(C("eid"), F.lit(24)) / 255) * 100, 4).alias("edges"))
+    # cells of the raster are 20 m wide: a crop is the blocks of 400 m that it touches, and then the cells in it
+    q = p.select("id", (C("px") % 1200).alias("qx"), C("py").alias("qy"))
+    z = b.cells(spark, sf_dir).select((C("col") * 20).cast("double").alias("x"), (C("row") * 20).cast("double").alias("y"), "z").withColumn("_cell", spatial.cell(C("x"), C("y"), 400.0))
+    inside = C("x").between(C("qx") - 200, C("qx") + 200) & C("y").between(C("qy") - 200, C("qy") + 200)
+    crop = q.select("*", spatial.covered(C("qx"), C("qy"), C("qx"), C("qy"), 400.0, 200.0).alias("_cell")).join(z, "_cell").where(inside)
+    mean = crop.groupBy("id").agg(F.count(F.lit(1)).alias("n_cells"), F.round(F.avg("z") * 100, 4).alias("raster"))
+    return near.join(mean, "id", "left").select("id", "n", "edges", "n_cells", "raster")
 
 
 @query(f"""WITH {_SEGMENTS} SELECT eid, CASE WHEN ax + ay > bx + b_y THEN [bx, b_y, ax, ay] ELSE [ax, ay, bx, b_y] END AS line FROM segments""")
