@@ -87,3 +87,22 @@ def settings(spark, sf_dir):
     return e.groupBy("user_id").agg(
         F.coalesce(newest(C("event_type").isin("click", "view"), C("event_type")), F.lit("light")).alias("theme"), F.coalesce(newest(C("value").between(1, 6), F.round("value", 2)), F.lit(4.0)).alias("pace"),
     )
+
+
+#: Buckets of a band, and the minutes that are asked for.
+BAND_WIDE, ASKED_MIN = 8, (780.0, 900.0)
+
+
+@query("""SELECT e.u // 1000 AS city, eid, bucket, (eid * 37 + bucket * 11) % 256 AS shade FROM edges e, (SELECT unnest(range(16, 32)) AS bucket) k WHERE e.u // 1000 = e.v // 1000""")
+def rebanded_shade(spark, sf_dir):
+    """Files of whole days split into bands without working shade out again, checked to be the same, and only the bands of an afternoon read back."""
+    from pacegrid.operators import store
+    from pacegrid.plans import networks
+    from pacegrid.sources import bands
+
+    files = store.stored(bands.whole(networks.placed(spark, sf_dir).select("city", "eid", "shade")), "shade-days")
+    split = store.stored(bands.rebanded(files, b.BUCKETS, BAND_WIDE), "shade-bands", by="band")
+    if not bands.differing(files, split, b.BUCKETS, BAND_WIDE).isEmpty():
+        raise ValueError("the bands differ from the days")
+    store.drop(files)
+    return bands.read(split, bands.needed(*ASKED_MIN, b.START_MIN, b.STEP_MIN, b.BUCKETS, BAND_WIDE), b.BUCKETS, BAND_WIDE)
