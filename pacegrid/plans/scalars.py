@@ -191,13 +191,33 @@ def plan_states(spark, sf_dir):
     )
 
 
-@query("""SELECT DISTINCT len_dm, CASE WHEN d <= 8 THEN 'near' ELSE 'far' END AS fits, k AS nearest FROM (SELECT len_dm, abs(len_dm % 256 - k * 60) AS d, k, row_number() OVER (PARTITION BY len_dm ORDER BY abs(len_dm % 256 - k * 60), k) AS r
-    FROM (SELECT DISTINCT len_dm FROM edges), (SELECT unnest(range(0, 5)) AS k)) WHERE r = 1""")
+#: A legend's colours by class from the quietest, how far a colour may be off, what counts as opaque, and the colours (with opacity) of classes 1 to 8.
+LEGEND, TOLERANCE, OPAQUE = [(226, 242, 191), (243, 198, 131), (205, 70, 62), (117, 8, 92), (67, 10, 74)], 8, 128
+RAMP = [(0, 0, 0, 0), (0, 0, 0, 0), (255, 214, 130, 0), (255, 214, 130, 40), (250, 170, 90, 60), (236, 112, 78, 80), (205, 70, 95, 95), (150, 45, 110, 110)]
+
+_PIXELS = "px AS (SELECT row, col, " + ", ".join(f"[{', '.join(str(c[i]) for c in LEGEND)}][((row + col) % 5 + 1)::INT] + (row * {k} + col * {j}) % {m} - {m // 2} AS {n}" for i, (n, k, j, m) in enumerate([("r", 3, 1, 11), ("g", 5, 2, 7), ("bl", 2, 7, 9)])) + ", (row * 7 + col) % 256 AS alpha, 1 + (row * 31 + col * 17) % 760 / 100.0::DOUBLE AS v FROM cells)"
+_OFF = "[" + ", ".join(f"abs(r - {r}) + abs(g - {g}) + abs(bl - {bl})" for r, g, bl in LEGEND) + "]"
+
+
+@query(f"""WITH {_PIXELS}, o AS (SELECT *, {_OFF} AS off, least(greatest(v, 1), 8) AS c FROM px), p AS (SELECT *, floor(c)::INT AS c0, least(floor(c)::INT + 1, 8) AS c1, c - floor(c) AS f FROM o)
+    SELECT row, col, CASE WHEN alpha > 0 THEN coalesce(list_position(list_transform(off, lambda x: x <= 8), true), 0) ELSE 0 END::BIGINT AS within, CASE WHEN alpha > 128 THEN list_position(off, list_min(off)) ELSE 0 END::BIGINT AS nearest,
+    {', '.join(f"round_even([{', '.join(f'{c[i]}::DOUBLE' for c in RAMP)}][c0] * (1 - f) + [{', '.join(f'{c[i]}::DOUBLE' for c in RAMP)}][c1] * f, 0)::BIGINT AS {n}" for i, n in enumerate(("red", "green", "blue", "opacity")))} FROM p""")
 def palette_class(spark, sf_dir):
-    """The nearest palette entry of a colour, and whether it is within the tolerance."""
-    far = F.transform(F.array(*[F.lit(60 * k) for k in range(5)]), lambda p: F.abs(C("len_dm") % 256 - p))
-    least = F.array_min(far)
-    return b.edges(spark, sf_dir).select("len_dm").distinct().select("len_dm", F.when(least <= 8, "near").otherwise("far").alias("fits"), (F.array_position(far, least) - 1).alias("nearest"))
+    """The class of each pixel by the first colour of the legend within the tolerance, and by the nearest one; and the colour of a level between two classes."""
+    r, c = C("row"), C("col")
+    at = ((r + c) % 5 + 1).cast("int")
+    channel = lambda i, k, j, m: F.element_at(F.array(*[F.lit(x[i]) for x in LEGEND]), at) + (r * k + c * j) % m - m // 2
+    px = b.cells(spark, sf_dir).select("row", "col", channel(0, 3, 1, 11).alias("r"), channel(1, 5, 2, 7).alias("g"), channel(2, 2, 7, 9).alias("bl"), ((r * 7 + c) % 256).alias("alpha"), (1 + (r * 31 + c * 17) % 760 / 100).alias("v"))
+    off = F.array(*[F.abs(C("r") - x) + F.abs(C("g") - y) + F.abs(C("bl") - z) for x, y, z in LEGEND])
+    level = F.least(F.greatest(C("v"), F.lit(1.0)), F.lit(8.0))
+    low = F.floor(level).cast("int")
+    part = level - low
+    ramp = lambda i, k: F.element_at(F.array(*[F.lit(float(x[i])) for x in RAMP]), k)
+    blend = [F.rint(ramp(i, low) * (1 - part) + ramp(i, F.least(low + 1, F.lit(8))) * part).cast("long").alias(n) for i, n in enumerate(("red", "green", "blue", "opacity"))]
+    found = px.withColumn("off", off)
+    within = F.when(C("alpha") > 0, F.array_position(F.transform("off", lambda x: x <= TOLERANCE), F.lit(True))).otherwise(0)
+    nearest = F.when(C("alpha") > OPAQUE, F.array_position("off", F.array_min("off"))).otherwise(0)
+    return found.select("row", "col", within.cast("long").alias("within"), nearest.cast("long").alias("nearest"), *blend)
 
 
 @query("""SELECT eid, (greatest(l, r) >> 4) * 17 AS shade16, l > r AS left_side FROM (SELECT eid, (eid * 37) % 256 AS l, (eid * 91) % 256 AS r FROM edges)""")
