@@ -103,7 +103,7 @@ def _started(whole: DataFrame, wide: int, parts: int, entries: int) -> np.ndarra
     numbers = F.transform("embedding", lambda x: F.floor(x.cast("double") * FACTOR))
     order = F.asc_nulls_last("vec_id")
     ids = [r.vec_id for r in whole.select("vec_id").distinct().orderBy(order).limit(entries).collect()]
-    theirs = F.coalesce(F.col("vec_id").isin([k for k in ids if k is not None]), F.lit(None in ids))
+    theirs = F.when(F.col("vec_id").isNull(), F.lit(None in ids)).otherwise(F.col("vec_id").isin([k for k in ids if k is not None]))
     firsts = whole.where(theirs).groupBy("vec_id").agg(F.min(numbers).alias("vector")).orderBy(order).collect()
     vectors = np.array([r.vector for r in firsts], np.int64).reshape(len(firsts), parts, wide // parts)
     return vectors.transpose(1, 0, 2).copy()

@@ -138,6 +138,8 @@ def test_codes_of_few_vectors(spark):
     found = {r.vec_id: r for r in vector_codes.vector_codes(frame(spark, rows)).collect()}
     assert {k: r.code for k, r in found.items()} == {5: "00" * 8, None: "01" * 8} and {r.error for r in found.values()} == {0}
     assert vector_codes.vector_codes(frame(spark, rows).limit(0)).count() == 0
+    nameless = vector_codes.vector_codes(frame(spark, [(None, [0.5] * 16, 1), (None, [0.5] * 16, None)])).collect()
+    assert [(r.code, r.error) for r in nameless] == [("00" * 8, 0)] * 2
     with pytest.raises(ValueError, match="equal parts"):
         vector_codes.vector_codes(frame(spark, [(1, [0.0] * 9, 1)]))
 
