@@ -27,14 +27,12 @@ and not once for each pair.
 Defined results: texts without a word (null, empty, white space) are equal to
 each other; texts shorter than a k-mer have one k-mer, the whole text; repeated
 rows are members of one class; class ids are the least doc_id of the class (null
-if no member has one).  Pairs of texts so long that a band of the allowed width
-has more than ``MOST_CELLS`` cells are aligned between words that both have once;
-the edits are then an upper bound.
+if no member has one).  Edits are exact for texts of any length: where a band of the
+allowed width has more than ``MOST_CELLS`` cells they are counted by diagonals instead.
 """
 
 from __future__ import annotations
 
-import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -219,41 +217,64 @@ def _band(pairs: list[tuple[np.ndarray, np.ndarray]], k: int) -> np.ndarray:
     return np.where((np.abs(width - height) <= k) & (found <= k), found, k + 1)
 
 
-def _anchors(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """Places of words that both sequences have exactly once, as many as rise in both."""
-    (x, i, n), (y, j, m) = (np.unique(v, return_index=True, return_counts=True) for v in (a, b))
-    _, p, q = np.intersect1d(x[n == 1], y[m == 1], assume_unique=True, return_indices=True)
-    places = sorted(zip(i[n == 1][p].tolist(), j[m == 1][q].tolist()))
-    # the longest rising run of second places: the last place of each length, and who stands before it
-    tails: list[int] = []
-    ends: list[int] = []
-    before: list[int] = []
-    for k, (_, at) in enumerate(places):
-        length = bisect.bisect_left(tails, at)
-        before.append(ends[length - 1] if length else -1)
-        tails[length : length + 1] = [at]
-        ends[length : length + 1] = [k]
-    found, k = [], ends[-1] if ends else -1
-    while k >= 0:
-        found.append(places[k])
-        k = before[k]
-    return found[::-1]
-
-
-def _bound(a: np.ndarray, b: np.ndarray, limit: int) -> int:
-    """Edits of an alignment through ``_anchors``, -1 if more than ``limit``."""
-    total, last = 0, (0, 0)
-    for i, j in [*_anchors(a, b), (len(a), len(b))]:
-        left, right = a[last[0] : i], b[last[1] : j]
-        last = (i + 1, j + 1)
-        longer = max(len(left), len(right))
-        if len(left) and len(right) and (2 * longer + 1) * len(left) <= MOST_CELLS:
-            total += int(edits_within([(left, right)], [longer])[0])
-        else:
-            total += longer
-        if total > limit:
-            return -1
-    return total
+def _runs(a: np.ndarray, b: np.ndarray, q: int) -> int:
+    """A lower bound of the edits, from counts of runs of ``q`` members: an edit changes ``q`` of them at most."""
+    size = [max(0, len(x) - q + 1) for x in (a, b)]
+    if not all(size):
+        return 0
+    hashed = [np.zeros(n, np.uint64) for n in size]
+    for x, h, n in zip((a, b), hashed, size, strict=True):
+        for j in range(q):
+            h[:] = _stir(h * _BASE + x[j : j + n])
+    return -(-_excess(*hashed) // q)
+
+
+def _diagonals(a: np.ndarray, b: np.ndarray, limit: int) -> int:
+    """Edits of two sequences by the furthest place that each number of edits reaches on each diagonal; more than ``limit``: -1.
+
+    Exact as ``_band`` is, in memory for one row of diagonals and in steps of the edits squared, not of edits times length.
+    """
+    n, m = len(a), len(b)
+    goal = m - n
+    if abs(goal) > limit:
+        return -1
+    most = min(limit, max(n, m))
+    # reach[k + most + 1]: members of ``a`` passed on diagonal k, so k more of ``b``
+    reach = np.full(2 * most + 3, -(1 << 60), np.int64)
+    reach[most + 1] = 0
+    for edits in range(most + 1):
+        low, high = max(-edits, goal - (most - edits), -n), min(edits, goal + (most - edits), m)
+        k = np.arange(low, high + 1)
+        at = slice(low + most + 1, high + most + 2)
+        if edits:
+            step = np.maximum(reach[at], reach[low + most + 2 : high + most + 3]) + 1
+            np.maximum(step, reach[low + most : high + most + 1], out=step)
+            np.minimum(step, np.minimum(n, m - k), out=step)
+            reach[at] = step
+        here = reach[at]
+        end = np.minimum(n, m - k)
+        on = np.flatnonzero((here >= 0) & (here < end))
+        while len(on):
+            on = on[a[here[on]] == b[here[on] + k[on]]]
+            if len(on) > 16:
+                here[on] += 1
+            else:
+                for i in on.tolist():
+                    x, y, width = int(here[i]), int(here[i] + k[i]), 64
+                    while x < end[i]:
+                        width = min(width, int(end[i]) - x)
+                        differ = np.flatnonzero(a[x : x + width] != b[y : y + width])
+                        step = int(differ[0]) if len(differ) else width
+                        x, y = x + step, y + step
+                        if len(differ):
+                            break
+                        width *= 2
+                    here[i] = x
+                break
+            on = on[here[on] < end[on]]
+        if low <= goal <= high and reach[goal + most + 1] >= n:
+            return edits
+    return -1
 
 
 def edits_within(pairs: list[tuple[np.ndarray, np.ndarray]], limits: list[int]) -> np.ndarray:
@@ -269,7 +290,8 @@ def edits_within(pairs: list[tuple[np.ndarray, np.ndarray]], limits: list[int])
             out[i] = least
             continue
         if (2 * limit + 1) * len(a) > MOST_CELLS:
-            out[i] = _bound(a, b, limit)
+            # the same edits at less cost, where a band would be long and wide
+            out[i] = -1 if max(_runs(a, b, q) for q in (2, 4)) > limit else _diagonals(a, b, limit)
             continue
         waiting.append((max(4, 1 << max(0, least - 1).bit_length()), i, (a, b)))
     while waiting:

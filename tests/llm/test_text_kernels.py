@@ -103,3 +103,27 @@ def test_banded_alignment_is_edit_distance(pairs, limit):
     got = near_dedup.edits_within(arrays, [limit] * len(pairs))
     want = [d if (d := edit_distance(a, b)) <= limit else -1 for a, b in pairs]
     assert got.tolist() == want
+
+
+@settings(max_examples=120, deadline=None)
+@given(st.lists(st.integers(0, 3), max_size=40), st.lists(st.integers(0, 3), max_size=40), st.integers(0, 30))
+def test_diagonals_count_edits_as_bands_do(a, b, limit):
+    x, y = np.array(a, np.uint64), np.array(b, np.uint64)
+    d = edit_distance(a, b)
+    assert near_dedup._diagonals(x, y, limit) == (d if d <= limit else -1)
+    assert all(near_dedup._runs(x, y, q) <= d for q in (2, 4))
+
+
+def test_edits_do_not_depend_on_the_length_of_texts(monkeypatch):
+    rng = np.random.default_rng(3)
+    pairs = []
+    for size in (30, 200, 900):
+        a = rng.integers(0, 12, size).astype(np.uint64)  # few words, so no word stands once in both
+        b = np.delete(a, rng.integers(0, size, size // 20))
+        b[rng.integers(0, len(b), size // 20)] = 3
+        pairs.append((a, np.insert(b, rng.integers(0, len(b), size // 20), 5)))
+    limits = [len(a) // 5 for a, _ in pairs]
+    banded = near_dedup.edits_within(pairs, limits)
+    monkeypatch.setattr(near_dedup, "MOST_CELLS", 10)
+    assert near_dedup.edits_within(pairs, limits).tolist() == banded.tolist()
+    assert (banded > 0).all()
