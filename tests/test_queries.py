@@ -289,3 +289,19 @@ def test_delta_lines_keep_the_sign_of_zeros(spark, tmp_path):
     got = QUERIES["delta_lines"](spark, str(tmp_path)).first()["line"]
     assert list(map(repr, got)) == list(map(repr, want))
     assert list(map(repr, got[:3])) == ["-0.0", "0.0", "0.0"]
+
+
+def test_components_carry_no_estimates_from_round_to_round(spark, monkeypatch):
+    path = spark.createDataFrame([(i, i + 1) for i in range(64)], "u long, v long")
+    known, rounds = [], network.stars
+
+    def spied(edges, write):
+        def told(df, instead):
+            known.append(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length())
+            return write(df, instead)
+
+        return rounds(edges, told)
+
+    monkeypatch.setattr(network, "stars", spied)
+    assert {r["component"] for r in network.components(path).collect()} == {0}
+    assert max(known) < 1000, known  # bits of a round's estimated size
