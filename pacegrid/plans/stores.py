@@ -11,6 +11,8 @@ from pacegrid.sources import bindings as b
 from pacegrid.streaming.fixes import shared
 
 C = F.col
+#: Buckets of a band.
+BAND_WIDE = 8
 
 
 @query("SELECT u // 1000 AS city, count(*) AS n, sum(len_dm)::BIGINT AS len_dm, bit_xor(eid * 7 + flags) AS mark FROM edges GROUP BY 1")
@@ -26,10 +28,13 @@ def artifact_round_trip(spark, sf_dir):
 @query("""SELECT k // 8 AS band, count(*) AS n, sum((eid * 37 + k * 11) % 256)::BIGINT AS shade FROM edges, (SELECT unnest(range(0, 50)) AS k) s WHERE k // 8 IN (2, 3) GROUP BY 1""")
 def band_read(spark, sf_dir):
     """Shade written by band, and the bands of a walk alone read back."""
-    e = b.edges(spark, sf_dir).select("eid", F.explode(F.sequence(F.lit(0), F.lit(b.BUCKETS - 1))).alias("k"))
+    # one row of bytes for each edge and band, as long as the band: not a row for each byte
+    band = lambda first: F.array(*[b.shade(C("eid"), F.lit(k).cast("long")).cast("short") for k in range(first, min(first + BAND_WIDE, b.BUCKETS))])
+    bands = F.posexplode(F.array(*map(band, range(0, b.BUCKETS, BAND_WIDE)))).alias("band", "shade")
     path = shared(spark, "bands")
-    e.select("eid", "k", b.shade(C("eid"), C("k")).alias("shade"), F.floor(C("k") / 8).alias("band")).write.partitionBy("band").parquet(path)
-    return spark.read.parquet(path).where(C("band").isin(2, 3)).groupBy(C("band").cast("long").alias("band")).agg(F.count(F.lit(1)).alias("n"), F.sum("shade").alias("shade"))
+    b.edges(spark, sf_dir).select("eid", bands).write.partitionBy("band").parquet(path)
+    back = spark.read.parquet(path).where(C("band").isin(2, 3)).select(C("band").cast("long").alias("band"), F.explode("shade").alias("shade"))
+    return back.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.sum("shade").alias("shade"))
 
 
 @query("""WITH f AS (SELECT event_type AS stem, value FROM events UNION ALL SELECT 'all', value FROM events) SELECT stem, count(*) AS files, round(sum(value), 2) AS bytes, greatest(1, round(sum(value) / 100000, 1)) AS mb FROM f GROUP BY stem""")
@@ -89,8 +94,8 @@ def settings(spark, sf_dir):
     )
 
 
-#: Buckets of a band, and the minutes that are asked for.
-BAND_WIDE, ASKED_MIN = 8, (780.0, 900.0)
+#: The minutes that are asked for.
+ASKED_MIN = (780.0, 900.0)
 
 
 @query("""SELECT e.u // 1000 AS city, eid, bucket, (eid * 37 + bucket * 11) % 256 AS shade FROM edges e, (SELECT unnest(range(16, 32)) AS bucket) k WHERE e.u // 1000 = e.v // 1000""")
