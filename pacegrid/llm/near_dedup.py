@@ -436,14 +436,29 @@ def _paired(one: str, other: str) -> list[Column]:
     return [F.least(one, other).alias("_a"), F.greatest(one, other).alias("_b")]
 
 
+def _likely(rows: DataFrame, names: DataFrame) -> DataFrame:
+    """``rows`` without most of those whose _text none of ``names`` (_text) has, so that texts that an exact join would drop don't travel to it.
+
+    24 bits of each name are marked in a bitmap, of 2 MB whatever the number of names.  The exact join is an inner one
+    with different names: Spark would move a semi join ahead of this.
+    """
+    slot = F.conv(F.hex(F.substring("_text", 1, 3)), 16, 10).cast("int")
+    part, place = F.shiftright(slot, 15), slot.bitwiseAND(32767)
+    marks = names.groupBy(part.alias("_part")).agg(F.bitmap_construct_agg(place).alias("_marks"))
+    byte = F.conv(F.hex(F.substring(F.col("_marks"), F.shiftright(place, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    marked = rows.withColumn("_part", part).join(F.broadcast(marks), "_part").where(F.getbit(byte, place.bitwiseAND(7)) == 1)
+    return marked.select(*rows.columns)
+
+
 def _texts(members: DataFrame, docs: DataFrame) -> DataFrame:
     """(_text, text) of ``members``: one row of each."""
-    hashed = docs.select("text").mapInArrow(_tables.tidy(_named), "text string, _text binary")
-    return hashed.join(members, "_text", "left_semi").groupBy("_text").agg(F.first("text").alias("text"))
+    hashed = _likely(docs.select("text").mapInArrow(_tables.tidy(_named), "text string, _text binary"), members)
+    return hashed.join(members.distinct(), "_text").groupBy("_text").agg(F.first("text").alias("text"))
 
 
 def _tested(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """``pairs`` with ``linked`` and ``similarity``."""
+    texts = _likely(texts, pairs.select(F.explode(F.array("_a", "_b")).alias("_text")))
     joined = pairs.join(texts.toDF("_a", "_a_text"), "_a").join(texts.toDF("_b", "_b_text"), "_b")
     return joined.mapInArrow(_tables.tidy(_verify), "_a binary, _b binary, linked boolean, similarity double")
 
@@ -487,14 +502,15 @@ def _settled(buckets: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame
     rest = members.join(roots, "_text")
     open_keys = rest.groupBy("_key").agg(F.min("_root").alias("_least"), F.max("_root").alias("_most")).where("_least <> _most")
     left = _tables.stored(rest.where("_size > 2").join(open_keys, "_key", "left_semi").select("_key", "_text", "n_words", "_size", "_root"), "near-left", instead=members)
-    known = texts.join(left.select("_text").distinct(), "_text", "left_semi").mapInArrow(_tables.tidy(_parity), "_text binary, n_words long, _bits array<long>, _pair_bits array<long>")
+    known = _likely(texts, left).join(left.select("_text").distinct(), "_text").mapInArrow(_tables.tidy(_parity), "_text binary, n_words long, _bits array<long>, _pair_bits array<long>")
     known = _tables.stored(known.join(roots, "_text"), "near-known")
     few = left.where(F.col("_size") <= FEW).select("_key", "_text")
-    many = _tables.stored(texts.join(left.where(F.col("_size") > FEW).select("_text").distinct(), "_text", "left_semi"), "near-many")
+    large = left.where(F.col("_size") > FEW).select("_text").distinct()
+    many = _tables.stored(_likely(texts, large).join(large, "_text"), "near-many")
     keys = _tables.stored(few.unionByName(_rare_shared(many)), "near-rare")
     # texts of one largest group meet there, block by block; other pairs are few and come as rows
     homes = _tables.stored(_homes(keys), "near-homes")
-    dense = _tables.stored(_met_in_cells(_cells(homes, known), texts), "near-tested")
+    dense = _tables.stored(_met_in_cells(_cells(homes, known), _likely(texts, homes)), "near-tested")
     tested = tested.unionByName(dense)
     tell(_within(keys.join(known, "_text").join(homes.select("_text", "_home"), "_text")))
     if not dense.isEmpty():
@@ -627,8 +643,10 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
     Columns travel in a struct, so that their names can't clash with those used here.
     """
-    rows = classes(docs)[0].where("kept").select(F.col("doc_id").alias("_kept"), F.col("_raw").alias("_hash")).distinct()
-    whole = docs.select(F.struct(*docs.columns).alias("_doc"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_raw"))
-    kept = whole.join(rows, F.col("_id").eqNullSafe(F.col("_kept")) & F.col("_raw").eqNullSafe(F.col("_hash")))
-    again = F.row_number().over(Window.partitionBy("_id", "_raw").orderBy(F.lit(1)))
+    # keys are never null, so documents are dealt once for the join and for the window behind it
+    keys = [F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_none")]
+    rows = classes(docs)[0].where("kept").select(*keys, "_raw").distinct()
+    whole = docs.select(F.struct(*docs.columns).alias("_doc"), *keys, F.xxhash64("text").alias("_raw"))
+    kept = whole.join(rows, ["_id", "_none", "_raw"])
+    again = F.row_number().over(Window.partitionBy("_id", "_none", "_raw").orderBy(F.lit(1)))
     return kept.withColumn("_n", again).where("_n = 1").select("_doc.*")

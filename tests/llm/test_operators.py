@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 import zlib
 from itertools import combinations
 
@@ -10,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from pacegrid.llm import html_text, media, mixing, near_dedup, quality, quality_rules, sentencepieces, token_files, toxicity
+from pacegrid.llm import _tables, html_text, media, mixing, near_dedup, quality, quality_rules, sentencepieces, token_files, toxicity
 
 public = pytest.importorskip("public_tokenizers")
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -230,6 +231,35 @@ def test_near_duplicates_of_a_star(spark):
     assert near_dedup.one_of_each(docs).count() == len(rows) - len(meet) + 1 + 1
 
 
+def test_few_texts_travel_and_shuffle_files_go(spark):
+    """Texts that no name asks for stay where they are, and a stored table leaves no shuffle files behind."""
+    name = F.unhex(F.md5(F.col("id").cast("string"))).alias("_text")
+    texts, names = spark.range(20_000).select(name, "id"), spark.range(300).select(name)
+    found = {r.id for r in near_dedup._likely(texts, names).collect()}
+    assert set(range(300)) <= found and len(found) < 400
+    assert near_dedup._likely(texts, names.limit(0)).count() == 0
+    docs = spark.range(3000).select(F.concat_ws(" ", *[F.md5((F.col("id") * 7 + i).cast("string")) for i in range(6)]).alias("text"))
+    few = _tables.stored(docs.limit(20).mapInArrow(near_dedup._named, "text string, _text binary").select("_text"), "few")
+    plan = near_dedup._texts(few, docs)
+    assert plan.count() == 20
+    seen = plan._jdf.queryExecution().optimizedPlan().toString()
+    # the exact join stands above the bitmap's: it would be dealt whole texts otherwise
+    assert "LeftSemi" not in seen and "bitmap" in seen
+    files = lambda: {f.getName() for f in _java_list(spark) if f.getName().startswith("shuffle_")}
+    before = files()
+    kept = _tables.stored(texts.groupBy((F.col("id") % 7).alias("k")).count(), "sums")
+    for _ in range(50):
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before and kept.count() == 7
+
+
+def _java_list(spark):
+    found = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return [found.apply(i) for i in range(found.size())]
+
+
 def test_picks_find_pairs_over_the_whole_range():
     rng = random.Random(1)
     for n, similar in ((100, 0.8), (100, 0.85), (300, 0.8), (300, 0.9)):
