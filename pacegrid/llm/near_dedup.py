@@ -17,12 +17,12 @@ each hash class.  First every text meets one hub, the one with most company of a
 its buckets' hubs, then the other hubs; pairs of one component are left out, as
 they can join nothing.  Members that still stand in different components are tested pair by
 pair in buckets of up to ``FEW`` texts.  Those of larger buckets go to an exact join:
-two texts of ``SIMILAR`` or more share one of their rarest word pairs (``_rare``) and
+two texts of ``SIMILAR`` or more share one of their rarest word pairs (``_enough``) and
 have word parities that differ little (``_parity``), so only texts that do are tested,
 whatever the size of their bucket.  Many such pairs are of one group, say of a long
 passage: every text has a home, the bucket or word pair that most texts share with it, and
 pairs of one home are tested where blocks of it meet, so that a text travels once for each block
-and not once for each pair.
+and not once for each pair.  Word pairs become rows only where texts of different homes share them.
 
 Defined results: texts without a word (null, empty, white space) are equal to
 each other; texts shorter than a k-mer have one k-mer, the whole text; repeated
@@ -33,11 +33,12 @@ allowed width has more than ``MOST_CELLS`` cells they are counted by diagonals i
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,8 +54,10 @@ HUBS = 8
 FEW = 32
 #: Texts of a group that meet in one task, about, and pairs of them that are aligned together.
 BLOCK, PAIRS = 256, 4096
-#: Counters of word pairs in the exact join: their order decides its cost, not its result.
-SLOTS = 1 << 18
+#: Counters of word pairs in the exact join, and how many of them are summed up together: they decide its cost, not its result.
+SLOTS, SPAN = 1 << 22, 1 << 14
+#: The level of what is there once.
+ONCE = 2000
 #: Bits of a text that tell most unlike texts apart before they are aligned.
 PARITY = 512
 MOST_CELLS = 2_000_000_000
@@ -64,6 +67,7 @@ _FAR = np.int32(1 << 20)
 _PLACE = np.uint64((1 << 28) - 1)
 _LAST = np.uint64(0xFFFFFFFFFFFFFFFF)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+_SUMS = ("slots", "n", "low", "high")
 
 
 def _stir(x: np.ndarray) -> np.ndarray:
@@ -337,46 +341,139 @@ def _pairs_of_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return _labelled(_stir(words[first] * _BASE + words[first + 1]) if len(first) else np.zeros(0, np.uint64), group), group, size
 
 
-def _slot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(SLOTS, np.int64)  # of a task's texts
-    for batch in batches:
-        for part in _text.slices(batch, "text"):
-            counts += np.bincount((_pairs_of_words(part.column("text"))[0] % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
-    full = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(counts[full])], ["slot", "n"])
+def _slot(keys: np.ndarray) -> np.ndarray:
+    return (keys.view(np.uint64) % np.uint64(SLOTS)).astype(np.int64)
+
+
+def _summed(slots: np.ndarray, n: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Each slot once, with the sum of ``n``, the least ``low`` and the greatest ``high``."""
+    order = np.argsort(slots, kind="stable")
+    slots = slots[order]
+    first = np.flatnonzero(np.append(True, slots[1:] != slots[:-1])[: len(slots)])
+    if not len(first):
+        return slots, n, low, high
+    return slots[first], np.add.reduceat(n[order], first), np.minimum.reduceat(low[order], first), np.maximum.reduceat(high[order], first)
+
+
+def _by_slot(texts: DataFrame, entries: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray]], found: Callable[..., np.ndarray], kind: type) -> np.ndarray:
+    """(SLOTS,) numbers of ``kind``: ``found(n, low, high)`` of the entries (key, value) in each slot, 0 where there are none.
+
+    A task's sums travel as one row for each block of ``SPAN`` slots, and blocks are summed up apart from each other: what
+    meets in a task or on the driver depends on ``SLOTS`` and on the number of tasks, not on texts that share a key.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = tuple(np.zeros(0, np.int64) for _ in range(4))
+        for batch in batches:
+            for part in _text.slices(batch, "text"):
+                key, value = entries(part)
+                sums = _summed(*(np.append(x, y) for x, y in zip(sums, (_slot(key), np.ones(len(key), np.int64), value, value), strict=True)))
+        bounds = np.searchsorted(sums[0], np.arange(0, SLOTS + SPAN, SPAN))
+        for block in np.flatnonzero(np.diff(bounds)).tolist():
+            start, stop = bounds[block : block + 2].tolist()
+            yield pa.RecordBatch.from_arrays([pa.array([block]), *(pa.ListArray.from_arrays(pa.array([0, stop - start], pa.int32()), pa.array(x[start:stop])) for x in sums)], ["block", *_SUMS])
+
+    def whole(block: pa.Table) -> pa.Table:
+        slots, *sums = _summed(*(pa.concat_arrays([x.flatten() for x in block[c].chunks]).to_numpy() for c in _SUMS))
+        out = np.zeros(SPAN, kind)
+        out[slots % SPAN] = found(*sums)
+        return pa.table([block["block"].slice(0, 1), pa.array([out.tobytes()], pa.binary())], ["block", "found"])
+
+    rows = texts.mapInArrow(_tables.tidy_all(run), f"block long, {', '.join(f'{c} array<long>' for c in _SUMS)}")
+    out = np.zeros(SLOTS, kind)
+    for row in rows.groupBy("block").applyInArrow(whole, "block long, found binary").toArrow().to_pylist():
+        out[row["block"] * SPAN : (row["block"] + 1) * SPAN] = np.frombuffer(row["found"], kind)
+    return out
+
+
+def _levels(n: np.ndarray, *_) -> np.ndarray:
+    """Counts on a scale of logarithms, in 16 bits; 0 and 1 stay apart from what is more."""
+    return np.rint(ONCE * np.log2(1 + n))
 
 
-def _rare(texts: DataFrame) -> DataFrame:
-    """(_text, _key): the rarest word pairs of every text, enough for an exact join.
+def _enough(size: np.ndarray) -> np.ndarray:
+    """How many of its word pairs, first in an order that all texts obey, a text of ``size`` words needs to share one with every text that is alike.
 
-    Texts of n and m >= n words with at most m / 5 edits have m <= 5 n / 4, so at
-    most n / 4 edits; an edit touches two word pairs, so all but ``2 * (n // 4)`` of each
-    text's labelled word pairs are shared, and of any ``2 * (n // 4) + 1`` that come first
-    in an order that all texts obey, one is.  The order is by ``SLOTS`` counters,
-    rare ones first, and by hash; the counters are a table of fixed size.
+    Texts of n and m >= n words are alike with at most m // 5 edits, m - n of them insertions at least.  A changed
+    or deleted word takes two of the shorter text's labelled word pairs, an inserted one takes one: at most
+    2 * (m // 5) - (m - n) are lost, which is the most for m = n, or for m = n + 1 if that is a multiple of 5.  Of the
+    longer text at most 2 * (m // 5) are lost.  The first one of those that both have comes behind lost ones only.
     """
+    return 2 * (size // 5) + (size % 5 == 4) + 1
+
+
+def _rare(part: pa.RecordBatch, often: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ``_enough`` rarest word pairs of every text without those that no other text has, and the text of each.
+
+    Rare is what has a low level in ``often``, then a low hash.
+    """
+    key, group, size = _pairs_of_words(part.column("text"))
+    level = often[_slot(key)]
+    order = np.lexsort((key, level, group))
+    have = np.maximum(size - 1, 0)
+    owner, nth = _text.ragged(np.minimum(have, _enough(size)))
+    chosen = order[(np.cumsum(have) - have)[owner] + nth]
+    chosen = chosen[level[chosen] > ONCE]
+    return key[chosen].view(np.int64), group[chosen]
+
+
+def _counted(texts: DataFrame) -> tuple[Broadcast, Broadcast]:
+    """Levels of all word pairs of ``texts``, and of their rare ones alone."""
     spark = texts.sparkSession
-    counted = texts.select("text").mapInArrow(_tables.tidy_all(_slot_counts), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    seen = np.zeros(SLOTS, np.int64)
-    seen[np.asarray(counted["slot"])] = np.asarray(counted["n"])
-    shared = spark.sparkContext.broadcast(seen)
+
+    def every(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        key = _pairs_of_words(part.column("text"))[0]
+        return key, np.zeros(len(key), np.int64)
+
+    often = spark.sparkContext.broadcast(_by_slot(texts, every, _levels, np.uint16))
+
+    def rare(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        key = _rare(part, often.value)[0]
+        return key, np.zeros(len(key), np.int64)
+
+    return often, spark.sparkContext.broadcast(_by_slot(texts, rare, _levels, np.uint16))
+
+
+def _commonest(texts: DataFrame, often: Broadcast, shared: Broadcast) -> DataFrame:
+    """(_text, _key, _n): of the rare word pairs of each text the one that most texts have among theirs, and their number, about."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _text.slices(batch, "text"):
+                key, owner = _rare(part, often.value)
+                level = shared.value[_slot(key)]
+                key, owner, level = (x[level > ONCE] for x in (key, owner, level))
+                order = np.lexsort((-key, level, owner))
+                last = order[np.flatnonzero(np.append(owner[order][1:] != owner[order][:-1], True)[: len(order)])]
+                number = np.rint(2 ** (level[last] / ONCE)).astype(np.int64) - 1
+                yield pa.RecordBatch.from_arrays([part.column("_text").take(pa.array(owner[last])), pa.array(key[last]), pa.array(number)], ["_text", "_key", "_n"])
+
+    return texts.mapInArrow(_tables.tidy(run), "_text binary, _key long, _n long")
+
+
+def _between(texts: DataFrame, often: Broadcast, shared: Broadcast) -> DataFrame:
+    """(_key, _text): the rare word pairs of ``texts`` (_text, text, _home) in slots that texts of different homes have.
+
+    Pairs of one home meet without a key, so a passage of many texts makes no row where they all have one home.
+    """
+
+    def homes(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        key, owner = _rare(part, often.value)
+        more = shared.value[_slot(key)] > ONCE
+        return key[more], part.column("_home").to_numpy()[owner[more]]
+
+    several = texts.sparkSession.sparkContext.broadcast(_by_slot(texts, homes, lambda n, low, high: low < high, np.bool_))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often = shared.value
         for batch in batches:
             for part in _text.slices(batch, "text"):
-                key, group, size = _pairs_of_words(part.column("text"))
-                order = np.lexsort((key, often[(key % np.uint64(SLOTS)).astype(np.int64)], group))
-                have = np.maximum(size - 1, 0)
-                take = np.minimum(have, 2 * (size // 4) + 1)
-                owner, nth = _text.ragged(take)
-                chosen = order[(np.cumsum(have) - have)[owner] + nth]
-                for start in range(0, len(chosen), 100_000):
-                    at = slice(start, start + 100_000)
-                    rows = pa.array(owner[at])
-                    yield pa.RecordBatch.from_arrays([part.column("_text").take(rows), pa.array(key[chosen[at]].view(np.int64))], ["_text", "_key"])
+                key, owner = _rare(part, often.value)
+                goes = np.flatnonzero(several.value[_slot(key)])
+                for start in range(0, len(goes), 100_000):
+                    at = goes[start : start + 100_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(key[at]), part.column("_text").take(pa.array(owner[at]))], ["_key", "_text"])
 
-    return texts.mapInArrow(_tables.tidy(run), "_text binary, _key long")
+    return texts.mapInArrow(_tables.tidy(run), "_key long, _text binary")
 
 
 def _odd(values: np.ndarray, owner: np.ndarray, texts: int) -> np.ndarray:
@@ -507,12 +604,14 @@ def _settled(buckets: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame
     few = left.where(F.col("_size") <= FEW).select("_key", "_text")
     large = left.where(F.col("_size") > FEW).select("_text").distinct()
     many = _tables.stored(_likely(texts, large).join(large, "_text"), "near-many")
-    keys = _tables.stored(few.unionByName(_rare_shared(many)), "near-rare")
+    often, shared = _counted(many)
     # texts of one largest group meet there, block by block; other pairs are few and come as rows
-    homes = _tables.stored(_homes(keys), "near-homes")
+    homes = _tables.stored(_homes(few, _commonest(many, often, shared)), "near-homes")
+    many = _tables.stored(many.join(homes, "_text"), "near-many", instead=many)
+    keys = _tables.stored(few.unionByName(_between(many, often, shared).select("_key", "_text")), "near-rare")
     dense = _tables.stored(_met_in_cells(_cells(homes, known), _likely(texts, homes)), "near-tested")
     tested = tested.unionByName(dense)
-    tell(_within(keys.join(known, "_text").join(homes.select("_text", "_home"), "_text")))
+    tell(_within(keys.join(homes, "_text"), known))
     if not dense.isEmpty():
         roots = _tables.stored(_joined(roots, dense), "near-roots", instead=roots)
     _tables.drop(keys, known, homes)
@@ -520,21 +619,29 @@ def _settled(buckets: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame
     return roots, tested.where("linked").select("_a", "_b", "similarity")
 
 
-def _within(rows: DataFrame) -> DataFrame:
-    """(_a, _b) of ``rows`` (_key, _text, n_words, _bits, _pair_bits, _root, _home) of one key and of different components and homes that can be alike by length and parities."""
-    other = rows.select("_key", *[F.col(c).alias(f"_o{c}") for c in rows.columns if c != "_key"])
-    differ = lambda c: sum((F.bit_count(F.col(c)[i].bitwiseXOR(F.col(f"_o{c}")[i])) for i in range(PARITY // 64)), F.lit(0))
-    allowed = F.floor(F.greatest("n_words", "_on_words") * F.lit(round(100 * (1 - SIMILAR))) / 100)
-    can = _near("n_words", "_on_words") & (differ("_bits") <= 2 * allowed) & (differ("_pair_bits") <= 4 * allowed)
-    both = rows.join(other, "_key").where((F.col("_text") < F.col("_o_text")) & (F.col("_root") != F.col("_o_root")) & (F.col("_home") != F.col("_o_home")) & can)
-    return both.select(F.col("_text").alias("_a"), F.col("_o_text").alias("_b")).distinct()
-
+def _within(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """(_a, _b) of ``rows`` (_key, _text, _home) of one key and of different homes, whose components differ and that can be alike by length and parities.
 
-def _homes(keys: DataFrame) -> DataFrame:
-    """(_text, _home, _n): of the keys (_key, _text) of each text the one that most texts have, and their number; the least on ties."""
-    size = keys.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"))
-    best = keys.join(size, "_key").groupBy("_text").agg(F.max(F.struct("_n", (-F.col("_key")).alias("_k"))).alias("_b"))
-    return best.select("_text", (-F.col("_b._k")).alias("_home"), F.col("_b._n").alias("_n"))
+    Homes of a key are paired off first, so that texts of one home never meet here.
+    """
+    rows = rows.join(known.select("_text", "_root"), "_text")
+    home = rows.select("_key", "_home").distinct()
+    apart = home.join(home.toDF("_key", "_o_home"), "_key").where("_home < _o_home")
+    other = rows.toDF(*[c if c == "_key" else f"_o{c}" for c in rows.columns])
+    met = apart.join(rows, ["_key", "_home"]).join(other, ["_key", "_o_home"]).where("_root <> _o_root").select(*_paired("_text", "_o_text")).distinct()
+    one, two = (known.select(*[F.col(c).alias(f"{end}{c}") for c in ("_text", "n_words", "_bits", "_pair_bits")]) for end in ("_a", "_b"))
+    differ = lambda c: sum((F.bit_count(F.col(f"_a{c}")[i].bitwiseXOR(F.col(f"_b{c}")[i])) for i in range(PARITY // 64)), F.lit(0))
+    allowed = F.floor(F.greatest("_an_words", "_bn_words") * F.lit(round(100 * (1 - SIMILAR))) / 100)
+    can = _near("_an_words", "_bn_words") & (differ("_bits") <= 2 * allowed) & (differ("_pair_bits") <= 4 * allowed)
+    return met.join(one, F.col("_a") == F.col("_a_text")).join(two, F.col("_b") == F.col("_b_text")).where(can).select("_a", "_b")
+
+
+def _homes(few: DataFrame, rare: DataFrame) -> DataFrame:
+    """(_text, _home): of a text's keys, those of ``few`` (_key, _text) and one of ``rare`` (_text, _key, _n), the one that most texts have; the least on ties."""
+    size = few.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"))
+    keys = few.join(size, "_key").select("_text", "_key", "_n").unionByName(rare)
+    best = keys.groupBy("_text").agg(F.max(F.struct("_n", (-F.col("_key")).alias("_k"))).alias("_b"))
+    return best.select("_text", (-F.col("_b._k")).alias("_home"))
 
 
 def _cells(homes: DataFrame, known: DataFrame) -> DataFrame:
@@ -591,13 +698,6 @@ def _met_in_cells(cells: DataFrame, texts: DataFrame) -> DataFrame:
     return whole.groupBy("_home", "_i", "_j").applyInArrow(run, "_a binary, _b binary, linked boolean, similarity double")
 
 
-def _rare_shared(texts: DataFrame) -> DataFrame:
-    """(_key, _text): the rare word pairs of texts that another one has, too."""
-    dealt = _rare(texts).repartition("_key")
-    shared = dealt.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_key")
-    return dealt.join(shared, "_key").select("_key", "_text")
-
-
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """One row per document (doc_id, class_id, links_found, kept and a hash of its text), and the links that joined texts."""
     raw = docs.select("doc_id", "text", F.xxhash64("text").alias("_raw"))

@@ -7,6 +7,7 @@ import time
 import zlib
 from itertools import combinations
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -288,6 +289,62 @@ def test_a_bucket_of_many_unlike_texts_is_settled(spark):
     assert got == {i: i % 1000 for i, _ in rows}
 
 
+def test_near_duplicates_of_a_common_passage(spark, monkeypatch):
+    """Texts that share most of their words: rows of the exact join don't grow with the group, and no link is lost."""
+    rng = random.Random(11)
+    kept = {}
+    stored = _tables.stored
+
+    def counting(df, name, instead=None):
+        out = stored(df, name, instead)
+        if name == "near-rare":
+            kept[name] = kept.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(near_dedup._tables, "stored", counting)
+    passage = [f"p{i}" for i in range(70)]
+    texts = [" ".join([*(f"x{rng.randrange(10**6)}" for _ in range(15)), *passage, *(f"y{rng.randrange(10**6)}" for _ in range(15))]) for _ in range(150)]
+    # near copies of some, at ten places of a hundred
+    for i in range(0, 30, 3):
+        words = texts[i].split()
+        for at in rng.sample(range(100), 10):
+            words[at] = f"z{rng.randrange(10**6)}"
+        texts.append(" ".join(words))
+    words, at = near_dedup.word_hashes(pa.array(texts))
+    spans = [words[a:b] for a, b in zip(at, at[1:])]
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i)]
+    linked = near_dedup.edits_within([(spans[i], spans[j]) for i, j in pairs], [20] * len(pairs)) >= 0
+    least = list(range(len(texts)))
+    for _ in range(3):
+        for (i, j), yes in zip(pairs, linked, strict=True):
+            if yes:
+                least[i] = least[j] = min(least[i], least[j])
+    assert linked.sum() >= 10
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r.class_id for r in near_dedup.near_duplicates(docs).orderBy("doc_id").collect()] == least
+    assert kept["near-rare"] < 6 * len(texts)
+
+
+def test_few_rare_pairs_are_enough():
+    """Of alike texts with more and fewer words one of the first ``_enough`` word pairs of each is shared, in any order."""
+    rng = np.random.default_rng(9)
+    for n in (*range(4, 30), 64, 99):
+        for m in range(n, n + n // 4 + 1):
+            for _ in range(6):
+                a = [f"a{i}" for i in range(n)]
+                b, left = list(a), m // 5 - (m - n)
+                if left < 0:
+                    continue
+                for at in rng.choice(n, left, replace=False):
+                    b[at] = f"b{at}"
+                for x in range(m - n):
+                    b.insert(rng.integers(0, len(b) + 1), f"c{x}")
+                key, group, size = near_dedup._pairs_of_words(pa.array([" ".join(a), " ".join(b)]))
+                one, two = set(key[group == 0].tolist()), set(key[group == 1].tolist())
+                # the worst order: what only one of them has comes first
+                assert len(one - two) < near_dedup._enough(size)[0] and len(two - one) < near_dedup._enough(size)[1]
+
+
 def test_components_of_chains(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (103, 101)], "u long, v long")
     got = {r.node: r.root for r in near_dedup.components(edges).collect()}
