@@ -38,8 +38,8 @@ from pacegrid.llm import _tables, _text
 END = 1
 NO_KEY = np.iinfo(np.int64).min
 SLICE_BYTES = 8 << 20
-#: Distinct words whose ids a task remembers.
-REMEMBERED = 200_000
+#: Distinct words whose ids a Python process remembers.
+REMEMBERED = 1_000_000
 
 
 def place(uri: str) -> tuple[fs.FileSystem, str]:
@@ -68,18 +68,60 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.type = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.known: dict[str, list[int]] = {}
+        self.known, self.flat, self.size = pa.array([], pa.large_string()), np.zeros(0, self.type), np.zeros(0, np.int64)
+        self.ends = self._ends()
         plain = [e.ids + [END] for e in self.tokenizer.encode_batch(PROBES, add_special_tokens=False)]
         self.by_words = all(self._by_words(pa.array([p]))[0].tolist() == want for p, want in zip(PROBES, plain, strict=True))
 
-    def _ids(self, words: list[str]) -> list[list[int]]:
+    def _ends(self) -> np.ndarray | None:
+        """Which ids end a piece, if the vocabulary marks them."""
+        mark = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        if not mark:
+            return None
+        ends = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
+        ends[[i for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if token.endswith(mark)]] = True
+        return ends
+
+    def _coded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words, one after another, and how many each has.
+
+        Plain words, of the letters a to z and A to Z, are one piece each, and its last id is one that ends a piece: many of them go
+        through the tokenizer as one text and are told apart by those ids.
+        """
+        if self.ends is None:
+            return self._singly(words)
+        text = " ".join(words)
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.type)
+        last = np.flatnonzero(self.ends[ids])
+        if len(last) != len(words) or len(ids) and last[-1] != len(ids) - 1:
+            return self._singly(words)
+        return ids, np.diff(last, prepend=-1)
+
+    def _singly(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(chain.from_iterable(ids), self.type, int(size.sum())), size
+
+    def _ids(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of different words, one after another, and how many each has: of words met before from ``known``, which is begun anew when it is full."""
         if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = [w for w in words if w not in self.known]
-        for start in range(0, len(new), 20_000):
-            some = new[start : start + 20_000]
-            self.known.update(zip(some, (e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)), strict=True))
-        return [self.known[w] for w in words]
+            self.known, self.flat, self.size = pa.array([], pa.large_string()), np.zeros(0, self.type), np.zeros(0, np.int64)
+        at = pc.index_in(words, self.known).fill_null(-1).to_numpy().astype(np.int64)
+        new = np.flatnonzero(at < 0)
+        fresh = words.take(pa.array(new))
+        plain = pc.match_substring_regex(fresh, "^[A-Za-z]+$").to_numpy(zero_copy_only=False)
+        order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
+        fresh = fresh.take(pa.array(order))
+        several, many = fresh.to_pylist(), int(plain.sum())
+        parts = [self._coded(several[i : min(i + 1000, many)]) for i in range(0, many, 1000)]
+        parts += [self._singly(several[i : i + 20_000]) for i in range(many, len(several), 20_000)]
+        at[new[order]] = len(self.known) + np.arange(len(new))
+        self.known = pa.concat_arrays([self.known, fresh])
+        self.flat = np.concatenate([self.flat, *(x for x, _ in parts)])
+        self.size = np.concatenate([self.size, *(n for _, n in parts)])
+        size = self.size[at]
+        group, inside = _text.ragged(size)
+        return self.flat[(np.cumsum(self.size) - self.size)[at][group] + inside], size
 
     def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each followed by END, and row offsets into them."""
@@ -97,9 +139,7 @@ class Encoder:
         text = pc.replace_substring_regex(text, r"([A-Za-z0-9])([.,]+)(\s|$)", r"\1 \2\3")
         split = pc.ascii_split_whitespace(text)
         coded = split.flatten().dictionary_encode()
-        ids = self._ids(coded.dictionary.to_pylist())
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter(chain.from_iterable(ids), self.type, int(size.sum()))
+        flat, size = self._ids(coded.dictionary)
         at = coded.indices.to_numpy(zero_copy_only=False)
         rows = np.asarray(split.offsets)
         total = np.concatenate([[0], np.cumsum(size[at])])[rows] + np.arange(len(rows))

@@ -164,6 +164,26 @@ def test_html_names_are_whole_words():
     assert html_text.main_text('<article><p>a <span class="ad">buy <span>x</span> tail</span> b</p></article>', set()) == "a b"
 
 
+def test_token_encoder_asks_for_many_words_at_once():
+    """Words of plain letters share a call, words met before ask for none; ids are those of the whole text."""
+    own = token_files.Encoder(public.path("word_bpe_49k.json"))
+    plain = own.tokenizer
+    asked = []
+
+    class Counting:
+        def encode_batch_fast(self, texts, **more):
+            asked.extend(texts)
+            return plain.encode_batch_fast(texts, **more)
+
+    own.tokenizer = Counting()
+    words = ["".join(chr(97 + (i // 26**j + 7 * j) % 26) for j in range(5)) for i in range(3000)]
+    texts = [" ".join(words[:1500]), "don't It's 3.14 x", None, " ".join(w.upper() for w in words) + ", \u00e9t\u00e9 \U0001f600", "", "<|endoftext|> a"]
+    for _ in range(2):
+        ids, bounds = own(pa.array(texts))
+        assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [plain.encode(t or "", add_special_tokens=False).ids + [token_files.END] for t in texts]
+    assert len(asked) < 30
+
+
 def test_html_of_hostile_pages_is_read_in_linear_time():
     import time
 
