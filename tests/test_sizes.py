@@ -1,5 +1,6 @@
 """What grows with the tables is not broadcast, which would bring it to the driver whole: joins with it are merges, whatever its size is taken for."""
 
+from pacegrid.plans import networks
 from pacegrid.sources import bindings as b
 
 DATA = "/root/testdata/sf0.001"
@@ -12,3 +13,8 @@ def joins(df, kind):
 def test_edges_do_not_broadcast_nodes(spark):
     e = b.edges(spark, DATA)
     assert joins(e, "SortMergeJoin") == 1 and joins(e, "Broadcast") == 0
+
+
+def test_placed_edges_do_not_broadcast_nodes(spark):
+    e = networks.placed(spark, DATA)
+    assert joins(e, "SortMergeJoin") == 3 and joins(e, "Broadcast") == 0
